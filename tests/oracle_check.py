@@ -81,7 +81,7 @@ def main() -> int:
             if name in oracles:
                 problem = differences(spark, connection, query, oracles[name], sf_dir)
             else:
-                problem = None if query(spark, sf_dir).count() else "no rows"
+                problem = None if query(spark, sf_dir).collect() else "no rows"
         except Exception as error:  # noqa: BLE001 - report and go on
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         failed += problem is not None

@@ -85,20 +85,79 @@ def overlap_chars(left: pa.Array, right: pa.Array) -> pa.Array:
     )
 
 
-@F.arrow_udf(StringType())
-def fold_by_common_substring(chunks: pa.Array) -> pa.Array:
-    """Fold an ordered array of chunk texts.
+class GrowingText:
+    """A text that grows at its end and knows its substrings.
 
-    Each chunk loses as many leading characters as its longest common substring with the text so
-    far is long, wherever that substring lies.
+    A suffix automaton (Blumer et al. 1985), extended letter by letter: finding the longest
+    substring shared with a chunk costs the chunk's length, however long the text has become.
     """
-    merged = []
-    for texts in chunks.to_pylist():
-        if texts is None:
-            merged.append(None)
-            continue
-        so_far = ""
-        for text in texts:
-            so_far += text[len(common_substring(so_far, text)) :]
-        merged.append(so_far)
-    return pa.array(merged, pa.string())
+
+    def __init__(self) -> None:
+        self.parts: list[str] = []
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.size, self.end = [-1], [0], 0
+
+    def append(self, text: str) -> None:
+        self.parts.append(text)
+        follow, link, size = self.next, self.link, self.size
+        for letter in text:
+            new, at = len(follow), self.end
+            follow.append({})
+            link.append(0)
+            size.append(size[at] + 1)
+            while at >= 0 and letter not in follow[at]:
+                follow[at][letter] = new
+                at = link[at]
+            if at >= 0:
+                target = follow[at][letter]
+                if size[target] == size[at] + 1:
+                    link[new] = target
+                else:
+                    copy = len(follow)
+                    follow.append(dict(follow[target]))
+                    link.append(link[target])
+                    size.append(size[at] + 1)
+                    while at >= 0 and follow[at].get(letter) == target:
+                        follow[at][letter] = copy
+                        at = link[at]
+                    link[target] = link[new] = copy
+            self.end = new
+
+    def shared_length(self, text: str) -> int:
+        """Length of the longest substring of ``text`` that occurs here."""
+        follow, link, size = self.next, self.link, self.size
+        at = length = longest = 0
+        for letter in text:
+            while at and letter not in follow[at]:
+                at = link[at]
+                length = size[at]
+            if letter in follow[at]:
+                at = follow[at][letter]
+                length += 1
+                longest = max(longest, length)
+        return longest
+
+    def __str__(self) -> str:
+        return "".join(self.parts)
+
+
+def merge_by_common_substring(texts: list[str]) -> str:
+    """Fold chunk texts in order.
+
+    Each loses as many leading characters as its longest common substring with the text so far is
+    long, wherever that substring lies.
+    """
+    if len(texts) == 1:
+        return texts[0]
+    merged = GrowingText()
+    for text in texts:
+        merged.append(text[merged.shared_length(text) :])
+    return str(merged)
+
+
+@F.arrow_udf(StringType())
+def fold_by_common_substring(chunks: pa.Array) -> pa.Array:
+    """Column form of ``merge_by_common_substring`` over ordered arrays of chunk texts."""
+    return pa.array(
+        [None if texts is None else merge_by_common_substring(texts) for texts in chunks.to_pylist()], pa.string()
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from uttermark.functions.text import SPACE, WORD_END, WORD_START
+from uttermark.functions.text import SPACE, WORD_END, WORD_START, has_any
 
 # Hesitation sounds.
 FILLERS = ["hmm", "mm", "mhm", "mmm", "uh", "um"]
@@ -75,59 +75,93 @@ ENDINGS = [
 # Fixed value: symbols that carry meaning next to a number.
 NUMERIC_SYMBOLS = ".%$¢€£"
 
-# A sample of British-to-American spelling families: (pattern of the word, replacement).
-_INFLECTED = r"(|s|ed|ing|er|ers|able|ful|less|ite|ites|al|ist|hood|hoods)"
+# British-to-American spelling, as families: stems, British ending, American ending, inflections.
+# A sample made from rules; a full word list is a parameter of the profile.
 SPELLING_FAMILIES = [
-    (rf"(arm|behavi|clam|col|endeav|fav|flav|glam|harb|hon|hum|lab|neighb|od|parl|rum|sav|splend|tum|val|vap|vig)our{_INFLECTED}", "$1or$2"),
-    (r"(anal|paral|catal)yse(|s|d|r|rs)", "$1yze$2"),
-    (r"(anal|paral|catal)ysing", "$1yzing"),
     (
-        r"(apolog|author|capital|categor|character|civil|critic|emphas|final|general|global|harmon|maxim|memor|minim"
-        r"|modern|national|normal|optim|organ|popular|priorit|real|recogn|special|stabil|standard|summar|symbol|util|visual)"
-        r"is(e|es|ed|er|ers|ing|ation|ations)",
-        "$1iz$2",
+        "arm behavi clam col endeav fav flav glam harb hon hum lab neighb od parl rum sav splend tum val vap vig",
+        "our", "or", " s ed ing er ers able ably ful less ite ites ist hood hoods",
     ),
-    (r"(cent|fib|lit|lust|meag|met|mit|sab|sepulch|somb|spect|theat)re(|s)", "$1er$2"),
-    (r"(cata|dia|ana|mono|epi|pro)logue(|s)", "$1log$2"),
-    (r"(cancel|channel|counsel|dial|fuel|label|level|marshal|model|panel|pedal|quarrel|signal|total|travel)l(ed|ing|er|ers)", "$1$2"),
-    (r"(def|off|pret)ence(|s)", "$1ense$2"),
-    (r"gr(e)y(|s|er|est|ing|ed)", "gray$2"),
+    (
+        "apolog author capital categor character civil critic emphas final general global harmon maxim memor minim"
+        " modern national normal optim organ popular priorit real recogn special stabil standard summar symbol util"
+        " visual",
+        "is", "iz", "e es ed er ers ing able ation ations",
+    ),
+    ("anal paral catal", "ys", "yz", "e ed er ers es ing"),
+    ("cent fib lit lust meag met mit sab sepulch somb spect theat", "re", "er", " s"),
+    ("cata dia ana mono epi pro", "logue", "log", " s"),
+    (
+        "cancel channel counsel dial fuel label level marshal model panel pedal quarrel signal total travel",
+        "l", "", "ed ing er ers",
+    ),
+    ("def off pret", "ence", "ense", " s"),
+    ("", "grey", "gray", " s er est ing ed"),
 ]
 
 
+def spelling_table() -> dict[str, str]:
+    """The families written out as a word dictionary."""
+    return {
+        stem + british + inflection: stem + american + inflection
+        for stems, british, american, inflections in SPELLING_FAMILIES
+        for stem in stems.split(" ")
+        for inflection in inflections.split(" ")
+    }
+
+
 def drop_fillers(text: Column) -> Column:
-    """Remove hesitation sounds, then the white space in front of an apostrophe."""
-    text = F.regexp_replace(text, rf"{WORD_START}(?:{'|'.join(FILLERS)}){WORD_END}", "")
+    """Remove hesitation sounds."""
+    return F.regexp_replace(text, rf"{WORD_START}(?:{'|'.join(FILLERS)}){WORD_END}", "")
+
+
+def may_have_filler(text: Column) -> Column:
+    return has_any(text, ["mm", "hm", "uh", "um"])
+
+
+def attach_apostrophes(text: Column) -> Column:
+    """Remove the white space in front of an apostrophe."""
     return F.regexp_replace(text, rf"[{SPACE}]+'", "'")
 
 
-def _whole_words(text: Column, rules: list[tuple[str, str]]) -> Column:
-    return reduce(
-        lambda t, rule: F.regexp_replace(t, f"{WORD_START}{rule[0]}{WORD_END}", rule[1]), rules, text
-    )
+# Private-use characters that fence a word between the two halves of a rewrite.
+_OPEN, _CLOSE = "\ue000", "\ue001"
+
 
+def fence(text: Column, rules: list[tuple[str, str]], whole_words: bool) -> Column:
+    """First half of a rewrite: fence every occurrence, all rules in one pass.
 
-def _has_any(text: Column, rules: list[tuple[str, str]]) -> Column:
-    return text.rlike(f"{WORD_START}(?:{'|'.join(word for word, _ in rules)}){WORD_END}")
+    No rule of a table produces text another rule of the table matches, and longer endings come
+    before their beginnings, so one pass finds what rule-by-rule passes would.
+    """
+    start = WORD_START if whole_words else ""
+    return F.regexp_replace(
+        text, f"{start}({'|'.join(word for word, _ in rules)}){WORD_END}", f"{_OPEN}$1{_CLOSE}"
+    )
 
 
-def expand_contractions(text: Column) -> Column:
-    """Whole-word contractions.  ``text`` must be a plain attribute (as in the next two)."""
-    return F.when(_has_any(text, CONTRACTIONS), _whole_words(text, CONTRACTIONS)).otherwise(text)
+def is_fenced(text: Column) -> Column:
+    return F.contains(text, F.lit(_OPEN))
 
 
-def expand_titles(text: Column) -> Column:
-    return F.when(_has_any(text, TITLES), _whole_words(text, TITLES)).otherwise(text)
+def unfence(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """Second half: swap each fenced word by plain search, no pattern."""
+    return reduce(
+        lambda t, rule: F.replace(t, F.lit(_OPEN + rule[0] + _CLOSE), F.lit(rule[1])), rules, text
+    )
 
 
-def expand_endings(text: Column) -> Column:
-    expanded = reduce(lambda t, rule: F.regexp_replace(t, rule[0] + WORD_END, rule[1]), ENDINGS, text)
-    return F.when(F.contains(text, F.lit("'")), expanded).otherwise(text)
+def may_have_contraction(text: Column) -> Column:
+    return has_any(text, ["'"] + [word for word, _ in CONTRACTIONS if "'" not in word])
 
 
 def join_digit_groups(text: Column) -> Column:
-    """Drop commas between digits and turn periods that precede no digit into spaces."""
-    text = F.regexp_replace(text, r"(\p{Nd}),(\p{Nd})", "$1$2")
+    """Drop commas between digits."""
+    return F.regexp_replace(text, r"(\p{Nd}),(\p{Nd})", "$1$2")
+
+
+def drop_full_stops(text: Column) -> Column:
+    """Periods that precede no digit become spaces."""
     return F.regexp_replace(text, r"\.([^0-9]|$)", " $1")
 
 
@@ -137,13 +171,6 @@ def drop_loose_symbols(text: Column) -> Column:
     return F.regexp_replace(text, r"([^0-9])%", "$1 ")
 
 
-def american_spelling(text: Column) -> Column:
-    """Apply the sample spelling families; each is one pass over the text."""
-    return reduce(
-        lambda t, rule: F.regexp_replace(t, rf"(?<![^ ]){rule[0]}(?![^ ])", rule[1]), SPELLING_FAMILIES, text
-    )
-
-
 # A literal map is searched from its start for every word, so it only serves short dictionaries.
 LITERAL_MAP_ENTRIES = 32
 

@@ -7,6 +7,7 @@ properties because plain ``\\w``, ``\\s`` and ``\\b`` are ASCII-only in Java pat
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -81,16 +82,25 @@ def compose(text: Column, engine: str = "jvm") -> Column:
     return F.reflect(F.lit(_ICU_NORMALIZER), F.lit("compose"), text, F.lit(True))
 
 
-def drop_spans(text: Column) -> Column:
-    """Remove ``<...>``/``[...]`` spans, then non-empty ``(...)`` spans."""
-    text = F.regexp_replace(text, r"[<\[][^>\]]*[>\]]", "")
+def has_any(text: Column, pieces: list[str]) -> Column:
+    """The text contains one of the literal pieces: a byte search, much cheaper than a pattern."""
+    return reduce(lambda found, piece: found | F.contains(text, F.lit(piece)), pieces, F.lit(False))
+
+
+def drop_bracket_spans(text: Column) -> Column:
+    """Remove ``<...>`` and ``[...]`` spans; the two kinds may be mixed."""
+    return F.regexp_replace(text, r"[<\[][^>\]]*[>\]]", "")
+
+
+def drop_paren_spans(text: Column) -> Column:
+    """Remove non-empty, non-nested ``(...)`` spans."""
     return F.regexp_replace(text, r"\(([^)]+?)\)", "")
 
 
 def plain_letters(text: Column, engine: str = "jvm") -> Column:
-    """Decompose, drop non-spacing marks, spell out the special letters.
+    """Decompose, drop non-spacing marks, spell out the special letters, lower the case.
 
-    ``text`` must be a plain attribute: it is referenced several times.  ASCII rows pass through.
+    ``text``, lower-case already, must be a plain attribute: it is referenced several times.  ASCII rows pass through.
     """
     folded = F.regexp_replace(decompose(_non_ascii_only(text, engine), engine), r"\p{Mn}", "")
     one_to_one = {k: v for k, v in SPECIAL_LETTERS.items() if len(v) == 1}
@@ -98,12 +108,12 @@ def plain_letters(text: Column, engine: str = "jvm") -> Column:
     for letter, spelling in SPECIAL_LETTERS.items():
         if len(spelling) > 1:
             folded = F.replace(folded, F.lit(letter), F.lit(spelling))
-    return F.when(is_ascii(text), text).otherwise(folded)
+    return F.when(~is_ascii(text), F.lower(folded)).otherwise(text)
 
 
 def composed(text: Column, engine: str = "jvm") -> Column:
-    """NFKC of the rows that need it; ``text`` must be a plain attribute."""
-    return F.when(is_ascii(text), text).otherwise(compose(_non_ascii_only(text, engine), engine))
+    """NFKC, lower case again, of the rows that need it; ``text`` must be a plain attribute."""
+    return F.when(~is_ascii(text), F.lower(compose(_non_ascii_only(text, engine), engine))).otherwise(text)
 
 
 def _non_ascii_only(text: Column, engine: str) -> Column:
@@ -118,9 +128,26 @@ def symbols_to_space(text: Column, keep: str = "") -> Column:
     return F.regexp_replace(text, rf"[\p{{M}}\p{{S}}\p{{P}}{exempt}]", " ")
 
 
-def drop_nonword(text: Column) -> Column:
-    """Remove what is neither a word character nor white space."""
-    return F.regexp_replace(text, rf"[^{WORD}{SPACE}]", "")
+def drop_unprintable(text: Column) -> Column:
+    """Remove control, format and unassigned characters, but no white space.
+
+    Once marks, symbols and punctuation are spaces, these are all that is neither a word character
+    nor white space.
+    """
+    return F.regexp_replace(text, rf"[\p{{C}}&&[^{SPACE}]]", "")
+
+
+def only_words(text: Column) -> Column:
+    """Runs of anything but letters and numbers become one space, none at the ends.
+
+    The symbol, non-word and white-space steps of the multilingual profile in two passes.
+    """
+    return F.trim(F.regexp_replace(drop_unprintable(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def symbols_and_space_to_space(text: Column) -> Column:
+    """Runs of marks, symbols, punctuation and white space become one space."""
+    return F.regexp_replace(text, rf"[[^\p{{L}}\p{{N}}\p{{C}}]{SPACE}]+", " ")
 
 
 def collapse_space(text: Column) -> Column:

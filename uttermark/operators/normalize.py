@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uttermark.functions import english, numbers, text as tx
@@ -10,35 +12,61 @@ from uttermark.functions import english, numbers, text as tx
 PROFILES = ("basic", "multilingual", "english")
 
 
+# Each step is a projection of its own over the attribute before it: a guard and its rewrite read
+# the same value twice, and the optimizer does not merge projections where that would repeat work.
+
+
+def _where(df: DataFrame, guard: Callable[[Column], Column], rewrite: Callable[[Column], Column]) -> DataFrame:
+    """Rewrite the working text of the rows that a cheap guard lets through."""
+    t = F.col("__text")
+    return df.withColumn("__text", F.when(guard(t), rewrite(t)).otherwise(t))
+
+
+def _without_spans(df: DataFrame) -> DataFrame:
+    df = df.withColumn("__text", F.lower("__text"))
+    df = _where(df, lambda t: tx.has_any(t, ["<", "["]), tx.drop_bracket_spans)
+    return _where(df, lambda t: tx.has_any(t, ["("]), tx.drop_paren_spans)
+
+
 def _basic(df: DataFrame, out: str, remove_diacritics: bool, split_letters: bool, engine: str) -> DataFrame:
-    df = df.withColumn("__spans", tx.drop_spans(F.lower("__text")))
-    plain = tx.plain_letters if remove_diacritics else tx.composed
-    clean = F.lower(tx.symbols_to_space(plain(F.col("__spans"), engine)))
+    df = _without_spans(df)
+    letters = (tx.plain_letters if remove_diacritics else tx.composed)(F.col("__text"), engine)
     if split_letters:
-        clean = tx.graphemes(clean)
-    return df.withColumn(out, tx.collapse_space(clean)).drop("__spans")
+        return df.withColumn(out, tx.collapse_space(tx.graphemes(tx.symbols_to_space(letters))))
+    return df.withColumn(out, tx.symbols_and_space_to_space(letters))
 
 
 def _multilingual(df: DataFrame, out: str, remove_diacritics: bool, engine: str) -> DataFrame:
-    df = df.withColumn("__spans", tx.drop_spans(F.lower("__text")))
-    plain = tx.plain_letters if remove_diacritics else tx.composed
-    clean = F.lower(tx.symbols_to_space(plain(F.col("__spans"), engine)))
-    return df.withColumn(out, F.trim(tx.collapse_space(tx.drop_nonword(clean)))).drop("__spans")
+    df = _without_spans(df)
+    letters = (tx.plain_letters if remove_diacritics else tx.composed)(F.col("__text"), engine)
+    return df.withColumn(out, tx.only_words(letters))
+
+
+def expand_words(df: DataFrame) -> DataFrame:
+    """Fillers, contractions, titles and endings of the working text."""
+    apostrophe = lambda t: tx.has_any(t, ["'"])
+    df = _where(df, english.may_have_filler, english.drop_fillers)
+    df = _where(df, apostrophe, english.attach_apostrophes)
+    tables = (
+        (english.CONTRACTIONS, True, english.may_have_contraction),
+        (english.TITLES, True, lambda t: t.isNotNull()),
+        (english.ENDINGS, False, apostrophe),
+    )
+    for rules, whole_words, guard in tables:
+        df = _where(df, guard, lambda t, r=rules, w=whole_words: english.fence(t, r, w))
+        df = _where(df, english.is_fenced, lambda t, r=rules: english.unfence(t, r))
+    return df
 
 
 def _english(df: DataFrame, out: str, spelling: dict[str, str] | None, engine: str) -> DataFrame:
-    df = df.withColumn("__spans", english.drop_fillers(tx.drop_spans(F.lower("__text"))))
-    df = df.withColumn("__short", english.expand_contractions(F.col("__spans")))
-    df = df.withColumn("__titles", english.expand_titles(F.col("__short")))
-    df = df.withColumn("__long", english.join_digit_groups(english.expand_endings(F.col("__titles"))))
-    df = df.withColumn(
-        "__clean", tx.symbols_to_space(tx.plain_letters(F.col("__long"), engine), english.NUMERIC_SYMBOLS)
-    )
-    df = df.withColumn("__fold", numbers.needs_fold(F.col("__clean")))
-    folded = numbers.fold_numbers(F.col("__clean"), F.col("__fold"))
-    spelled = english.american_spelling(folded) if spelling is None else english.rewrite_words(folded, spelling)
-    df = df.withColumn(out, tx.collapse_space(english.drop_loose_symbols(spelled)))
-    return df.drop("__spans", "__short", "__titles", "__long", "__clean", "__fold")
+    df = expand_words(_without_spans(df))
+    df = _where(df, lambda t: tx.has_any(t, [","]), english.join_digit_groups)
+    df = _where(df, lambda t: tx.has_any(t, ["."]), english.drop_full_stops)
+    clean = tx.symbols_to_space(tx.plain_letters(F.col("__text"), engine), english.NUMERIC_SYMBOLS)
+    dictionary = english.spelling_table() if spelling is None else spelling
+    df = df.withColumn("__text", numbers.fold_numbers(clean, dictionary))
+    df = _where(df, lambda t: tx.has_any(t, list(english.NUMERIC_SYMBOLS)), english.drop_loose_symbols)
+    return df.withColumn(out, F.regexp_replace("__text", " {2,}", " "))
 
 
 def normalize_corpus(
@@ -57,8 +85,8 @@ def normalize_corpus(
     ``profile`` is ``basic`` (keeps diacritics unless told otherwise), ``multilingual`` or
     ``english``.  ``spelling`` replaces the built-in spelling families by a word dictionary.
     ``fold_apostrophes`` turns typographic apostrophes into ASCII ones first; off by default,
-    where they end up as spaces.  The job is narrow: no shuffle.  Only non-ASCII rows are decomposed
-    and only rows with a trigger reach the number fold.
+    where they end up as spaces.  The job is narrow: no shuffle.  Only non-ASCII rows are decomposed,
+    and rewrites run only on rows that a byte search finds to be concerned.
     """
     if profile not in PROFILES:
         raise NotImplementedError(f"no profile {profile!r}; expected one of {PROFILES}")

@@ -12,7 +12,8 @@ from uttermark.functions import answers, english, numbers
 from uttermark.functions import text as tx
 from uttermark.functions.words import with_char_errors, with_word_errors
 from uttermark.operators import align, batching, chunks, indexing, metrics, nested, prepare
-from uttermark.operators.normalize import normalize_by_language, normalize_corpus
+from uttermark.operators.normalize import expand_words, normalize_by_language, normalize_corpus
+from uttermark.operators.spreading import spread
 from uttermark.operators.staging import new_path
 from uttermark.plans.derived import damaged, manifest, question_records, references, table
 from uttermark.sources import manifests, utterances
@@ -448,7 +449,7 @@ def language_split_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "lang", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -502,22 +503,19 @@ def norm_numbers(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select(
         "conv_id", "turn", F.lower(F.concat(spelled, F.lit(" hundred dollars "), F.col("text"))).alias("text")
     )
-    rows = rows.withColumn("fold", numbers.needs_fold(F.col("text")))
-    return rows.select("conv_id", "turn", numbers.fold_numbers(F.col("text"), F.col("fold")).alias("folded"))
+    return rows.select("conv_id", "turn", numbers.fold_numbers(F.col("text")).alias("folded"))
 
 
 @query
 def norm_contractions(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _documents(spark, sf).select("doc_id", F.lower(F.concat(F.lit("I won't say she's got y'all's. "), F.col("text"))).alias("t"))
-    rows = rows.withColumn("t", english.drop_fillers(F.col("t")))
-    rows = rows.withColumn("t", english.expand_contractions(F.col("t")))
-    rows = rows.withColumn("t", english.expand_titles(F.col("t")))
-    return rows.select("doc_id", english.expand_endings(F.col("t")).alias("expanded"))
+    prefix = F.lit("I won't say she's got y'all's. ")
+    rows = _documents(spark, sf).select("doc_id", F.lower(F.concat(prefix, F.col("text"))).alias("__text"))
+    return expand_words(rows).withColumnRenamed("__text", "expanded")
 
 
 @query
 def norm_digit_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return _documents(spark, sf).select("doc_id", english.join_digit_groups(F.col("text")).alias("joined"))
+    return _documents(spark, sf).select("doc_id", english.drop_full_stops(english.join_digit_groups(F.col("text"))).alias("joined"))
 
 
 @query
@@ -765,7 +763,7 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
 def stream_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     """Manifest files as a stream, folded into stored sums over several triggers."""
     runs, sums = _written_runs(spark, sf), new_path(spark, "sums")
-    stream = streams.manifest_stream(spark, runs, files_per_trigger=16)
+    stream = streams.manifest_stream(spark, runs, files_per_trigger=200)
     streams.start_leaderboard(stream, sums, new_path(spark, "progress")).awaitTermination()
     return _stored(spark, sums)
 

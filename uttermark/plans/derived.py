@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uttermark.operators.normalize import normalize_corpus
+from uttermark.operators.spreading import spread
 
 MODELS = ["org/model-a", "org/model-b", "org/model-c"]
 MARK = "_"
@@ -22,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised whole documents with at least one word."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text"), "doc_id")
     return normalize_corpus(docs, "text", "multilingual").where(F.col("norm_text") != "").drop("text")
 
 
