@@ -50,7 +50,10 @@ def expand_words(df: DataFrame) -> DataFrame:
     tables = (
         (english.CONTRACTIONS, True, english.may_have_contraction),
         (english.TITLES, True, lambda t: t.isNotNull()),
-        (english.ENDINGS, False, apostrophe),
+        # "n't" is the only ending that begins with a letter: rewriting it can lay the ending before
+        # it open ("he'dn't"), but only to the rules that come after it.
+        (english.ENDINGS[:7], False, apostrophe),
+        (english.ENDINGS[7:], False, apostrophe),
     )
     for rules, whole_words, guard in tables:
         df = _where(df, guard, lambda t, r=rules, w=whole_words: english.fence(t, r, w))
