@@ -5,10 +5,11 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from uttermark.operators.indexing import batch_ids, first_rows
 
@@ -76,10 +77,11 @@ class PermanentError(Exception):
     """Raised by a batch function for a failure that no retry can cure."""
 
 
-BatchFunction = Callable[[pd.DataFrame], pd.DataFrame]
+Columns = dict[str, list]
+BatchFunction = Callable[[Columns], Columns]
 
 
-def _attempt(call: Callable[[], pd.DataFrame], retries: int, pause: float):
+def _attempt(call: Callable[[], Columns], retries: int, pause: float):
     """(result or None, attempts made, last error or None)."""
     for attempt in range(1, retries + 2):
         try:
@@ -105,38 +107,39 @@ def map_batches(
 ) -> DataFrame:
     """Run a batch function over column batches inside the partitions.
 
-    ``function`` takes a frame of at most ``batch_size`` rows (1 for a row-at-a-time function) and
-    returns one with the columns ``adds`` (name, SQL type), in row order.  Each row also gets
-    ``transcription_time_s`` (batch time / rows), ``attempts`` and ``error``.  A batch that still
-    fails keeps its rows with null results, so the loss is visible; ``drop_failed`` removes them.
-    ``parallel`` bounds the number of concurrent calls by the number of partitions.
+    ``function`` takes a dict of column lists of at most ``batch_size`` rows (1 for a row-at-a-time
+    function) and returns one with the columns ``adds`` (name, SQL type), in row order.  Each row
+    also gets ``transcription_time_s`` (batch time / rows), ``attempts`` and ``error``.  A batch that
+    still fails keeps its rows with null results, so the loss is visible; ``drop_failed`` removes
+    them.  ``parallel`` bounds the number of concurrent calls by the number of partitions.
     """
     kept = [f for f in df.schema.fields if f.name not in drop]
-    extra = [T.StructField(name, T.StructType.fromDDL(f"x {kind}")["x"].dataType) for name, kind in adds]
-    accounting = [
-        T.StructField("transcription_time_s", T.DoubleType()),
-        T.StructField("attempts", T.IntegerType()),
-        T.StructField("error", T.StringType()),
-    ]
-    schema = T.StructType(kept + extra + accounting)
-    kept_names, added = [f.name for f in kept], [name for name, _ in adds]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    extra = T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in adds)).fields
+    accounting = T.StructType.fromDDL("transcription_time_s double, attempts int, error string").fields
+    schema = T.StructType([*kept, *extra, *accounting])
+    arrow_schema = to_arrow_schema(schema)
+    kept_names, added = [f.name for f in kept], [f.name for f in extra]
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            for start in range(0, len(frame), batch_size):
-                batch = frame.iloc[start : start + batch_size].reset_index(drop=True)
+            columns = frame.to_pydict()
+            out: Columns = {name: columns[name] for name in kept_names}
+            out.update({f.name: [] for f in (*extra, *accounting)})
+            for start in range(0, frame.num_rows, batch_size):
+                batch = {name: values[start : start + batch_size] for name, values in columns.items()}
+                rows = min(batch_size, frame.num_rows - start)
                 began = time.perf_counter()
                 result, attempts, error = _attempt(lambda: function(batch), retries, pause)
-                spent = (time.perf_counter() - began) / len(batch)
-                answer = batch[kept_names].copy()
+                share = None if result is None else (time.perf_counter() - began) / rows
                 for name in added:
-                    answer[name] = None if result is None else list(result[name])
-                answer["transcription_time_s"] = None if result is None else spent
-                answer["attempts"], answer["error"] = attempts, error
-                yield answer
+                    out[name].extend([None] * rows if result is None else result[name])
+                out["transcription_time_s"].extend([share] * rows)
+                out["attempts"].extend([attempts] * rows)
+                out["error"].extend([error] * rows)
+            yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
 
     source = df.repartition(parallel) if parallel else df
-    return source.mapInPandas(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def drop_failed(df: DataFrame, result: str = "predictions") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -712,22 +711,22 @@ def length_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return batching.length_buckets(docs, "doc_id", "n_chars", budget=60_000, batch=256, order=[F.col("doc_id")])
 
 
-def _flaky(batch: pd.DataFrame, seen: set = set()) -> pd.DataFrame:  # noqa: B006 - one set per worker, on purpose
+def _flaky(batch: dict[str, list], seen: set = set()) -> dict[str, list]:  # noqa: B006 - one set per worker, on purpose
     """A batch function that fails for good on some rows and once on others."""
-    key = int(batch["doc_id"].iloc[0])
+    key = batch["doc_id"][0]
     if key % 40 == 13:
         raise batching.PermanentError("unreadable")
     if key % 25 == 7 and key not in seen:
         seen.add(key)
         raise RuntimeError("busy")
     seen.discard(key)
-    return pd.DataFrame({"predictions": batch["text"] + " (heard)", "references": batch["text"]})
+    return {"predictions": [t + " (heard)" for t in batch["text"]], "references": batch["text"]}
 
 
 @query
 def map_batches_retry(spark: SparkSession, sf: str) -> DataFrame:
     """A row-at-a-time batch function with failures; losses stay visible."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.lit(0).alias("audio"))
+    docs = _documents(spark, sf).select("doc_id", "text", F.lit(0).alias("audio"))
     mapped = batching.map_batches(
         docs, _flaky, [("predictions", "string"), ("references", "string")], batch_size=1, pause=0.0
     )
@@ -736,7 +735,7 @@ def map_batches_retry(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def failed_batches(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    docs = _documents(spark, sf)
     mapped = batching.map_batches(docs, _flaky, [("predictions", "string")], batch_size=1, pause=0.0)
     return batching.failure_report(mapped, ["lang"])
 
