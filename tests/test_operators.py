@@ -228,6 +228,34 @@ def test_join_segments(rows):
     assert df.select(answers.join_segments(F.col("s"))).first()[0] == "ab"
 
 
+def test_join_nested_segments(rows):
+    df = rows([([([("a",), (" b",)],), ([("c",)],)],)], "m array<struct<elements: array<struct<value: string>>>>")
+    assert df.select(answers.join_nested_segments(F.col("m"))).first()[0] == "a bc"
+
+
+def brute_common_substring(left, right):
+    best = ""
+    for end in range(1, len(left) + 1):
+        for start in range(end):
+            if left[start:end] in right and end - start > len(best):
+                best = left[start:end]
+    return best
+
+
+def test_substring_helpers_against_brute_force():
+    draw = random.Random(4)
+    for _ in range(1500):
+        texts = ["".join(draw.choice("abc") for _ in range(draw.randint(0, 9))) for _ in range(draw.randint(1, 5))]
+        merged = texts[0]
+        for text in texts[1:]:
+            assert answers.common_substring(merged, text) == brute_common_substring(merged, text)
+            merged += text[len(brute_common_substring(merged, text)) :]
+        assert answers.merge_by_common_substring(texts) == merged
+        if len(texts) > 1:
+            sizes = [n for n in range(1, 10) if n <= min(map(len, texts[:2])) and texts[0].endswith(texts[1][:n])]
+            assert answers.overlap_length(*texts[:2]) == max(sizes, default=0)
+
+
 # --- chunks ------------------------------------------------------------------------------------
 
 

@@ -89,6 +89,11 @@ def test_english_options(norm):
     assert norm(["my lorry"], profile="english", spelling={"lorry": "truck"}) == ["my truck"]
 
 
+def test_second_pass(norm):
+    assert norm(["1 1"], profile="english") == ["one one"]
+    assert norm(["1 1"], profile="english", passes=2) == ["11"]
+
+
 def test_rule_tables_have_their_size():
     assert len(english.CONTRACTIONS) + len(english.TITLES) + len(english.ENDINGS) == 49
 

@@ -41,6 +41,11 @@ def join_segments(segments: Column, order: str = "idx", text: str = "text") -> C
     return F.trim(F.array_join(F.transform(ordered, lambda s: s["t"]), ""))
 
 
+def join_nested_segments(groups: Column, inner: str = "elements", text: str = "value") -> Column:
+    """Texts of segments nested in groups (speakers, say), in stored order, with no separator."""
+    return F.array_join(F.flatten(F.transform(groups, lambda g: F.transform(g[inner], lambda e: e[text]))), "")
+
+
 def common_substring(left: str, right: str) -> str:
     """Longest common substring; of several, the one that ends first in ``left``."""
 

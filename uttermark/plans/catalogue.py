@@ -171,7 +171,7 @@ def _aligned_runs(spark: SparkSession, sf: str) -> DataFrame:
 def manifest_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Write a manifest table, read it back."""
     path = new_path(spark, "runs")
-    manifests.write_manifest(_aligned_runs(spark, sf), path, [F.col("doc_id")])
+    manifests.write_manifest(_aligned_runs(spark, sf), path, [F.col("doc_id")], keys=["doc_id"])
     return _rounded(manifests.read_runs(spark, path), "duration", "time")
 
 
@@ -361,7 +361,7 @@ def truncate_signal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _limited(spark: SparkSession, sf: str, stage: str) -> DataFrame:
-    rows = _with_markers(spark, sf).drop("n_chars")
+    rows = spread(_with_markers(spark, sf).drop("n_chars"), "doc_id")
     return prepare.prepare(
         rows, limit=100, order=[F.col("doc_id")], limit_stage=stage, profile="multilingual", drop=("text", "original_text")
     )
@@ -493,18 +493,29 @@ def norm_by_language(spark: SparkSession, sf: str) -> DataFrame:
     return normalize_by_language(_documents(spark, sf), "text", "lang").select("doc_id", "lang", "norm_text")
 
 
-@query
-def norm_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """Number folding of spelled-out ids put in front of each turn."""
-    digits = F.split(F.regexp_replace(F.col("conv_id").cast("string"), "(.)", "$1 "), " ")
+def _spoken_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns with an amount in front: the conversation id, digit by digit, in hundreds of dollars."""
+    digits = F.split(F.trim(F.regexp_replace(F.col("conv_id").cast("string"), "(.)", "$1 ")), " ")
     names = F.create_map(*[F.lit(p) for i, w in enumerate(["zero", *numbers.ONES[:9]]) for p in (str(i), w)])
     spelled = F.array_join(F.transform(digits, lambda d: F.try_element_at(names, d)), " ")
     rows = table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.lower(F.concat(spelled, F.lit(" hundred dollars "), F.col("text"))).alias("text")
+        "conv_id", "turn", F.lower(F.concat(spelled, F.lit(" hundred dollars = "), F.col("text"))).alias("text")
     )
     return rows.select("conv_id", "turn", numbers.fold_numbers(F.col("text")).alias("folded"))
 
 
+@query
+def norm_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Number folding of whole turns."""
+    return _spoken_amounts(spark, sf)
+
+
+@query
+def norm_number_amounts(spark: SparkSession, sf: str) -> DataFrame:
+    """The folded amount in front of each turn, which is known."""
+    return _spoken_amounts(spark, sf).select("conv_id", "turn", F.substring_index("folded", " = ", 1).alias("amount"))
+
+
 @query
 def norm_contractions(spark: SparkSession, sf: str) -> DataFrame:
     prefix = F.lit("I won't say she's got y'all's. ")

@@ -254,6 +254,7 @@ ORACLES: dict[str, str] = {
         from conversations""",
     "norm_multilingual": f"select doc_id, {_multilingual('text')} norm_text from documents",
     "norm_pages": f"select page_id, {_multilingual('html')} norm_text from pages",
+    "norm_number_amounts": "select conv_id, turn, '$'||(conv_id*100) amount from conversations",
     "norm_contractions": _contractions(),
     "norm_digit_groups": r"""select doc_id, regexp_replace(regexp_replace(text,'(\p{Nd}),(\p{Nd})','\1\2','g'),'\.([^0-9]|$)',' \1','g') joined
         from documents""",
@@ -285,6 +286,11 @@ ORACLES: dict[str, str] = {
     "chunk_pieces": f"with {CHUNKS} select doc_id, chunk_idx, overlap, substring(chunk_text, overlap+1) piece from pieces",
     "chunk_merge": f"with {CHUNKS} select doc_id, string_agg(substring(chunk_text, overlap+1), '' order by chunk_idx) merged from pieces group by doc_id",
     "chunk_regroup": f"""with {CHUNKS} select doc_id, count(*)::int n, arg_max(chunk_text, chunk_idx) last_text from chunks group by doc_id""",
+    "common_substring": """with p as (select p_partkey, upper(p_name) a, p_type b from part),
+        i as (select *, unnest(range(1, length(a)+1)) st from p), l as (select *, unnest(range(1, length(a)-st+2)) n from i),
+        s as (select p_partkey, substring(a,st,n) c, n, st+n e from l where contains(b, substring(a,st,n))),
+        r as (select *, row_number() over (partition by p_partkey order by n desc, e) k from s)
+        select p.p_partkey, coalesce(c,'') shared from p left join (select * from r where k=1) r using (p_partkey)""",
     "batch_ids": "select doc_id, n_chars, ((row_number() over (order by n_chars desc, doc_id)-1)//128)::int batch_id from documents",
     "batch_amortise": """with b as (select event_id, ((row_number() over (order by event_id)-1)//64)::int batch_id from events)
         select batch_id, event_id, round((batch_id%7+1)::double/count(*) over (partition by batch_id),6) transcription_time_s from b""",
