@@ -53,13 +53,17 @@ def chunk_pieces(chunks: DataFrame, parent: str, idx: str = "chunk_idx", text: s
     """What each chunk adds to its left neighbour: its text without the longest suffix of the
     neighbour that it starts with.
 
-    Neighbours meet by an equi-join on (parent, index), so a parent with very many chunks is spread
-    over all tasks; a window over the parent would hold it in one.
+    Each chunk is sent to its own index and to the next one, where the two meet as a group of at
+    most two rows.  So a parent with very many chunks is spread over all tasks, where a window over
+    the parent would hold it in one, and the input is computed once, where a self-join would take
+    it twice.
     """
-    left = chunks.select(parent, (F.col(idx) + 1).alias(idx), F.col(text).alias("__left"))
-    joined = chunks.join(left, [parent, idx], "left")
-    joined = joined.withColumn("overlap", overlap_chars(F.col("__left"), F.col(text)))
-    return joined.select(parent, idx, "overlap", F.expr(f"substring({text}, overlap + 1)").alias("piece"))
+    offset = F.explode(F.array(F.lit(0), F.lit(1))).alias("__offset")
+    sent = chunks.select(parent, idx, text, offset).withColumn(idx, F.col(idx) + F.col("__offset"))
+    text_at = lambda n: F.max(F.when(F.col("__offset") == n, F.col(text)))
+    met = sent.groupBy(parent, idx).agg(text_at(0).alias(text), text_at(1).alias("__left"))
+    met = met.where(F.col(text).isNotNull()).withColumn("overlap", overlap_chars(F.col("__left"), F.col(text)))
+    return met.select(parent, idx, "overlap", F.substring(F.col(text), F.col("overlap") + 1, F.length(text)).alias("piece"))
 
 
 def merge_chunks(

@@ -10,6 +10,17 @@ SINGLE_TASK_ROWS = 1_000_000
 _SAMPLE_PER_BUCKET = 20
 
 
+def _key(order: list[Column]) -> Column:
+    """The order columns as one comparable value; nulls come first, as in an ascending sort."""
+    return F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+
+
+def _constant(value, df: DataFrame, key: Column) -> Column:
+    """A collected key value as a literal of the key's type."""
+    fields = df.select(key.alias("k")).schema["k"].dataType.fields
+    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(value, fields)])
+
+
 def _cut_points(df: DataFrame, key: Column, rows: int, buckets: int) -> list:
     """``buckets - 1`` (or fewer) order keys that split the rows about evenly.
 
@@ -67,18 +78,12 @@ def dense_index(
 
     spark = df.sparkSession
     buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    key = _key(order)
     points = _cut_points(df, key, rows, buckets)
     if not points:
         return dense_index(df, by, order, out, single_task_rows=rows)
-    key_type = df.select(key.alias("k")).schema["k"].dataType
-    # One constant row; it is folded into the plan as a literal.
-    cuts = F.array(
-        *[
-            F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(p, key_type.fields)])
-            for p in points
-        ]
-    )
+    # One constant array; it is folded into the plan as a literal.
+    cuts = F.array(*[_constant(point, df, key) for point in points])
     placed = df.withColumn("__range", _bucket(key, cuts, len(points)))
     group = [*by, "__range"]
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,14 +106,25 @@ def dense_index(
 def first_rows(df: DataFrame, n: int | None, order: list[Column]) -> DataFrame:
     """The first ``n`` rows in ``order``; ``None`` or a value below 1 means all.
 
-    Up to ``SINGLE_TASK_ROWS`` the top-k operator keeps ``n`` rows per task.  A larger ``n`` would
-    end in one task, so it is taken by row number instead.
+    A first job finds the ``n``-th order key with the top-k operator, on the keys alone; the result
+    is a filter by that key.  A bare ``orderBy().limit()`` is not enough: the optimizer moves later
+    projections below the limit, where the top-k operator is no longer recognised, and the whole
+    table gets sorted.  The last ``limit`` only settles ties.  More than ``SINGLE_TASK_ROWS`` rows
+    are taken by row number.
     """
     if n is None or n <= 0:
         return df
-    if n <= SINGLE_TASK_ROWS:
-        return df.orderBy(*order).limit(n)
-    return dense_index(df, [], order, "__at").where(F.col("__at") < n).drop("__at")
+    if n > SINGLE_TASK_ROWS:
+        return dense_index(df, [], order, "__at").where(F.col("__at") < n).drop("__at")
+    key = _key(order)
+    last = df.select(key.alias("k")).orderBy("k").limit(n).agg(F.max("k").alias("k")).first()["k"]
+    if last is None:
+        return df.limit(0)
+    if len(order) == 1 and last[0] is not None:
+        reached = order[0].isNull() | (order[0] <= F.lit(last[0]))  # a form the scan can push down
+    else:
+        reached = key <= _constant(last, df, key)
+    return df.where(reached).orderBy(*order).limit(n)
 
 
 def batch_ids(df: DataFrame, size: int, order: list[Column], by: list[str] | None = None, out: str = "batch_id") -> DataFrame:

@@ -448,7 +448,12 @@ def language_split_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    return table(spark, sf, "documents").select("doc_id", "lang", "text")
+
+
+def _spread_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """For work that costs much more than a shuffle of the rows."""
+    return spread(_documents(spark, sf), "doc_id")
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -457,12 +462,12 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def norm_basic(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize_corpus(_documents(spark, sf), "text", "basic").select("doc_id", "norm_text")
+    return normalize_corpus(_spread_documents(spark, sf), "text", "basic").select("doc_id", "norm_text")
 
 
 @query
 def norm_basic_plain(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize_corpus(_documents(spark, sf), "text", "basic", remove_diacritics=True).select("doc_id", "norm_text")
+    return normalize_corpus(_spread_documents(spark, sf), "text", "basic", remove_diacritics=True).select("doc_id", "norm_text")
 
 
 @query
@@ -474,23 +479,23 @@ def norm_graphemes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def norm_multilingual(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize_corpus(_documents(spark, sf), "text", "multilingual").select("doc_id", "norm_text")
+    return normalize_corpus(_spread_documents(spark, sf), "text", "multilingual").select("doc_id", "norm_text")
 
 
 @query
 def norm_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Mark-up removal: the span rules on raw pages."""
-    return normalize_corpus(table(spark, sf, "pages"), "html", "multilingual").select("page_id", "norm_text")
+    return normalize_corpus(spread(table(spark, sf, "pages").select("page_id", "html"), "page_id"), "html", "multilingual").select("page_id", "norm_text")
 
 
 @query
 def norm_english(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize_corpus(_documents(spark, sf), "text", "english").select("doc_id", "norm_text")
+    return normalize_corpus(_spread_documents(spark, sf), "text", "english").select("doc_id", "norm_text")
 
 
 @query
 def norm_by_language(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize_by_language(_documents(spark, sf), "text", "lang").select("doc_id", "lang", "norm_text")
+    return normalize_by_language(_spread_documents(spark, sf), "text", "lang").select("doc_id", "lang", "norm_text")
 
 
 def _spoken_amounts(spark: SparkSession, sf: str) -> DataFrame:
@@ -519,7 +524,7 @@ def norm_number_amounts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def norm_contractions(spark: SparkSession, sf: str) -> DataFrame:
     prefix = F.lit("I won't say she's got y'all's. ")
-    rows = _documents(spark, sf).select("doc_id", F.lower(F.concat(prefix, F.col("text"))).alias("__text"))
+    rows = _spread_documents(spark, sf).select("doc_id", F.lower(F.concat(prefix, F.col("text"))).alias("__text"))
     return expand_words(rows).withColumnRenamed("__text", "expanded")
 
 
@@ -535,7 +540,7 @@ def norm_currency_strip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def spelling_rewrite(spark: SparkSession, sf: str) -> DataFrame:
-    rows = normalize_corpus(_documents(spark, sf), "text", "multilingual")
+    rows = normalize_corpus(_spread_documents(spark, sf), "text", "multilingual")
     return rows.select("doc_id", english.rewrite_words(F.col("norm_text"), DICTIONARY).alias("rewritten"))
 
 
@@ -631,7 +636,7 @@ def mono_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chunk_texts(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _documents(spark, sf).withColumn("len", F.length("text"))
+    docs = _spread_documents(spark, sf).withColumn("len", F.length("text"))
     plan = chunks.chunk_plan(docs, "len", rate=10)
     return plan.select("doc_id", "chunk_idx", F.substring("text", (F.col("chunk_start") + 1).cast("int"), (F.col("chunk_end") - F.col("chunk_start")).cast("int")).alias("chunk_text"))
 
@@ -737,7 +742,7 @@ def _flaky(batch: dict[str, list], seen: set = set()) -> dict[str, list]:  # noq
 @query
 def map_batches_retry(spark: SparkSession, sf: str) -> DataFrame:
     """A row-at-a-time batch function with failures; losses stay visible."""
-    docs = _documents(spark, sf).select("doc_id", "text", F.lit(0).alias("audio"))
+    docs = _spread_documents(spark, sf).select("doc_id", "text", F.lit(0).alias("audio"))
     mapped = batching.map_batches(
         docs, _flaky, [("predictions", "string"), ("references", "string")], batch_size=1, pause=0.0
     )
@@ -746,7 +751,7 @@ def map_batches_retry(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def failed_batches(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _documents(spark, sf)
+    docs = _spread_documents(spark, sf)
     mapped = batching.map_batches(docs, _flaky, [("predictions", "string")], batch_size=1, pause=0.0)
     return batching.failure_report(mapped, ["lang"])
 

@@ -72,6 +72,8 @@ def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.abs(F.get("embedding", F.lit(0)).cast("double")).alias("whisper"),
         F.abs(F.get("embedding", F.lit(1)).cast("double")).alias("seamless"),
     )
+    # One shuffle serves both groupings below.
+    vectors = vectors.repartition("record")
     takes = F.array_sort(F.collect_list(F.struct("k", "embedding", "whisper", "seamless")))
     sentences = vectors.groupBy("record", "part").agg(takes.alias("takes")).select(
         "record",
