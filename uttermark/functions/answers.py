@@ -152,12 +152,12 @@ def merge_by_common_substring(texts: list[str]) -> str:
     Each loses as many leading characters as its longest common substring with the text so far is
     long, wherever that substring lies.
     """
-    if len(texts) == 1:
-        return texts[0]
     merged = GrowingText()
-    for text in texts:
+    for text in texts[:-1]:
         merged.append(text[merged.shared_length(text) :])
-    return str(merged)
+    # Nothing is matched against the last chunk, so it need not be taken in.
+    last = texts[-1] if texts else ""
+    return str(merged) + last[merged.shared_length(last) :]
 
 
 @F.arrow_udf(StringType())

@@ -776,9 +776,9 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def stream_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    """Manifest files as a stream, folded into stored sums over several triggers."""
+    """Manifest files as a stream, folded into stored sums."""
     runs, sums = _written_runs(spark, sf), new_path(spark, "sums")
-    stream = streams.manifest_stream(spark, runs, files_per_trigger=200)
+    stream = streams.manifest_stream(spark, runs, files_per_trigger=1000)
     streams.start_leaderboard(stream, sums, new_path(spark, "progress")).awaitTermination()
     return _stored(spark, sums)
 
