@@ -17,6 +17,8 @@ from pyspark.sql.types import StringType
 # Contents of a character class: every white-space character, and every word character.
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
+# White space among the control characters.
+CONTROL_SPACE = r"\x09-\x0d\x1c-\x1f\x85"
 
 # Zero-width tests for the two ends of a word.
 WORD_START = rf"(?<![{WORD}])"
@@ -87,6 +89,17 @@ def has_any(text: Column, pieces: list[str]) -> Column:
     return reduce(lambda found, piece: found | F.contains(text, F.lit(piece)), pieces, F.lit(False))
 
 
+def may_be_untidy(text: Column) -> Column:
+    """Not surely words separated by single spaces; byte searches except for non-ASCII rows."""
+    controls = ["\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x1f"]
+    return (
+        has_any(text, ["  ", *controls])
+        | F.startswith(text, F.lit(" "))
+        | F.endswith(text, F.lit(" "))
+        | (~is_ascii(text) & text.rlike(r"[\x85\p{Z}&&[^ ]]"))
+    )
+
+
 def drop_bracket_spans(text: Column) -> Column:
     """Remove ``<...>`` and ``[...]`` spans; the two kinds may be mixed."""
     return F.regexp_replace(text, r"[<\[][^>\]]*[>\]]", "")
@@ -146,8 +159,13 @@ def only_words(text: Column) -> Column:
 
 
 def symbols_and_space_to_space(text: Column) -> Column:
-    """Runs of marks, symbols, punctuation and white space become one space."""
-    return F.regexp_replace(text, rf"[[^\p{{L}}\p{{N}}\p{{C}}]{SPACE}]+", " ")
+    """Runs of marks, symbols, punctuation and white space become one space.
+
+    White space among the control characters is turned first: two plain classes are searched faster
+    than their union.
+    """
+    text = F.regexp_replace(text, rf"[{CONTROL_SPACE}]", " ")
+    return F.regexp_replace(text, r"[^\p{L}\p{N}\p{C}]+", " ")
 
 
 def collapse_space(text: Column) -> Column:
@@ -161,8 +179,13 @@ def strip(text: Column) -> Column:
 
 
 def graphemes(text: Column) -> Column:
-    """Grapheme clusters joined by spaces, for character-level scoring."""
-    return F.array_join(F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0)), " ")
+    """Grapheme clusters joined by spaces, for character-level scoring.
+
+    ``text`` must be a plain attribute.  In ASCII every character is a cluster but for ``\\r\\n``.
+    """
+    plain = is_ascii(text) & ~F.contains(text, F.lit("\r"))
+    clusters = F.when(plain, F.split(text, "")).otherwise(F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0)))
+    return F.array_join(clusters, " ")
 
 
 def drop_special_tokens(text: Column) -> Column:

@@ -32,7 +32,8 @@ def _basic(df: DataFrame, out: str, remove_diacritics: bool, split_letters: bool
     df = _without_spans(df)
     letters = (tx.plain_letters if remove_diacritics else tx.composed)(F.col("__text"), engine)
     if split_letters:
-        return df.withColumn(out, tx.collapse_space(tx.graphemes(tx.symbols_to_space(letters))))
+        df = df.withColumn("__text", tx.symbols_to_space(letters))
+        return df.withColumn(out, tx.collapse_space(tx.graphemes(F.col("__text"))))
     return df.withColumn(out, tx.symbols_and_space_to_space(letters))
 
 
