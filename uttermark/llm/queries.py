@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.llm import exact_dedup, language_id, packing, secret_scan, sharding, simhash
+from uttermark.llm import exact_dedup, language_id, packing, secret_scan, sentencepieces, sharding, simhash, token_counts
 from uttermark.llm.common import documents
 from uttermark.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return language_id.identify(docs, language_id.fit(docs))
@@ -33,6 +37,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the SHA-256 of what they decode to."""
+    coded = sentencepieces.decode(sentencepieces.encode(documents(spark, sf_dir)))
+    return coded.select("doc_id", "n_ids", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(documents(spark, sf_dir), shards=24)
     return placed.select(
