@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.llm import exact_dedup, language_id, packing, secret_scan, sentencepieces, sharding, simhash, token_counts
+from uttermark.llm import (
+    exact_dedup,
+    language_id,
+    line_rules,
+    packing,
+    secret_scan,
+    sentencepieces,
+    sharding,
+    simhash,
+    token_counts,
+    weak_quality,
+)
 from uttermark.llm.common import documents
 from uttermark.llm.oracles import ORACLES
 
@@ -33,10 +44,20 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(documents(spark, sf_dir))
 
 
+def op6_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return weak_quality.quality_scores(docs, weak_quality.fit(docs))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return line_rules.quality_rules(docs, line_rules.fit(docs))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the SHA-256 of what they decode to."""
     coded = sentencepieces.decode(sentencepieces.encode(documents(spark, sf_dir)))
