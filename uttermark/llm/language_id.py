@@ -64,7 +64,10 @@ class Model:
 
 
 def fit_rows(kernel: Kernel, rows: np.ndarray, langs: list[str], landmarks: int, ridge: float) -> Model:
-    """Kernel ridge regression in the span of the landmarks: the first ``landmarks`` rows, dealt over the languages in turn."""
+    """Kernel ridge regression in the span of the landmarks: the first ``landmarks`` rows, dealt over the languages in turn.
+
+    ``rows`` is scaled in place.
+    """
     languages = tuple(sorted(set(langs)))
     turn: dict[str, int] = {}
     rank = []
@@ -72,7 +75,8 @@ def fit_rows(kernel: Kernel, rows: np.ndarray, langs: list[str], landmarks: int,
         turn[lang] = turn.get(lang, 0) + 1
         rank.append((turn[lang], lang, i))
     chosen = [i for _, _, i in sorted(rank)[:landmarks]]
-    unit = rows / np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
+    unit = rows
+    unit /= np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
     marks = unit[chosen]
     near = (unit @ marks.T).astype(np.float64)
     own = near[chosen]
@@ -128,7 +132,9 @@ def fit(
     rows = drawn.mapInArrow(run, "lang string, at long, bits binary")
     first = F.row_number().over(Window.partitionBy("lang").orderBy("at", "bits"))
     taken = rows.withColumn("rank", first).where(F.col("rank") <= each).orderBy("lang", "rank").select("lang", "bits").collect()
-    dense = np.vstack([np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: kernel.dims] for r in taken]).astype(np.float32)
+    dense = np.empty((len(taken), kernel.dims), np.float32)
+    for row, r in zip(dense, taken):
+        row[:] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: kernel.dims]
     return fit_rows(kernel, dense, [r["lang"] for r in taken], landmarks, ridge)
 
 
