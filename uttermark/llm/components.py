@@ -21,9 +21,9 @@ def components(links: DataFrame) -> DataFrame:
     neighbours to the smallest of them, until nothing changes; the number of rounds grows with the logarithm
     of the longest path.  Smallest neighbours are pre-aggregated before their shuffle, and hubs go through
     the join whose hot keys are proven few.  Lineage is cut each round with a reliable checkpoint.  An empty
-    link table gives an empty result; links of a node with itself make it a node and no more.
+    link table gives an empty result; links of a node with itself say nothing and are left out.
     """
-    pairs = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    pairs = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     edges = checkpointed(pairs)
     seen = _mark(edges)
     for _ in range(MOST_ROUNDS):

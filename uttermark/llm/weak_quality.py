@@ -79,7 +79,7 @@ def fit_labellers(patterns: dict[int, int], rounds: int = 100, strength: float =
     """
     codes = sorted(patterns)
     n = len(LABELLERS)
-    cast = np.array([[code // 3**i % 3 for i in range(n)] for code in codes]).reshape(len(codes), n)
+    cast = np.array([[code // 3**i % 3 for i in range(n)] for code in codes], np.int64).reshape(len(codes), n)
     weight = np.array([patterns[c] for c in codes], np.float64)
     good = np.where((cast == BAD).any(1), 0.1, 0.9)
     table = np.repeat(BELIEF[None], n, axis=0)
