@@ -75,7 +75,8 @@ def fit_labellers(patterns: dict[int, int], rounds: int = 100, strength: float =
 
     Expectation-maximisation over pattern counts, which stand for all rows: at most 3**9 of them.  Texts are
     bad in several ways that exclude one another, so that an abstention says nothing about the class: only
-    votes cast enter the posterior.  ``BELIEF`` counts as ``strength`` times the rows.
+    votes cast enter the posterior.  ``BELIEF`` counts as ``strength`` times the rows, and the start takes every
+    vote for bad at its word: false alarms must be rare, or texts with one are counted as bad.
     """
     codes = sorted(patterns)
     n = len(LABELLERS)
