@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from uttermark.functions import answers
-from uttermark.operators import align, batching, chunks, indexing, nested, prepare
+from uttermark.operators import align, batching, chunks, indexing, metrics, nested, prepare
 from uttermark.operators.spreading import spread
 from uttermark.operators.staging import shared_folder, staged
 from uttermark.sources import utterances
@@ -356,3 +356,53 @@ def test_spread_and_stage(spark):
     assert spread(wide, "id").rdd.getNumPartitions() == 64
     assert staged(small, "t").count() == 10
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_batches_run_over_frame_borders(spark):
+    """Frames of 100 rows, batches of a size that does not divide them and of one above them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        for size, want in ((64, {64: 256, 44: 44}), (256, {256: 256, 44: 44})):
+            df = spark.range(300).coalesce(1)
+            got = batching.map_batches(df, lambda c: {"seen": [len(c["id"])] * len(c["id"])}, [("seen", "int")], batch_size=size, drop=())
+            assert {r.seen: r["count"] for r in got.groupBy("seen").count().collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_result_of_the_wrong_length_fails(spark):
+    got = batching.map_batches(spark.range(5), lambda c: {"seen": [1]}, [("seen", "int")], batch_size=5, drop=())
+    with pytest.raises(Exception, match="the batch function got"):
+        got.coalesce(1).collect()
+
+
+def test_lost_hypotheses_count_as_deletions(rows):
+    runs = rows([("m", "a b c", "a b c", 1.0, 1.0), ("m", "a b c d", None, 1.0, 1.0)], "model string, text string, pred_text string, duration double, time double")
+    got = metrics.score_runs(runs, ["model"]).first()
+    assert (got.errors, got.words) == (4, 7)
+
+
+def test_options_reach_both_profiles(rows):
+    from uttermark.operators.normalize import normalize_by_language, normalize_corpus
+
+    docs = rows([("fr", "l’eau café"), ("en", "acme™ ℃")], "lang string, t string")
+    got = {r.lang: r.norm_text for r in normalize_by_language(docs, "t", "lang", remove_diacritics=False, fold_apostrophes=True).collect()}
+    alone = normalize_corpus(docs.where("lang = 'fr'"), "t", "multilingual", remove_diacritics=False, fold_apostrophes=True).first()
+    assert got["fr"] == alone.norm_text and "é" in got["fr"]
+    assert got["en"].split() == ["acmeTM", "C"]
+    with pytest.raises(Exception, match="no profile for Chinese"):
+        normalize_by_language(rows([("zh", "x")], "lang string, t string"), "t", "lang").collect()
+
+
+def test_joined_segments_lose_all_white_space_at_the_ends(rows):
+    from uttermark.functions.answers import join_segments
+
+    df = rows([([(0, "\n a"), (1, "b\t")],)], "s array<struct<idx:int,text:string>>")
+    assert df.select(join_segments(F.col("s"))).first()[0] == "ab"
+
+
+def test_special_tokens_end_at_line_feeds_alone(rows):
+    from uttermark.functions.text import drop_special_tokens
+
+    df = rows([("<|a\rb|>x",), ("<|a\nb|>x",)], "t string")
+    assert [r[0] for r in df.select(drop_special_tokens(F.col("t"))).collect()] == ["x", "<|a\nb|>x"]

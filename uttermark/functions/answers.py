@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
+from uttermark.functions.text import strip
+
 # The answer letters and the closing instruction of the numbered prompt.
 ANSWER_LETTERS = "ABCD"
 INSTRUCTION = (
@@ -38,7 +40,7 @@ def lettered_prompt(question: Column, options: list[Column]) -> Column:
 def join_segments(segments: Column, order: str = "idx", text: str = "text") -> Column:
     """Texts of an array of segment structs, in order, with no separator, stripped."""
     ordered = F.array_sort(F.transform(segments, lambda s: F.struct(s[order].alias("k"), s[text].alias("t"))))
-    return F.trim(F.array_join(F.transform(ordered, lambda s: s["t"]), ""))
+    return strip(F.array_join(F.transform(ordered, lambda s: s["t"]), ""))
 
 
 def join_nested_segments(groups: Column, inner: str = "elements", text: str = "value") -> Column:

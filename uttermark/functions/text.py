@@ -111,7 +111,7 @@ def drop_paren_spans(text: Column) -> Column:
 
 
 def plain_letters(text: Column, engine: str = "jvm") -> Column:
-    """Decompose, drop non-spacing marks, spell out the special letters, lower the case.
+    """Decompose, drop non-spacing marks, spell out the special letters; the case stays as decomposition leaves it.
 
     ``text``, lower-case already, must be a plain attribute: it is referenced several times.  ASCII rows pass through.
     """
@@ -121,7 +121,7 @@ def plain_letters(text: Column, engine: str = "jvm") -> Column:
     for letter, spelling in SPECIAL_LETTERS.items():
         if len(spelling) > 1:
             folded = F.replace(folded, F.lit(letter), F.lit(spelling))
-    return F.when(~is_ascii(text), F.lower(folded)).otherwise(text)
+    return F.when(~is_ascii(text), folded).otherwise(text)
 
 
 def composed(text: Column, engine: str = "jvm") -> Column:
@@ -190,7 +190,7 @@ def graphemes(text: Column) -> Column:
 
 def drop_special_tokens(text: Column) -> Column:
     """Strip decoder tags such as ``<|en|>`` from model output."""
-    return F.regexp_replace(strip(text), r"<\|.*?\|>", "")
+    return F.regexp_replace(strip(text), r"<\|[^\n]*?\|>", "")
 
 
 def blank_to_space(text: Column) -> Column:

@@ -107,8 +107,8 @@ def map_batches(
 ) -> DataFrame:
     """Run a batch function over column batches inside the partitions.
 
-    ``function`` takes a dict of column lists of at most ``batch_size`` rows (1 for a row-at-a-time
-    function) and returns one with the columns ``adds`` (name, SQL type), in row order.  Each row
+    ``function`` takes a dict of column lists of ``batch_size`` rows (1 for a row-at-a-time function;
+    fewer only at the end of a partition) and returns one with the columns ``adds`` (name, SQL type), in row order.  Each row
     also gets ``transcription_time_s`` (batch time / rows), ``attempts`` and ``error``.  A batch that
     still fails keeps its rows with null results, so the loss is visible; ``drop_failed`` removes
     them.  ``parallel`` bounds the number of concurrent calls by the number of partitions.
@@ -120,23 +120,39 @@ def map_batches(
     arrow_schema = to_arrow_schema(schema)
     kept_names, added = [f.name for f in kept], [f.name for f in extra]
 
+    def scored(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        rows, columns = table.num_rows, table.to_pydict()
+        began = time.perf_counter()
+        result, attempts, error = _attempt(lambda: function(columns), retries, pause)
+        share = None if result is None else (time.perf_counter() - began) / rows
+        new: Columns = {name: [None] * rows if result is None else list(result[name]) for name in added}
+        wrong = {name: len(values) for name, values in new.items() if len(values) != rows}
+        if wrong:
+            raise ValueError(f"the batch function got {rows} rows and gave {wrong}")
+        new |= {"transcription_time_s": [share] * rows, "attempts": [attempts] * rows, "error": [error] * rows}
+        arrays = [
+            table.column(f.name).cast(f.type).combine_chunks() if f.name in kept_names else pa.array(new[f.name], f.type)
+            for f in arrow_schema
+        ]
+        arrays = [a if isinstance(a, pa.Array) else pa.concat_arrays(a.chunks) for a in arrays]
+        return pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches run over the borders of Arrow frames; only the last one of a partition can be short."""
+        parts: list[pa.RecordBatch] = []
+        held = 0
         for frame in frames:
-            columns = frame.to_pydict()
-            out: Columns = {name: columns[name] for name in kept_names}
-            out.update({f.name: [] for f in (*extra, *accounting)})
-            for start in range(0, frame.num_rows, batch_size):
-                batch = {name: values[start : start + batch_size] for name, values in columns.items()}
-                rows = min(batch_size, frame.num_rows - start)
-                began = time.perf_counter()
-                result, attempts, error = _attempt(lambda: function(batch), retries, pause)
-                share = None if result is None else (time.perf_counter() - began) / rows
-                for name in added:
-                    out[name].extend([None] * rows if result is None else result[name])
-                out["transcription_time_s"].extend([share] * rows)
-                out["attempts"].extend([attempts] * rows)
-                out["error"].extend([error] * rows)
-            yield pa.RecordBatch.from_pydict(out, schema=arrow_schema)
+            at = 0
+            while at < frame.num_rows:
+                part = frame.slice(at, batch_size - held)
+                parts.append(part)
+                at, held = at + part.num_rows, held + part.num_rows
+                if held == batch_size:
+                    yield scored(parts)
+                    parts, held = [], 0
+        if parts:
+            yield scored(parts)
 
     source = df.repartition(parallel) if parallel else df
     return source.mapInArrow(run, schema)

@@ -30,7 +30,9 @@ def _without_spans(df: DataFrame) -> DataFrame:
 
 def _basic(df: DataFrame, out: str, remove_diacritics: bool, split_letters: bool, engine: str) -> DataFrame:
     df = _without_spans(df)
-    letters = (tx.plain_letters if remove_diacritics else tx.composed)(F.col("__text"), engine)
+    # These two profiles lower the text again; the English one does not ("tm" out of a sign stays "TM").
+    plain = F.lower(tx.plain_letters(F.col("__text"), engine))
+    letters = plain if remove_diacritics else tx.composed(F.col("__text"), engine)
     if split_letters:
         df = df.withColumn("__text", tx.symbols_to_space(letters))
         return df.withColumn(out, tx.collapse_space(tx.graphemes(F.col("__text"))))
@@ -39,7 +41,9 @@ def _basic(df: DataFrame, out: str, remove_diacritics: bool, split_letters: bool
 
 def _multilingual(df: DataFrame, out: str, remove_diacritics: bool, engine: str) -> DataFrame:
     df = _without_spans(df)
-    letters = (tx.plain_letters if remove_diacritics else tx.composed)(F.col("__text"), engine)
+    # These two profiles lower the text again; the English one does not ("tm" out of a sign stays "TM").
+    plain = F.lower(tx.plain_letters(F.col("__text"), engine))
+    letters = plain if remove_diacritics else tx.composed(F.col("__text"), engine)
     return df.withColumn(out, tx.only_words(letters))
 
 
@@ -121,17 +125,21 @@ def normalize_by_language(
     df: DataFrame, text_col: str, language_col: str, out: str = "norm_text", **options
 ) -> DataFrame:
     """Choose the profile row by row: English rows get the English profile, the others the
-    multilingual one.  A CASE picks the text each profile sees, so neither runs on rows it does not
-    own and the table is read once.
+    multilingual one, with the same options (``spelling`` is for English alone).  A CASE picks the text
+    each profile sees, so neither runs on rows it does not own and the table is read once.  A Chinese
+    row (``zh``) fails the job, as no profile is meant for it.
     """
     english_row = F.col(language_col) == "en"
     df = df.withColumns(
         {
             "__english": F.when(english_row, F.col(text_col)),
-            "__other": F.when(~F.coalesce(english_row, F.lit(False)), F.col(text_col)),
+            "__other": F.when(F.col(language_col) == "zh", F.raise_error(F.lit("no profile for Chinese")).cast("string")).when(
+                ~F.coalesce(english_row, F.lit(False)), F.col(text_col)
+            ),
         }
     )
     df = normalize_corpus(df, "__english", "english", "__norm_english", **options)
-    df = normalize_corpus(df, "__other", "multilingual", "__norm_other")
+    shared = {name: value for name, value in options.items() if name != "spelling"}
+    df = normalize_corpus(df, "__other", "multilingual", "__norm_other", **shared)
     df = df.withColumn(out, F.coalesce("__norm_english", "__norm_other"))
     return df.drop("__english", "__other", "__norm_english", "__norm_other")
