@@ -406,3 +406,15 @@ def test_special_tokens_end_at_line_feeds_alone(rows):
 
     df = rows([("<|a\rb|>x",), ("<|a\nb|>x",)], "t string")
     assert [r[0] for r in df.select(drop_special_tokens(F.col("t"))).collect()] == ["x", "<|a\nb|>x"]
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None, set=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("local[4]"))
+    for master in ("local-cluster[2,1,1024]", "yarn", "spark://host:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))

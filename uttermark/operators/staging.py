@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The session's ``spark.checkpoint.dir``.
+
+    Where none is set, a local master gets a temporary folder, as driver and executors are one process;
+    on a cluster that is an error, since every machine would write to its own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="uttermark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
