@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from uttermark.functions import answers
@@ -25,15 +26,15 @@ def test_ranges_number_like_one_window(spark, kind):
         "double": [-F.sqrt(F.col("k"))],
         "pair": [F.col("k") % 3, F.col("id")],
     }[kind]
-    split = indexing.dense_index(df, ["g"], order, "at", single_task_rows=0, buckets=16)
-    plain = indexing.dense_index(df, ["g"], order, "at")
+    split = indexing.dense_index(df, ["g"], order, "at", buckets=16)
+    plain = df.withColumn("at", (F.row_number().over(Window.partitionBy("g").orderBy(*order)) - 1).cast("long"))
     assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
 
 
 def test_ranges_are_even_for_a_hot_group(spark):
     df = spark.range(50_000).select(F.lit("hot").alias("g"), (F.col("id") % 5).alias("tied"), "id")
     key = F.struct(F.col("tied").alias("o0"), F.col("id").alias("o1"))
-    cuts = indexing._cut_points(df, key, 50_000, 20)
+    cuts = indexing._cut_points(df, key, 20)
     assert 15 <= len(cuts) <= 19
     array = F.array(*[F.struct(*[F.lit(v).cast("long").alias(f"o{i}") for i, v in enumerate(c)]) for c in cuts])
     sizes = df.select(indexing._bucket(key, array, len(cuts)).alias("b")).groupBy("b").count()
@@ -42,7 +43,7 @@ def test_ranges_are_even_for_a_hot_group(spark):
 
 def test_numbering_without_group(spark):
     df = spark.range(5000)
-    got = indexing.dense_index(df, [], [-F.col("id")], "at", single_task_rows=0, buckets=8)
+    got = indexing.dense_index(df, [], [-F.col("id")], "at", buckets=8)
     assert got.where("at <> 4999 - id").count() == 0
 
 
@@ -418,3 +419,77 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     for master in ("local-cluster[2,1,1024]", "yarn", "spark://host:7077"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared_folder(session(master))
+
+
+# --- refusals and plans ------------------------------------------------------------------------
+
+
+def test_numbering_refuses_an_order_that_cannot_be_cut(spark):
+    df = spark.range(5_000).select((F.col("id") % 2).alias("k"), "id")
+    with pytest.raises(ValueError, match="breaks ties"):
+        indexing.dense_index(df, [], [F.col("k")], "at", buckets=8)
+    got = indexing.dense_index(df, [], [F.col("k"), F.col("id")], "at", buckets=8)
+    assert got.where("at <> id div 2 + k * 2500").count() == 0 and dict(got.dtypes)["at"] == "bigint"
+
+
+def test_numbering_of_many_groups_with_few_order_keys(spark):
+    df = spark.range(6_000).select(F.expr("id div 3").alias("g"), (F.col("id") % 3).alias("k"))
+    assert indexing.dense_index(df, ["g"], [F.col("k")], "at", buckets=8).where("at <> k").count() == 0
+
+
+def test_numbering_of_small_and_empty_tables(spark):
+    assert indexing.dense_index(spark.range(0), [], [F.col("id")], "at", buckets=8).count() == 0
+    assert [tuple(r) for r in indexing.dense_index(spark.range(1), [], [F.col("id")], "at", buckets=8).collect()] == [(0, 0)]
+    nulls = spark.createDataFrame([(None, 2), (None, 1), ("a", None)], "g string, k int")
+    got = {(r.g, r.k): r.at for r in indexing.dense_index(nulls, ["g"], [F.col("k")], "at", buckets=8).collect()}
+    assert got == {(None, 1): 0, (None, 2): 1, ("a", None): 0}
+
+
+def test_batches_are_numbered_once(spark):
+    shared = batching.share_batches(spark.range(1_000), 64, [F.col("id")], F.lit(64.0))
+    plan = shared._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 1000") == 2  # shifts and numbers
+    assert {(r.batch_id, r.transcription_time_s) for r in shared.collect() if r.batch_id in (0, 15)} == {(0, 1.0), (15, 1.6)}
+
+
+def test_limit_filters_the_scan_by_key(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(200).select("id", F.when(F.col("id") % 2 == 0, " ").otherwise("a word").alias("text")).write.parquet(path)
+    got = prepare.prepare(spark.read.parquet(path), limit=3, order=[F.col("id")], profile="multilingual")
+    assert [r.id for r in got.collect()] == [1, 3, 5]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(IsNull(id),LessThanOrEqual(id,5))]" in plan
+
+
+def test_two_chunks_at_one_place_fail(rows):
+    df = rows([("p", 0, "abc"), ("p", 0, "zzz"), ("p", 1, "def")], "d string, chunk_idx int, chunk_text string")
+    for mode in ("overlap", "reference"):
+        with pytest.raises(Exception, match="same index"):
+            chunks.merge_chunks(df, "d", mode=mode).collect()
+
+
+def _record(rows, signals, kind, rates):
+    audio = [(s, r) for s, r in zip(signals, rates)]
+    sentences = [(i, "t", [a], [0.1], [0.1]) for i, a in enumerate(audio)]
+    return rows(
+        [(1, sentences)],
+        f"record int, sentence_data array<struct<id:int,transcription:string,audio:array<struct<array:{kind},sampling_rate:int>>,"
+        "whisper_asr_cer:array<double>,seamlessm4t_asr_cer:array<double>>>",
+    )
+
+
+def test_channels_are_averaged_in_assembly(rows):
+    stereo = _record(rows, [[[1.0, 3.0], [2.0, 4.0]], [[0.0, 1.0]]], "array<array<double>>", [16, 16])
+    assert nested.assemble_records(stereo, "best", F.lit("eng_Latn"), rate=16).first().audio == [2.0, 3.0, 0.5]
+
+
+def test_mixed_rates_fail_in_assembly(rows):
+    mixed = _record(rows, [[1.0], [2.0]], "array<double>", [16, 8])
+    with pytest.raises(Exception, match="different sampling rates"):
+        nested.assemble_records(mixed, "best", F.lit("eng_Latn"), rate=16).collect()
+
+
+def test_lost_hypotheses_are_counted(rows):
+    df = rows([("a b c", "a b c", 1.0, 1.0), ("a b c d", None, 1.0, 1.0)], "text string, pred_text string, duration double, time double")
+    got = metrics.score_runs(df.withColumn("run", F.lit(1)), ["run"]).first()
+    assert (got.samples, got.lost, got.errors, got.words) == (2, 1, 4, 7)

@@ -80,8 +80,16 @@ NUMERIC_SYMBOLS = ".%$¢€£"
 SPELLING_FAMILIES = [
     (
         "arm behavi clam col endeav fav flav glam harb hon hum lab neighb od parl rum sav splend tum val vap vig",
-        "our", "or", " s ed ing er ers able ably ful less ite ites ist hood hoods",
+        "our", "or", " s",
     ),
+    ("arm clam col endeav fav flav harb hon hum lab sav vap", "our", "or", "ed ing"),
+    ("arm lab", "our", "or", "er ers"),
+    ("fav hon", "our", "or", "able ably"),
+    ("fav", "our", "or", "ite ites"),
+    ("behavi", "our", "or", "al ist"),
+    ("neighb", "our", "or", "hood hoods ing"),
+    ("col fav flav hum od", "our", "or", "less"),
+    ("col", "our", "or", "ful fully"),
     (
         "apolog author capital categor character civil critic emphas final general global harmon maxim memor minim"
         " modern national normal optim organ popular priorit real recogn special stabil standard summar symbol util"

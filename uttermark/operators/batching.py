@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -34,6 +34,17 @@ def spread_evenly(df: DataFrame, total: Column, by: list[str], out: str) -> Data
     return df.join(sizes, by).withColumn(out, total / F.col("__k")).drop("__k")
 
 
+def share_batches(
+    df: DataFrame, size: int, order: list[Column], total: Column, out: str = "transcription_time_s"
+) -> DataFrame:
+    """Batches of ``size`` rows in ``order``, each row with an even share of its batch's ``total``.
+
+    ``total`` may use ``batch_id``.  A batch is bounded, so a window counts it; the table is numbered once.
+    """
+    batched = batch_ids(df, size, order)
+    return batched.withColumn(out, total / F.count(F.lit(1)).over(Window.partitionBy("batch_id")))
+
+
 def length_buckets(
     df: DataFrame, key: str, length: str, budget: int, batch: int, order: list[Column]
 ) -> DataFrame:

@@ -11,6 +11,10 @@ from uttermark.functions.answers import fold_by_common_substring, overlap_chars
 CHUNK_SECONDS, OVERLAP_SECONDS, WHOLE_UP_TO_SECONDS = 25, 5, 30
 
 
+def _repeated(kind: str) -> Column:
+    return F.raise_error(F.lit("two chunks of one parent have the same index")).cast(kind)
+
+
 def chunk_spans(length: Column, size: int, overlap: int, whole_up_to: int) -> Column:
     """Array of (idx, start, end), end exclusive; one span when the length is at most ``whole_up_to``."""
     step = size - overlap
@@ -44,9 +48,12 @@ def chunk_plan(
 
 
 def regroup_chunks(chunks: DataFrame, parent: str, idx: str = "chunk_idx", text: str = "chunk_text") -> DataFrame:
-    """Chunk texts of each parent in order, as one array."""
+    """Chunk texts of each parent in order, as one array.  Two chunks at one place fail."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(text).alias("t"))))
-    return chunks.groupBy(parent).agg(F.transform(pairs, lambda p: p["t"]).alias("texts"))
+    grouped = chunks.groupBy(parent).agg(pairs.alias("pairs"))
+    repeated = F.size(F.array_distinct("pairs.i")) < F.size("pairs")
+    texts = F.when(repeated, _repeated("array<string>")).otherwise(F.col("pairs.t"))
+    return grouped.select(parent, texts.alias("texts"))
 
 
 def chunk_pieces(chunks: DataFrame, parent: str, idx: str = "chunk_idx", text: str = "chunk_text") -> DataFrame:
@@ -56,12 +63,13 @@ def chunk_pieces(chunks: DataFrame, parent: str, idx: str = "chunk_idx", text: s
     Each chunk is sent to its own index and to the next one, where the two meet as a group of at
     most two rows.  So a parent with very many chunks is spread over all tasks, where a window over
     the parent would hold it in one, and the input is computed once, where a self-join would take
-    it twice.
+    it twice.  Two chunks of a parent at one place fail.
     """
     offset = F.explode(F.array(F.lit(0), F.lit(1))).alias("__offset")
     sent = chunks.select(parent, idx, text, offset).withColumn(idx, F.col(idx) + F.col("__offset"))
     text_at = lambda n: F.max(F.when(F.col("__offset") == n, F.col(text)))
-    met = sent.groupBy(parent, idx).agg(text_at(0).alias(text), text_at(1).alias("__left"))
+    met = sent.groupBy(parent, idx).agg(text_at(0).alias(text), text_at(1).alias("__left"), F.count_if(F.col("__offset") == 0).alias("__n"))
+    met = met.withColumn(text, F.when(F.col("__n") > 1, _repeated("string")).otherwise(F.col(text)))
     met = met.where(F.col(text).isNotNull()).withColumn("overlap", overlap_chars(F.col("__left"), F.col(text)))
     return met.select(parent, idx, "overlap", F.substring(F.col(text), F.col("overlap") + 1, F.length(text)).alias("piece"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group this small may be numbered by one task; the size is checked by a count.
-SINGLE_TASK_ROWS = 1_000_000
+# A limit up to this many rows is looked up as a key; a larger one is taken by row number.
+LOOKUP_ROWS = 1_000_000
 _SAMPLE_PER_BUCKET = 20
 
 
@@ -21,27 +21,33 @@ def _constant(value, df: DataFrame, key: Column) -> Column:
     return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(value, fields)])
 
 
-def _cut_points(df: DataFrame, key: Column, rows: int, buckets: int) -> list:
+def _cut_points(df: DataFrame, key: Column, buckets: int) -> list:
     """``buckets - 1`` (or fewer) order keys that split the rows about evenly.
 
-    They come from a hash sample whose expected size is fixed, so the driver holds a bounded list
-    whatever the table size.  They steer balance only: any cut points give the same numbers.
+    They come from the rows with the smallest key hashes, a uniform sample of fixed size, so the
+    driver holds a bounded list whatever the table size.  They steer balance only: any cut points
+    give the same numbers.  A key that nearly every row shares cannot be cut and is refused.
     """
-    keep_one_in = max(1, rows // (buckets * _SAMPLE_PER_BUCKET))
+    wanted = buckets * _SAMPLE_PER_BUCKET
     sample = (
         df.select(key.alias("k"))
-        .where(F.pmod(F.xxhash64("k"), F.lit(keep_one_in)) == 0)
-        .limit(4 * buckets * _SAMPLE_PER_BUCKET)
-        .agg(F.array_sort(F.collect_set("k")).alias("ks"))
+        .withColumn("hash", F.xxhash64("k"))
+        .orderBy("hash")
+        .limit(wanted)
+        .agg(F.count(F.lit(1)).alias("rows"), F.array_sort(F.collect_set("k")).alias("ks"))
         .select(
+            "rows",
+            F.size("ks").alias("keys"),
             F.transform(
                 F.sequence(F.lit(1), F.lit(buckets - 1)),
                 lambda i: F.get("ks", (i * F.size("ks") / buckets).cast("int")),
-            ).alias("cuts")
+            ).alias("cuts"),
         )
-        .select(F.array_distinct(F.filter("cuts", lambda c: c.isNotNull())).alias("cuts"))
-    )
-    return sample.first()["cuts"]
+        .select("rows", "keys", F.array_distinct(F.filter("cuts", lambda c: c.isNotNull())).alias("cuts"))
+    ).first()
+    if sample["rows"] == wanted and sample["keys"] * 10 < wanted:
+        raise ValueError("too few distinct order keys within the groups; add a column that breaks ties")
+    return sample["cuts"]
 
 
 def _bucket(key: Column, cuts: Column, count: int) -> Column:
@@ -57,34 +63,23 @@ def _bucket(key: Column, cuts: Column, count: int) -> Column:
 
 
 def dense_index(
-    df: DataFrame,
-    by: list[str],
-    order: list[Column],
-    out: str = "idx",
-    single_task_rows: int = SINGLE_TASK_ROWS,
-    buckets: int | None = None,
+    df: DataFrame, by: list[str], order: list[Column], out: str = "idx", buckets: int | None = None
 ) -> DataFrame:
-    """Number the rows of each ``by`` group 0, 1, 2, ... in ascending ``order``.
+    """Number the rows of each ``by`` group 0, 1, 2, ... (``bigint``) in ascending ``order``.
 
-    ``order`` must be unique within a group for the numbers to be reproducible.  A table of at most
-    ``single_task_rows`` rows takes a plain window.  A larger one is cut into ranges of the order
-    key: each (group, range) is numbered on its own and shifted by the rows of the ranges before it.
-    Any group, however hot, is spread over all ranges.  The input is read four times (count,
-    sample, range counts, numbers), so pass a stored table (see ``staging.staged``).
+    ``order`` must be unique within a group for the numbers to be reproducible.  The table is cut into
+    ranges of the order key: each (group, range) is numbered on its own and shifted by the rows of the
+    ranges before it.  Any group, however hot, is spread over all ranges.  The input is read three times
+    (sample, range counts, numbers), so pass a stored table (see ``staging.staged``).
     """
-    rows = df.count()
-    if rows <= single_task_rows:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(*order)) - 1)
-
     spark = df.sparkSession
     buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key = _key(order)
-    points = _cut_points(df, key, rows, buckets)
-    if not points:
-        return dense_index(df, by, order, out, single_task_rows=rows)
+    # The group follows the order: ranges cut between groups too where many groups share few order keys.
+    key = _key([*order, *[F.col(c) for c in by]])
+    points = _cut_points(df, key, buckets)
     # One constant array; it is folded into the plan as a literal.
-    cuts = F.array(*[_constant(point, df, key) for point in points])
-    placed = df.withColumn("__range", _bucket(key, cuts, len(points)))
+    cuts = F.array(*[_constant(point, df, key) for point in points]) if points else F.array()
+    placed = df.withColumn("__range", _bucket(key, cuts, len(points)) if points else F.lit(0))
     group = [*by, "__range"]
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     # One row per (group, range): small next to the data, and combined before the shuffle.
@@ -99,35 +94,40 @@ def dense_index(
     for part in same[1:]:
         condition = condition & part
     return numbered.join(shift, condition).select(
-        *[numbered[c] for c in df.columns], (F.col("__at") + F.col("__shift")).cast("int").alias(out)
+        *[numbered[c] for c in df.columns], (F.col("__at") + F.col("__shift")).cast("long").alias(out)
     )
 
 
+def reached(df: DataFrame, n: int, order: list[Column]) -> Column:
+    """Condition that a row's order key is at most the ``n``-th one of ``df``.
+
+    One job finds that key with the top-k operator, on the keys alone.
+    """
+    key = _key(order)
+    last = df.select(key.alias("k")).orderBy("k").limit(n).agg(F.max("k").alias("k")).first()["k"]
+    if last is None:
+        return F.lit(False)
+    if len(order) == 1 and last[0] is not None:
+        return order[0].isNull() | (order[0] <= F.lit(last[0]))  # a form the scan can push down
+    return key <= _constant(last, df, key)
+
+
 def first_rows(df: DataFrame, n: int | None, order: list[Column]) -> DataFrame:
     """The first ``n`` rows in ``order``; ``None`` or a value below 1 means all.
 
-    A first job finds the ``n``-th order key with the top-k operator, on the keys alone; the result
-    is a filter by that key.  A bare ``orderBy().limit()`` is not enough: the optimizer moves later
-    projections below the limit, where the top-k operator is no longer recognised, and the whole
-    table gets sorted.  The last ``limit`` only settles ties.  More than ``SINGLE_TASK_ROWS`` rows
-    are taken by row number.
+    The result is a filter by the ``n``-th order key.  A bare ``orderBy().limit()`` is not enough: the
+    optimizer moves later projections below the limit, where the top-k operator is no longer recognised,
+    and the whole table gets sorted.  The last ``limit`` only settles ties.  More than ``LOOKUP_ROWS``
+    rows are taken by row number.
     """
     if n is None or n <= 0:
         return df
-    if n > SINGLE_TASK_ROWS:
+    if n > LOOKUP_ROWS:
         return dense_index(df, [], order, "__at").where(F.col("__at") < n).drop("__at")
-    key = _key(order)
-    last = df.select(key.alias("k")).orderBy("k").limit(n).agg(F.max("k").alias("k")).first()["k"]
-    if last is None:
-        return df.limit(0)
-    if len(order) == 1 and last[0] is not None:
-        reached = order[0].isNull() | (order[0] <= F.lit(last[0]))  # a form the scan can push down
-    else:
-        reached = key <= _constant(last, df, key)
-    return df.where(reached).orderBy(*order).limit(n)
+    return df.where(reached(df, n, order)).orderBy(*order).limit(n)
 
 
 def batch_ids(df: DataFrame, size: int, order: list[Column], by: list[str] | None = None, out: str = "batch_id") -> DataFrame:
     """Fixed-size batches over the chosen order: ``floor(index / size)``."""
     indexed = dense_index(df, by or [], order, "__at")
-    return indexed.withColumn(out, F.floor(F.col("__at") / size).cast("int")).drop("__at")
+    return indexed.withColumn(out, F.expr(f"__at div {int(size)}")).drop("__at")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Languages one of the two error-rate sources cannot judge.
 SEAMLESS_UNSUPPORTED = [
@@ -37,8 +38,10 @@ def chosen_position(sentence: Column, language: Column, strategy: str, seed: int
     drawn from a hash of ``key``, the sentence id and ``seed``, so a rerun draws the same.
     """
     if strategy == "random":
-        draw = F.xxhash64(*([key] if key is not None else []), sentence["id"], F.lit(seed))
-        return (F.pmod(draw, F.size(sentence["audio"]).cast("long")) + 1).cast("int")
+        parts = [key] if key is not None else []
+        named = F.concat_ws(":", *[p.cast("string") for p in (*parts, sentence["id"], F.lit(seed))])
+        draw = F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long")
+        return (draw % F.size(sentence["audio"]) + 1).cast("int")
     if strategy not in ("best", "worst"):
         raise ValueError(f"unknown strategy {strategy!r}")
     scores = recording_scores(sentence, language)
@@ -98,11 +101,18 @@ def assemble_records(
 ) -> DataFrame:
     """Sort sentences, choose recordings, concatenate their signals into ``audio``, drop the nested
     column, and keep records of at most ``max_seconds``.  ``limit_stage`` says on which side of
-    that filter the ``limit`` acts."""
+    that filter the ``limit`` acts.  Signals of several channels become their means first; a record
+    with recordings of different sampling rates fails, as they share no one length."""
     from uttermark.operators.indexing import first_rows
 
     chosen = select_recordings(records, strategy, language, key=key, seed=seed)
-    whole = chosen.withColumn("audio", concatenated(F.transform("chosen", lambda c: c["audio"]["array"])))
+    signal = chosen.schema["chosen"].dataType.elementType["audio"].dataType["array"].dataType
+    channels = isinstance(signal.elementType, T.ArrayType)
+    parts = F.transform("chosen", lambda c: to_mono(c["audio"]["array"]) if channels else c["audio"]["array"])
+    rates = F.array_distinct(F.transform("chosen", lambda c: c["audio"]["sampling_rate"]))
+    mixed = F.raise_error(F.lit("recordings of one record have different sampling rates"))
+    kind = "array<double>" if channels else signal.simpleString()
+    whole = chosen.withColumn("audio", F.when(F.size(rates) > 1, mixed.cast(kind)).otherwise(concatenated(parts)))
     whole = whole.drop("sentence_data", "chosen")
     if limit_stage == "before":
         whole = first_rows(whole, limit, order or [])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uttermark.functions.text import has_cjk, has_no_runs, is_scorable
-from uttermark.operators.indexing import first_rows
+from uttermark.operators.indexing import LOOKUP_ROWS, first_rows, reached
 from uttermark.operators.normalize import normalize_by_language, normalize_corpus, profile_of_language
 from uttermark.sources.utterances import EXTENDED_TEXT_COLUMNS, TEXT_COLUMNS, text_column
 
@@ -78,6 +78,7 @@ def prepare(
     """Derive the texts, keep scorable rows, and take the first ``limit`` rows.
 
     ``limit_stage`` decides whether the limit counts rows ``before`` or ``after`` the filter;
+    ``order`` uses columns of the given table.
     ``filter_on='original_text'`` tests the raw transcript.  ``drop`` names heavy columns that are
     not needed any more.
     """
@@ -85,9 +86,16 @@ def prepare(
         raise ValueError("a limit needs an explicit order")
     if limit_stage == "before":
         df = first_rows(df, limit, order or [])
-    df = derive_texts(df, **texts).where(is_scorable(F.col(filter_on)))
-    if chinese:
-        df = df.where(has_no_runs(F.col("norm_text")) & has_cjk(F.col("norm_text")))
+
+    def kept(rows: DataFrame) -> DataFrame:
+        rows = derive_texts(rows, **texts).where(is_scorable(F.col(filter_on)))
+        return rows.where(has_no_runs(F.col("norm_text")) & has_cjk(F.col("norm_text"))) if chinese else rows
+
+    if limit_stage == "after" and limit and 0 < limit <= LOOKUP_ROWS:
+        # The key of the last row filters the table as it was given, so that it reaches the scan and only
+        # the rows up to it are derived again.
+        return kept(df.where(reached(kept(df), limit, order))).orderBy(*order).limit(limit).drop(*drop)
+    df = kept(df)
     if limit_stage == "after":
         df = first_rows(df, limit, order or [])
     return df.drop(*drop)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from uttermark.functions.words import with_char_errors, with_word_errors
 from uttermark.operators import align, batching, chunks, indexing, metrics, nested, prepare
 from uttermark.operators.normalize import expand_words, normalize_by_language, normalize_corpus
 from uttermark.operators.spreading import spread
-from uttermark.operators.staging import new_path
+from uttermark.operators.staging import new_path, staged
 from uttermark.plans.derived import damaged, manifest, question_records, references, table
 from uttermark.sources import manifests, utterances
 from uttermark.streaming import leaderboard as streams
@@ -84,6 +86,23 @@ def wer_by_model_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(scores, "wer").select("model_id", "dataset_id", "samples", "errors", "words", "wer")
 
 
+@query
+def wer_with_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """Every thirteenth hypothesis is lost: all its reference words are errors, and the loss is counted."""
+    rows = manifest(spark, sf).withColumn("pred_text", F.when(F.col("doc_id") % 13 != 0, F.col("pred_text")))
+    scores = metrics.score_runs(rows, ["model_id", "dataset_id"])
+    return _rounded(scores, "wer").select("model_id", "dataset_id", "samples", "lost", "errors", "words", "wer")
+
+
+@query
+def wer_of_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole turns scored against the next turn of their conversation: unrelated, moved and repeated words."""
+    turns = normalize_corpus(spread(_turns(spark, sf), "conv_id", "turn"), "text", "multilingual").select("conv_id", "turn", "norm_text")
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("norm_text").alias("pred_text"))
+    scored = with_word_errors(turns.join(following, ["conv_id", "turn"]), "norm_text", "pred_text")
+    return scored.select("conv_id", "turn", "errs", "words")
+
+
 @query
 def wer_percent(spark: SparkSession, sf: str) -> DataFrame:
     """The two-decimal form."""
@@ -177,9 +196,9 @@ def manifest_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sample_index(spark: SparkSession, sf: str) -> DataFrame:
-    """Dense sample numbers per run, by ranges of the order key (the way large tables take)."""
+    """Dense sample numbers per run, by ranges of the order key."""
     docs = table(spark, sf, "documents").select("doc_id", "lang")
-    return indexing.dense_index(docs, ["lang"], [F.col("doc_id")], "sample_idx", single_task_rows=0)
+    return indexing.dense_index(docs, ["lang"], [F.col("doc_id")], "sample_idx")
 
 
 @query
@@ -189,7 +208,7 @@ def sample_index_by_text_key(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("event_id") % 10 == 0, "small").otherwise("hot").alias("run"),
         F.concat(F.lit("utt-"), F.col("event_id").cast("string")).alias("utterance"),
     )
-    return indexing.dense_index(rows, ["run"], [F.col("utterance")], "sample_idx", single_task_rows=0)
+    return indexing.dense_index(rows, ["run"], [F.col("utterance")], "sample_idx")
 
 
 @query
@@ -211,6 +230,28 @@ def manifest_identity(spark: SparkSession, sf: str) -> DataFrame:
     return trimmed.select("doc_id", "model_id", "exact_dataset_id", "dataset_id")
 
 
+@query
+def discover_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Result files found below a folder: everything, one model, and what its name occurs in."""
+    path = new_path(spark, "results")
+    rows = table(spark, sf, "documents").select(
+        F.concat(F.lit("sample_"), F.col("doc_id")).alias("audio_filepath"),
+        F.lit(1.0).alias("duration"), F.lit(1.0).alias("time"), "text", F.concat("text", F.lit("!")).alias("pred_text"),
+        manifests.file_name(
+            F.when(F.col("doc_id") % 2 == 0, "org/big").otherwise("org/big-v2"), F.lit("docs"), F.col("lang"), F.lit("test.clean")
+        ).alias("file"),
+    )
+    rows.write.partitionBy("file").json(path)
+    counted = None
+    for scope, options in (("all", {}), ("one", {"model": "org/big"}), ("like", {"model": "org/big", "exact": False})):
+        found = manifests.discover(spark, path, **options).groupBy("model_id", "dataset_id").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.length("pred_text")).alias("letters")
+        )
+        found = found.select(F.lit(scope).alias("scope"), "*")
+        counted = found if counted is None else counted.unionByName(found)
+    return counted
+
+
 # --- alignment and matrix ----------------------------------------------------------------------
 
 
@@ -357,7 +398,7 @@ def truncate_signal(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.col("embedding").alias("array"), (F.col("label") % 2 + 1).alias("sampling_rate")).alias("audio"),
     )
     cut = prepare.truncated(F.col("audio.array"), F.col("audio.sampling_rate"))
-    return rows.select("vec_id", prepare.seconds().alias("audio_length_s"), F.size(cut).alias("kept"))
+    return rows.select("vec_id", prepare.seconds().alias("audio_length_s"), F.size(cut).alias("kept"), _weighted(cut).alias("weighted"))
 
 
 def _limited(spark: SparkSession, sf: str, stage: str) -> DataFrame:
@@ -391,6 +432,42 @@ def text_column_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.col(utterances.text_column(rows)).alias("original_text"))
 
 
+@query
+def text_column_extended(spark: SparkSession, sf: str) -> DataFrame:
+    """A question table: its text is in a column that only the longer list of names has."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("title"), F.col("text").alias("Questions"))
+    derived = prepare.derive_texts(rows, profile="multilingual", extended=True)
+    return derived.select("conv_id", "turn", "original_text", "norm_text")
+
+
+@query
+def audio_column_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """Audio columns by dataset path, by the name ``wav``, and as they are, under one name."""
+    vectors = table(spark, sf, "embeddings")
+    given = {"flac": "org/ASMR-en", "wav": "org/plain", "mp3": "data/adi-gov-tw", "audio": "org/plain"}
+    parts = [
+        utterances.with_audio_column(
+            vectors.where(F.col("vec_id") % len(given) == i).select("vec_id", F.struct(F.col("embedding").alias("array")).alias(name)), path
+        )
+        for i, (name, path) in enumerate(given.items())
+    ]
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.select("vec_id", _weighted("audio.array").alias("weighted"))
+
+
+@query
+def short_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Short utterances of one split, whose audio is stored as ``wav``."""
+    path = new_path(spark, "short")
+    vectors = table(spark, sf, "embeddings")
+    vectors.select(
+        "vec_id", (F.col("vec_id") % 60).cast("double").alias("duration"), F.struct(F.col("embedding").alias("array")).alias("wav"),
+        F.lit("en").alias("config"), F.when(F.col("vec_id") % 3 == 0, "dev").otherwise("test").alias("split"),
+    ).write.partitionBy("config", "split").parquet(path)
+    rows = utterances.load_short_split(spark, path, "en", "test")
+    return rows.select("vec_id", "duration", _weighted("audio.array").alias("weighted"))
+
+
 @query
 def language_from_config(spark: SparkSession, sf: str) -> DataFrame:
     configs = table(spark, sf, "documents").select(
@@ -544,6 +621,23 @@ def spelling_rewrite(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", english.rewrite_words(F.col("norm_text"), DICTIONARY).alias("rewritten"))
 
 
+# British words of every built-in family.
+BRITISH = (
+    "colour labouring honourable favourite neighbourhoods humourless organisation realised analysing theatres catalogue"
+    " cancelled traveller defences greyer armoury"
+)
+
+
+@query
+def spelling_families(spark: SparkSession, sf: str) -> DataFrame:
+    """The built-in spelling families: each document with one British word behind it."""
+    words = F.array(*[F.lit(w) for w in BRITISH.split()])
+    rows = normalize_corpus(_spread_documents(spark, sf), "text", "multilingual")
+    spoken = F.concat_ws(" ", "norm_text", F.get(words, (F.col("doc_id") % F.size(words)).cast("int")))
+    rows = rows.select("doc_id", spoken.alias("spoken"))
+    return rows.select("doc_id", english.rewrite_words(F.col("spoken"), english.spelling_table()).alias("rewritten"))
+
+
 @query
 def special_tokens(spark: SparkSession, sf: str) -> DataFrame:
     rows = _turns(spark, sf).withColumn("text", F.concat(F.lit("<|en|>"), F.col("text"), F.lit("<|end|> ")))
@@ -571,11 +665,26 @@ def prompt_build(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def segment_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines of a document as segments, stored backwards, joined in order."""
-    lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct(i.alias("idx"), t.alias("text")))
+    """Lines of a document as segments, stored backwards, joined in order; each ends in white space."""
+    padded = lambda t: F.concat(F.lit("\n"), t, F.lit("\t\n"))
+    lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct(i.alias("idx"), padded(t).alias("text")))
     return _documents(spark, sf).select("doc_id", answers.join_segments(F.reverse(lines)).alias("joined"))
 
 
+@query
+def nested_segment_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of a document's lines as segments of speakers."""
+    words = lambda line: F.transform(F.split(line, " "), lambda w: F.struct(w.alias("value")))
+    groups = F.transform(F.split("text", "\n"), lambda line: F.struct(words(line).alias("elements")))
+    return _documents(spark, sf).select("doc_id", answers.join_nested_segments(groups).alias("joined"))
+
+
+def _weighted(signal):
+    """Every sample counts with its position, so that a wrong, lost or moved one shows."""
+    terms = F.transform(signal, lambda x, i: x.cast("double") * (i + 1))
+    return F.round(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), 4)
+
+
 # --- nested records ----------------------------------------------------------------------------
 
 
@@ -605,22 +714,27 @@ def candidate_random(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def record_concat(spark: SparkSession, sf: str) -> DataFrame:
     whole = nested.assemble_records(
-        question_records(spark, sf), "best", F.col("language"), rate=16, max_seconds=16, limit_stage="after"
+        question_records(spark, sf), "best", F.col("language"), rate=16, max_seconds=10, limit_stage="after"
     )
-    return whole.select(
-        "record",
-        F.size("audio").alias("samples"),
-        F.round(F.get("audio", F.lit(0)).cast("double"), PERCENT).alias("first"),
-        F.round(F.element_at("audio", -1).cast("double"), PERCENT).alias("last"),
+    return whole.select("record", F.size("audio").alias("samples"), _weighted("audio").alias("weighted"))
+
+
+@query
+def record_limit(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten records, taken before those that are too long go."""
+    whole = nested.assemble_records(
+        question_records(spark, sf), "worst", F.col("language"), rate=16, max_seconds=10, limit=10, order=[F.col("record")]
     )
+    return whole.select("record", F.size("audio").alias("samples"), _weighted("audio").alias("weighted"))
 
 
 @query
 def flatten_recordings(spark: SparkSession, sf: str) -> DataFrame:
-    flat = nested.flatten_recordings(question_records(spark, sf), ["record"], max_seconds=30)
+    flat = nested.flatten_recordings(question_records(spark, sf), ["record"], max_seconds=2.5)
     return flat.select(
         "record", "sentence_pos", "audio_pos", "text",
-        F.round(F.get("audio.array", F.lit(0)).cast("double"), PERCENT).alias("first"),
+        F.size("audio.array").alias("samples"),
+        _weighted("audio.array").alias("weighted"),
     )
 
 
@@ -663,10 +777,17 @@ def chunk_merge_fold(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.merge_chunks(_chunk_texts(spark, sf), "doc_id", mode="reference")
 
 
+@query
+def chunk_fold_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The same fold over the words of each part's name."""
+    words = table(spark, sf, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("chunk_idx", "chunk_text"))
+    return chunks.merge_chunks(words, "p_partkey", mode="reference")
+
+
 @query
 def chunk_regroup(spark: SparkSession, sf: str) -> DataFrame:
     grouped = chunks.regroup_chunks(_chunk_texts(spark, sf), "doc_id")
-    return grouped.select("doc_id", F.size("texts").alias("n"), F.element_at("texts", -1).alias("last_text"))
+    return grouped.select("doc_id", F.size("texts").alias("n"), F.md5(F.array_join("texts", "|")).alias("texts_md5"))
 
 
 @query
@@ -689,9 +810,9 @@ def batch_ids(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def batch_amortise(spark: SparkSession, sf: str) -> DataFrame:
     """The time of a batch, shared evenly by its rows."""
-    rows = indexing.batch_ids(table(spark, sf, "events").select("event_id"), 64, [F.col("event_id")])
     runtime = (F.col("batch_id") % 7 + 1).cast("double")
-    return _rounded(batching.spread_evenly(rows, runtime, ["batch_id"], "transcription_time_s"), "transcription_time_s")
+    shared = batching.share_batches(table(spark, sf, "events").select("event_id"), 64, [F.col("event_id")], runtime)
+    return _rounded(shared, "transcription_time_s")
 
 
 @query
@@ -749,6 +870,50 @@ def map_batches_retry(spark: SparkSession, sf: str) -> DataFrame:
     return mapped.select("doc_id", F.length("predictions").alias("n"), "attempts", "error")
 
 
+def _seen(batch: dict[str, list]) -> dict[str, list]:
+    """Tells every row how many rows its batch has."""
+    return {"batch_rows": [len(batch["l_orderkey"])] * len(batch["l_orderkey"])}
+
+
+def _batch_sizes(spark: SparkSession, sf: str, size: int) -> DataFrame:
+    """Every row and the size of the batch it went through, in four lanes of known order."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    lanes = lines.repartitionById(4, (F.col("l_suppkey") % 4).cast("int")).sortWithinPartitions("l_orderkey", "l_linenumber", "l_suppkey")
+    mapped = batching.map_batches(lanes, _seen, [("batch_rows", "int")], batch_size=size, drop=())
+    return mapped.select("l_orderkey", "l_linenumber", "l_suppkey", "batch_rows")
+
+
+@query
+def map_batches_small(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches that do not divide an Arrow frame."""
+    return _batch_sizes(spark, sf, 96)
+
+
+@query
+def map_batches_large(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches larger than an Arrow frame."""
+    return _batch_sizes(spark, sf, 12_000)
+
+
+def _answered(batch: dict[str, list]) -> dict[str, list]:
+    lane = TaskContext.get().partitionId()
+    return {"predictions": [t + "!" for t in batch["text"]], "lane": [lane] * len(batch["text"])}
+
+
+@query
+def map_batches_parallel(spark: SparkSession, sf: str) -> DataFrame:
+    """A bounded number of concurrent calls; ``lanes`` counts them."""
+    mapped = batching.map_batches(
+        _documents(spark, sf), _answered, [("predictions", "string"), ("lane", "int")], batch_size=8, parallel=4
+    )
+    return mapped.agg(
+        F.count_distinct("lane").alias("lanes"),
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.length("predictions")).alias("letters"),
+        F.count_if(F.col("predictions") == F.concat("text", F.lit("!"))).alias("right"),
+    )
+
+
 @query
 def failed_batches(spark: SparkSession, sf: str) -> DataFrame:
     docs = _spread_documents(spark, sf)
@@ -759,14 +924,11 @@ def failed_batches(spark: SparkSession, sf: str) -> DataFrame:
 # --- streams -----------------------------------------------------------------------------------
 
 
-def _written_runs(spark: SparkSession, sf: str) -> str:
-    path = new_path(spark, "runs")
-    rows = _aligned_runs(spark, sf)
-    # The stream reads the rows, not their numbers, so the manifest is written without numbering.
-    rows.select(*manifests.RUN_KEYS, F.lit("").alias("audio_filepath"), "duration", "time", "text", "pred_text").write.option(
-        "ignoreNullFields", "false"
-    ).partitionBy(*manifests.RUN_KEYS).json(path)
-    return path
+def _write_runs(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """The stream reads the rows, not their numbers, so the manifest is written without numbering."""
+    rows.select(*manifests.RUN_KEYS, F.lit("").alias("audio_filepath"), "duration", "time", "text", "pred_text").write.mode(
+        mode
+    ).option("ignoreNullFields", "false").option("partitionOverwriteMode", "dynamic").partitionBy(*manifests.RUN_KEYS).json(path)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
@@ -776,16 +938,24 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
 
 @query
 def stream_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    """Manifest files as a stream, folded into stored sums."""
-    runs, sums = _written_runs(spark, sf), new_path(spark, "sums")
-    stream = streams.manifest_stream(spark, runs, files_per_trigger=1000)
-    streams.start_leaderboard(stream, sums, new_path(spark, "progress")).awaitTermination()
+    """Manifest files that arrive in three parts, folded into the stored sums."""
+    rows, runs = staged(_aligned_runs(spark, sf), "aligned"), new_path(spark, "runs")
+    sums, progress = new_path(spark, "sums"), new_path(spark, "progress")
+    for part in range(3):
+        _write_runs(rows.where(F.col("doc_id") % 3 == part), runs)
+        stream = streams.manifest_stream(spark, runs)
+        streams.start_leaderboard(stream, sums, progress).awaitTermination()
     return _stored(spark, sums)
 
 
 @query
 def stream_rescoring(spark: SparkSession, sf: str) -> DataFrame:
-    """Changed runs found by a stream and rescored whole."""
-    runs, sums = _written_runs(spark, sf), new_path(spark, "sums")
-    streams.start_rescoring(spark, runs, sums, new_path(spark, "progress")).awaitTermination()
+    """One model's results first have lost every hypothesis; its rerun replaces them and is rescored."""
+    rows, runs = staged(_aligned_runs(spark, sf), "aligned"), new_path(spark, "runs")
+    sums, progress = new_path(spark, "sums"), new_path(spark, "progress")
+    faulty = F.col("model") == "org/model-b"
+    _write_runs(rows.withColumn("pred_text", F.when(~faulty, F.col("pred_text"))), runs)
+    streams.start_rescoring(spark, runs, sums, progress).awaitTermination()
+    _write_runs(rows.where(faulty), runs, "overwrite")
+    streams.start_rescoring(spark, runs, sums, progress).awaitTermination()
     return _stored(spark, sums)

@@ -122,11 +122,15 @@ def _contractions() -> str:
     return f"with {', '.join(steps)} select doc_id, t expanded from t{len(steps) - 1}"
 
 
+def _weighted(signal: str) -> str:
+    return f"coalesce(round(list_sum(list_transform({signal}, lambda x, i: x::double*i)),4),0) weighted"
+
+
 def _language_set(codes: list[str]) -> str:
     return ",".join(f"'{c}'" for c in codes)
 
 
-RECORDINGS = f"""vecs as (select vec_id//12 record, (vec_id%12)//3 part, vec_id%3 k, embedding e,
+RECORDINGS = f"""vecs as (select vec_id//12 record, (vec_id%12)//3 part, vec_id%3 k, embedding[1:16+vec_id%49] e,
     abs(embedding[1]::double) whisper, abs(embedding[2]::double) seamless,
     ['eng_Latn','xho_Latn','hau_Latn','zul_Latn'][(vec_id//12)%4+1] lang from embeddings),
 judged as (select *, 453-part sid, case when lang in ({_language_set(nested.WHISPER_UNSUPPORTED)}) then seamless
@@ -146,7 +150,7 @@ neighbours as (select *, lag(chunk_text) over (partition by doc_id order by chun
 pieces as (select doc_id, chunk_idx, chunk_text, coalesce(list_max(list_filter(range(1, least(length(prev),length(chunk_text))+1),
     lambda n: right(prev,n)=left(chunk_text,n))),0)::int overlap from neighbours)"""
 
-BUCKETS = """with recursive docs as (select doc_id, n_chars, ((row_number() over (order by doc_id)-1)//256)::int batch_id from documents),
+BUCKETS = """with recursive docs as (select doc_id, n_chars, ((row_number() over (order by doc_id)-1)//256)::bigint batch_id from documents),
 ranked as (select *, row_number() over (partition by batch_id order by n_chars, doc_id) rn from docs),
 walk as (select batch_id, doc_id, n_chars, rn, 0 bucket_id, 1 held from ranked where rn=1
   union all
@@ -172,11 +176,57 @@ def _rewrite() -> str:
     select doc_id, array_to_string(list_transform(w, lambda x: coalesce(m[x], x)), ' ') rewritten from d"""
 
 
+# Every pair of neighbouring turns by the textbook table, one row of it per step.  The last step along a row,
+# min(row[j], row[j-1]+1), is a running minimum of row[j]-j.
+NEIGHBOURS = f"""with recursive t as (select conv_id, turn, {_multilingual('text')} s from conversations),
+    p as (select a.conv_id, a.turn, case when a.s='' then []::varchar[] else string_split(a.s,' ') end r,
+        case when b.s='' then []::varchar[] else string_split(b.s,' ') end h from t a join t b on a.conv_id=b.conv_id and b.turn=a.turn+1),
+    d as (select conv_id, turn, r, h, 0::bigint i, range(0,len(h)+1) c from p union all
+        select conv_id, turn, r, h, i+1, list_transform(range(1,len(h)+2), lambda j: list_min(m[1:j])+j) from (
+            select *, list_transform(range(1,len(h)+2), lambda j: case when j=1 then i+1
+                else least(c[j]+1, c[j-1]+(r[i+1]<>h[j-1])::bigint) end - j) m from d where i<len(r)))
+    select conv_id, turn, c[len(h)+1]::int errs, len(r)::int words from d where i=len(r)"""
+
+
+def _families() -> str:
+    """The British words of the query in order, and what each becomes."""
+    given = (
+        "colour labouring honourable favourite neighbourhoods humourless organisation realised analysing theatres catalogue"
+        " cancelled traveller defences greyer armoury"
+    )
+    wanted = (
+        "color laboring honorable favorite neighborhoods humorless organization realized analyzing theaters catalog"
+        " canceled traveler defenses grayer armoury"
+    )
+    # "centre" is also a word of the documents.
+    lists = [",".join(_quote(w) for w in words.split()) for words in (given + " centre", wanted + " center")]
+    return f"""with n as (select doc_id, string_split({_multilingual('text')}||' '||[{lists[0]}][doc_id%16+1], ' ') w from documents),
+        d as (select doc_id, w, map([{lists[0]}],[{lists[1]}]) m from n)
+        select doc_id, ltrim(array_to_string(list_transform(w, lambda x: coalesce(m[x], x)), ' ')) rewritten from d"""
+
+
+def _batch_sizes(size: int) -> str:
+    return f"""with n as (select l_orderkey, l_linenumber, l_suppkey, l_suppkey%4 lane,
+        (row_number() over (partition by l_suppkey%4 order by l_orderkey, l_linenumber, l_suppkey)-1)//{size} b from lineitem)
+        select l_orderkey, l_linenumber, l_suppkey, (count(*) over (partition by lane, b))::int batch_rows from n"""
+
+
 _codes = " ".join(f"when '{k}' then '{v}'" for k, v in align.LANGUAGE_CODES.items())
 _languages = [f"{d}_{c}:test" for d, codes in align.MULTILINGUAL.items() for c in codes.split()]
 _prompt_tail = _quote(INSTRUCTION)
 
 ORACLES: dict[str, str] = {
+    "wer_with_losses": f"""with {RUNS} select model_id, dataset_id, count(*) samples, count(*) filter (doc_id%13=0) lost, sum(e)::bigint errors,
+        sum(words)::bigint words, round(100.0::double*sum(e)/sum(words),6) wer
+        from (select *, dataset||'_'||split dataset_id, case when doc_id%13=0 then words else errs end e from runs) group by 1,2""",
+    "wer_of_neighbours": NEIGHBOURS,
+    "discover_results": """with f as (select case when doc_id%2=0 then 'org/big' else 'org/big-v2' end model_id, 'docs_'||lang||'_test.clean' dataset_id,
+        length(text)+1 l from documents), s(scope) as (values ('all'),('one'),('like'))
+        select scope, model_id, dataset_id, count(*) n, sum(l)::bigint letters from f, s where scope<>'one' or model_id='org/big' group by all""",
+    "text_column_extended": f"select conv_id, turn, text original_text, {_multilingual('text')} norm_text from conversations",
+    "audio_column_resolution": f"select vec_id, {_weighted('embedding')} from embeddings",
+    "short_split": f"""select vec_id, (vec_id%60)::double duration, {_weighted('embedding')} from embeddings where vec_id%3<>0 and vec_id%60<=30""",
+    "spelling_families": _families(),
     "wer_by_lang": f"""with {REFERENCES} select lang, sum({_damage('w', '11', '7')})::bigint errors, sum(len(w))::bigint words,
         round(100.0::double*sum({_damage('w', '11', '7')})/sum(len(w)),6) wer from refs group by lang""",
     "wer_insertions_by_source": f"""with {REFERENCES} select source,
@@ -207,9 +257,9 @@ ORACLES: dict[str, str] = {
     "manifest_roundtrip": f"""with {RUNS} select replace(model_id,'/','-') model, dataset, split,
         'sample_'||(row_number() over (partition by model_id,dataset,split order by doc_id)-1) audio_filepath,
         round(duration,6) duration, round("time",6) as "time", "text", pred_text from runs""",
-    "sample_index": "select doc_id, lang, (row_number() over (partition by lang order by doc_id)-1)::int sample_idx from documents",
+    "sample_index": "select doc_id, lang, (row_number() over (partition by lang order by doc_id)-1)::bigint sample_idx from documents",
     "sample_index_by_text_key": """with r as (select case when event_id%10=0 then 'small' else 'hot' end run, 'utt-'||event_id utterance from events)
-        select run, utterance, (row_number() over (partition by run order by utterance)-1)::int sample_idx from r""",
+        select run, utterance, (row_number() over (partition by run order by utterance)-1)::bigint sample_idx from r""",
     "manifest_identity": """with f as (select doc_id, 'org/model-'||source model_id, 'corpus-docs_'||lang||'_'||
         case doc_id%3 when 0 then 'test.clean' when 1 then 'validation' else 'test' end d from documents)
         select doc_id, model_id, d exact_dataset_id, rtrim(d||'.jsonl','.jsonl') dataset_id from f""",
@@ -234,8 +284,8 @@ ORACLES: dict[str, str] = {
         where len(embedding)::double/(label+1)<=10""",
     "duration_fallback": """select vec_id, coalesce(case when vec_id%3=0 then label/2.0::double end, len(embedding)/16.0::double) audio_length_s
         from embeddings""",
-    "truncate_signal": """select vec_id, len(embedding)::double/(label%2+1) audio_length_s,
-        least(len(embedding),40*(label%2+1))::int kept from embeddings""",
+    "truncate_signal": f"""select vec_id, len(embedding)::double/(label%2+1) audio_length_s,
+        least(len(embedding),40*(label%2+1))::int kept, {_weighted("embedding[1:40*(label%2+1)]")} from embeddings""",
     "limit_before_filter": _limited("before"),
     "limit_after_filter": _limited("after"),
     "longest_topk": "select doc_id, n_chars from documents order by n_chars desc, doc_id limit 256",
@@ -269,15 +319,23 @@ ORACLES: dict[str, str] = {
         '4. '||p_name||chr(10)||chr(10)||{_prompt_tail}||chr(10)||chr(10) "numbered",
         p_name||chr(10)||'A) '||p_brand||chr(10)||'B) '||p_type||chr(10)||'C) '||p_size||chr(10)||'D) '||p_name||chr(10)||'Answer:' lettered
         from part""",
-    "segment_join": "select doc_id, trim(replace(text,chr(10),'')) joined from documents",
+    "segment_join": r"""select doc_id, regexp_replace(chr(10)||replace(text,chr(10),chr(9)||chr(10)||chr(10))||chr(9)||chr(10),
+        '^[\s\p{Z}]+|[\s\p{Z}]+$','','g') joined from documents""",
+    "nested_segment_join": "select doc_id, replace(replace(text,chr(10),''),' ','') joined from documents",
     "candidate_best": _chosen("asc"),
     "candidate_worst": _chosen("desc"),
     "record_concat": f"""with {RECORDINGS}, best as (select *, row_number() over (partition by record, part order by cer, k) rn from takes),
-        whole as (select record, sum(len(e))::int samples, arg_min(e, sid) f, arg_max(e, sid) l from best where rn=1 group by record)
-        select record, samples, round(f[1]::double,6) "first", round(l[-1]::double,6) "last" from whole where samples/16.0::double<=16""",
-    "flatten_recordings": f"""with {RECORDINGS} select record,
+        whole as (select record, flatten(list(e order by sid)) e from best where rn=1 group by record)
+        select record, len(e)::int samples, {_weighted("e")} from whole where len(e)/16.0::double<=10""",
+    "record_limit": f"""with {RECORDINGS}, best as (select *, row_number() over (partition by record, part order by cer desc, k) rn from takes),
+        whole as (select record, flatten(list(e order by sid)) e from best where rn=1 group by record order by record limit 10)
+        select record, len(e)::int samples, {_weighted("e")} from whole where len(e)/16.0::double<=10""",
+    "candidate_random": f"""with {RECORDINGS}, n as (select record, part, sid, count(*) n from takes group by all)
+        select record, (row_number() over (partition by record order by sid)-1)::int rank, sid::int sentence_id,
+        (('0x'||substr(md5(record||':'||sid||':0'),1,8))::bigint % n + 1)::int "position" from n""",
+    "flatten_recordings": f"""with {RECORDINGS} select * exclude (e) from (select record,
         (dense_rank() over (partition by record order by part)-1)::int sentence_pos, (pos-1)::int audio_pos, 'sentence '||part "text",
-        round(e[1]::double,6) "first" from takes""",
+        len(e)::int samples, {_weighted("e")}, e from takes) where samples/16.0::double<=2.5""",
     "mono_mean": """select vec_id, f::int frame, round((embedding[2*f+1]::double+embedding[2*f+2]::double)/2,6) x
         from embeddings, range(32) r(f)""",
     "chunk_plan": """with s as (select doc_id, n_chars, unnest(case when n_chars>300 then range(0,n_chars,200) else [0] end) st from documents)
@@ -285,14 +343,18 @@ ORACLES: dict[str, str] = {
         (case when n_chars>300 then least(st+250,n_chars) else n_chars end)::bigint chunk_end from s""",
     "chunk_pieces": f"with {CHUNKS} select doc_id, chunk_idx, overlap, substring(chunk_text, overlap+1) piece from pieces",
     "chunk_merge": f"with {CHUNKS} select doc_id, string_agg(substring(chunk_text, overlap+1), '' order by chunk_idx) merged from pieces group by doc_id",
-    "chunk_regroup": f"""with {CHUNKS} select doc_id, count(*)::int n, arg_max(chunk_text, chunk_idx) last_text from chunks group by doc_id""",
+    "chunk_regroup": f"""with {CHUNKS} select doc_id, count(*)::int n, md5(string_agg(chunk_text,'|' order by chunk_idx)) texts_md5 from chunks group by doc_id""",
+    "chunk_fold_words": """with recursive f as (select p_partkey, string_split(p_name,' ') w, 1 i, string_split(p_name,' ')[1] merged from part
+        union all select p_partkey, w, i+1, merged||substring(w[i+1], 1+coalesce(list_max(list_filter(range(1,length(w[i+1])+1), lambda n:
+            len(list_filter(range(1,length(w[i+1])-n+2), lambda s: contains(merged, substring(w[i+1],s,n))))>0)),0)) from f where i<len(w))
+        select p_partkey, merged from f where i=len(w)""",
     "common_substring": """with p as (select p_partkey, upper(p_name) a, p_type b from part),
         i as (select *, unnest(range(1, length(a)+1)) st from p), l as (select *, unnest(range(1, length(a)-st+2)) n from i),
         s as (select p_partkey, substring(a,st,n) c, n, st+n e from l where contains(b, substring(a,st,n))),
         r as (select *, row_number() over (partition by p_partkey order by n desc, e) k from s)
         select p.p_partkey, coalesce(c,'') shared from p left join (select * from r where k=1) r using (p_partkey)""",
-    "batch_ids": "select doc_id, n_chars, ((row_number() over (order by n_chars desc, doc_id)-1)//128)::int batch_id from documents",
-    "batch_amortise": """with b as (select event_id, ((row_number() over (order by event_id)-1)//64)::int batch_id from events)
+    "batch_ids": "select doc_id, n_chars, ((row_number() over (order by n_chars desc, doc_id)-1)//128)::bigint batch_id from documents",
+    "batch_amortise": """with b as (select event_id, ((row_number() over (order by event_id)-1)//64)::bigint batch_id from events)
         select batch_id, event_id, round((batch_id%7+1)::double/count(*) over (partition by batch_id),6) transcription_time_s from b""",
     "average_time": """select event_id, event_type, round(length(event_type)*1000.0::double/count(*) over (partition by event_type),6) transcription_time_s
         from events""",
@@ -304,6 +366,9 @@ ORACLES: dict[str, str] = {
     "map_batches_retry": """select doc_id, case when doc_id%40<>13 then (length(text)+8)::int end n,
         case when doc_id%40<>13 and doc_id%25=7 then 2 else 1 end attempts,
         case when doc_id%40=13 then 'unreadable' end as "error" from documents""",
+    "map_batches_small": _batch_sizes(96),
+    "map_batches_large": _batch_sizes(12_000),
+    "map_batches_parallel": """select 4::bigint lanes, count(*) "rows", sum(length(text)+1)::bigint letters, count(*) "right" from documents""",
     "failed_batches": """select lang, count(*) filter (doc_id%40<>13) kept, count(*) filter (doc_id%40=13) dropped,
         max(case when doc_id%40<>13 and doc_id%25=7 then 2 else 1 end) max_attempts from documents group by lang""",
     "stream_leaderboard": STREAMED,
