@@ -565,14 +565,44 @@ def norm_pages(spark: SparkSession, sf: str) -> DataFrame:
     return normalize_corpus(spread(table(spark, sf, "pages").select("page_id", "html"), "page_id"), "html", "multilingual").select("page_id", "norm_text")
 
 
+def _spoken_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with contractions, signs that decompose to letters, and spoken numbers behind them."""
+    rows = _spread_documents(spark, sf).withColumn("n", F.expr("doc_id div 24"))
+    said = F.concat("text", F.lit(" Um, she's got Mr Grey's ACME™ №7 at 3℃ for 1,250.50 and ½. He won't. "), _spoken("doc_id", "n"))
+    return rows.select("doc_id", "lang", said.alias("text"))
+
+
 @query
 def norm_english(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize_corpus(_spread_documents(spark, sf), "text", "english").select("doc_id", "norm_text")
+    return normalize_corpus(_spoken_documents(spark, sf), "text", "english").select("doc_id", "norm_text")
 
 
 @query
 def norm_by_language(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize_by_language(_spread_documents(spark, sf), "text", "lang").select("doc_id", "lang", "norm_text")
+    return normalize_by_language(_spoken_documents(spark, sf), "text", "lang").select("doc_id", "lang", "norm_text")
+
+
+# Spoken numbers of every kind: {a} and {b} are number words below ten, {t} a multiple of ten.
+PHRASES = [
+    "{a} {b} oh {a}", "twenty {a} hundred {t}", "{a} million {b} hundred thousand and {t} {a}", "the {t} first and the {a}th",
+    "the {t} {a} second third", "in the nineteen eighties and {t} {a}s", "{t} {a} percent or {a} per cent per {b}",
+    "{a} dollars and {t} cents", "{a} euros {b} cents and zero pounds {a} cents", "double {a} triple {b} double {t}",
+    "{a} point {b} {a} {b} million", "point {a} and {b} point hundred", "minus {a} plus {t} {b} negative the",
+    "positive and {t} minus dollars", "{a} and a half million", "{t} {a} and a half later", "and a half of {a}",
+    "hundreds of {a} thousands", "{t} {t} {a} {b} {t}", "{a} hundred and {b} and the {t} and", "1 2.5 million 3rd 4 th $7 {a}",
+    "{a} thousand {t} thousandth one ones", "zeroth oh o zero {a} zeros", "eleven {a} twelve hundred thirteen ten",
+]
+
+
+def _spoken(first: str, second: str):
+    """A phrase with its words filled in by two row numbers."""
+    ones = F.array(*[F.lit(w) for w in numbers.ONES[:9]])
+    tens = F.array(*[F.lit(w) for w in numbers.TENS])
+    word = lambda words, at: F.get(words, (at % F.size(words)).cast("int"))
+    phrase = word(F.array(*[F.lit(p) for p in PHRASES]), F.col(first) + 5 * F.col(second))
+    for mark, filling in (("{a}", word(ones, F.col(first))), ("{b}", word(ones, F.col(second) + 4)), ("{t}", word(tens, F.col(first) + F.col(second)))):
+        phrase = F.replace(phrase, F.lit(mark), filling)
+    return phrase
 
 
 def _spoken_amounts(spark: SparkSession, sf: str) -> DataFrame:
@@ -588,8 +618,10 @@ def _spoken_amounts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def norm_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """Number folding of whole turns."""
-    return _spoken_amounts(spark, sf)
+    """Number folding of whole turns, with a spoken number of some kind on either side."""
+    phrase = _spoken("conv_id", "turn")
+    rows = _turns(spark, sf).select("conv_id", "turn", F.lower(F.concat(phrase, F.lit(" = "), "text", F.lit(" = "), phrase)).alias("text"))
+    return rows.select("conv_id", "turn", numbers.fold_numbers(F.col("text")).alias("folded"))
 
 
 @query

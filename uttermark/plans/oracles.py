@@ -13,7 +13,8 @@ from __future__ import annotations
 from uttermark.functions import english
 from uttermark.functions.answers import INSTRUCTION
 from uttermark.operators import align, nested
-from uttermark.plans.catalogue import DICTIONARY
+from uttermark.plans import number_sql
+from uttermark.plans.catalogue import DICTIONARY, PHRASES
 
 W = r"\p{L}\p{N}_"
 
@@ -106,9 +107,9 @@ def _ending(text: str, ending: str, replacement: str) -> str:
     )
 
 
-def _contractions() -> str:
-    """One CTE per rule keeps the statement flat."""
-    steps = [f"t0 as (select doc_id, lower('I won''t say she''s got y''all''s. '||text) t from documents)"]
+def _expansion(source: str) -> tuple[str, str]:
+    """CTEs of the word rules and the name of the last one; one per rule keeps the statement flat."""
+    steps = [f"t0 as ({source})"]
 
     def add(expression: str) -> None:
         steps.append(f"t{len(steps)} as (select doc_id, {expression} t from t{len(steps) - 1})")
@@ -119,7 +120,52 @@ def _contractions() -> str:
         add(_whole_word("t", word, replacement))
     for ending, replacement in english.ENDINGS:
         add(_ending("t", ending, replacement))
-    return f"with {', '.join(steps)} select doc_id, t expanded from t{len(steps) - 1}"
+    return ", ".join(steps), f"t{len(steps) - 1}"
+
+
+def _contractions() -> str:
+    steps, last = _expansion("select doc_id, lower('I won''t say she''s got y''all''s. '||text) t from documents")
+    return f"with {steps} select doc_id, t expanded from {last}"
+
+
+def _phrase(first: str, second: str) -> str:
+    """The spoken number of the queries."""
+    ones = "['one','two','three','four','five','six','seven','eight','nine']"
+    tens = "['twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety']"
+    phrase = f"[{','.join(_quote(p) for p in PHRASES)}][({first}+5*({second}))%{len(PHRASES)}+1]"
+    for mark, words, at in (("{a}", ones, first), ("{b}", ones, f"{second}+4"), ("{t}", tens, f"{first}+{second}")):
+        phrase = f"replace({phrase},'{mark}',{words}[({at})%len({words})+1])"
+    return phrase
+
+
+SAID = f"""said as (select doc_id, lang, text||' Um, she''s got Mr Grey''s ACME™ №7 at 3℃ for 1,250.50 and ½. He won''t. '||
+    {_phrase('doc_id', '(doc_id//24)')} "text" from documents)"""
+
+
+def _decomposed(text: str) -> str:
+    """The signs that fall apart into letters and digits, which keep their case in the English profile."""
+    for sign, parts in (("™", "TM"), ("№", "No"), ("℃", "°C"), ("½", "1⁄2")):
+        text = f"replace({text},'{sign}','{parts}')"
+    return text
+
+
+def _english(rows: str) -> str:
+    """CTEs of the whole English profile, the last one ``normal`` (``doc_id``, ``t``)."""
+    steps, last = _expansion(f"select doc_id, {_spans('text')} t from {rows}")
+    digits = rf"regexp_replace(regexp_replace(t,'(\p{{Nd}}),(\p{{Nd}})','\1\2','g'),'\.([^0-9]|$)',' \1','g')"
+    letters = "strip_accents(t)"
+    for letter, spelling in {"ß": "ss", "œ": "oe", "æ": "ae", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l"}.items():
+        letters = f"replace({letters},'{letter}','{spelling}')"
+    # All marks, symbols and punctuation but . % $ and the currency signs, which are set aside as private characters.
+    kept = dict(zip(".%$¢€£", "\ue010\ue011\ue012\ue013\ue014\ue015"))
+    aside = f"translate({_decomposed(letters)},'{''.join(kept)}','{''.join(kept.values())}')"
+    clean = rf"translate(regexp_replace({aside},'[\p{{M}}\p{{S}}\p{{P}}]',' ','g'),'{''.join(kept.values())}','{''.join(kept)}')"
+    spelled = "map(['centre','grey','colour'],['center','gray','color'])"
+    return rf"""{steps}, digits as (select doc_id, {digits} t from {last}), clean as (select doc_id, {clean} t from digits),
+    {number_sql.fold('clean', 'doc_id')},
+    spelled as (select doc_id, array_to_string(list_transform(string_split(t,' '), lambda x: coalesce({spelled}[x], x)),' ') t from folded),
+    normal as (select doc_id, regexp_replace(regexp_replace(regexp_replace(t,'[.$¢€£]([^0-9])',' \1','g'),'([^0-9])%','\1 ','g'),' {{2,}}',' ','g') t
+        from spelled)"""
 
 
 def _weighted(signal: str) -> str:
@@ -304,6 +350,13 @@ ORACLES: dict[str, str] = {
         from conversations""",
     "norm_multilingual": f"select doc_id, {_multilingual('text')} norm_text from documents",
     "norm_pages": f"select page_id, {_multilingual('html')} norm_text from pages",
+    "norm_english": f"with recursive {SAID}, {_english('said')} select doc_id, t norm_text from normal",
+    "norm_by_language": f"""with recursive {SAID}, {_english("(select * from said where lang='en')")},
+        others as (select doc_id, lang, {_multilingual("lower(" + _decomposed('"text"') + ")")} t from said where lang<>'en' or lang is null)
+        select doc_id, 'en' lang, t norm_text from normal union all select doc_id, lang, t from others""",
+    "norm_numbers": f"""with recursive turns as (select conv_id*1000+turn id, lower({_phrase('conv_id', 'turn')}||' = '||text||' = '||
+        {_phrase('conv_id', 'turn')}) t from conversations), {number_sql.fold('turns')}
+        select id//1000 conv_id, id%1000 turn, t folded from folded""",
     "norm_number_amounts": "select conv_id, turn, '$'||(conv_id*100) amount from conversations",
     "norm_contractions": _contractions(),
     "norm_digit_groups": r"""select doc_id, regexp_replace(regexp_replace(text,'(\p{Nd}),(\p{Nd})','\1\2','g'),'\.([^0-9]|$)',' \1','g') joined
