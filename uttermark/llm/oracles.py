@@ -2,7 +2,44 @@
 
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# Fixed values: (kind, pattern, group that is measured, its least length); the first three are the base kinds.
+SECRETS = [
+    ("assign", """((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("pem", "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----", 0, 0),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0),
+    ("login", "[a-z]{2,10}://[A-Za-z0-9_.-]{1,64}:[A-Za-z0-9_.-]{1,64}@", 0, 0),
+]
+
+
+def _matches(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """(doc_id, rank, kind, s, e): the text is cut at the matches, so pieces and matches add up to the places."""
+    return f"""select doc_id, {rank} rank, '{kind}' kind, e - length(hit) s, e from (
+            select doc_id, unnest(h) hit, unnest(g) part,
+                unnest(list_transform(range(1, len(h) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+                    + list_sum(list_transform(h[1:i], lambda x: length(x)))))::bigint e
+            from (select doc_id, regexp_extract_all(t, '{pattern}') h, regexp_extract_all(t, '{pattern}', {group}) g,
+                string_split_regex(t, '{pattern}') gaps from texts)
+        ) where length(part) >= {least}"""
+
+
 ORACLES = {
+    "op5_secret_scans": f"""
+        with texts as (select doc_id, coalesce(text, '') t from documents),
+        found as ({" union all ".join(_matches(rank, *rule) for rank, rule in enumerate(SECRETS))}),
+        told as (
+            select doc_id, count(*) filter (kind = 'assign') a, count(*) filter (kind = 'access') b, count(*) filter (kind = 'hex') c,
+                string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (rank < 3) base,
+                string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) spans
+            from found group by doc_id
+        )
+        select doc_id, coalesce(a, 0) as n_assign, coalesce(b, 0) as n_access, coalesce(c, 0) as n_hex,
+            sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+        from documents left join told using (doc_id)
+    """,
     "op7_exact_dedup": f"""
         with keyed as (select doc_id, sha256({LOW}) as text_sha256 from documents)
         select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, text_sha256
