@@ -63,14 +63,14 @@ def _normal_form_arrow(form: str):
             pa.string(),
         )
 
-    return normal_form.asNondeterministic()
+    return normal_form
 
 
 def decompose(text: Column, engine: str = "jvm") -> Column:
     """Compatibility decomposition (NFKD).
 
-    ``engine='jvm'`` calls the ICU class that ships with Spark through ``reflect``; ``'arrow'`` is
-    the way out where a cluster forbids ``reflect``.
+    ``engine='jvm'`` calls the ICU class that ships with Spark through ``reflect``, which counts as
+    non-deterministic and stops later filters; ``'arrow'`` ships the non-ASCII rows to Python.
     """
     if engine == "arrow":
         return _normal_form_arrow("NFKD")(text)

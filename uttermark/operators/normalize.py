@@ -28,23 +28,23 @@ def _without_spans(df: DataFrame) -> DataFrame:
     return _where(df, lambda t: tx.has_any(t, ["("]), tx.drop_paren_spans)
 
 
-def _basic(df: DataFrame, out: str, remove_diacritics: bool, split_letters: bool, engine: str) -> DataFrame:
+def _basic(df: DataFrame, remove_diacritics: bool, split_letters: bool, engine: str) -> DataFrame:
     df = _without_spans(df)
     # These two profiles lower the text again; the English one does not ("tm" out of a sign stays "TM").
     plain = F.lower(tx.plain_letters(F.col("__text"), engine))
     letters = plain if remove_diacritics else tx.composed(F.col("__text"), engine)
     if split_letters:
         df = df.withColumn("__text", tx.symbols_to_space(letters))
-        return df.withColumn(out, tx.collapse_space(tx.graphemes(F.col("__text"))))
-    return df.withColumn(out, tx.symbols_and_space_to_space(letters))
+        return df.withColumn("__text", tx.collapse_space(tx.graphemes(F.col("__text"))))
+    return df.withColumn("__text", tx.symbols_and_space_to_space(letters))
 
 
-def _multilingual(df: DataFrame, out: str, remove_diacritics: bool, engine: str) -> DataFrame:
+def _multilingual(df: DataFrame, remove_diacritics: bool, engine: str) -> DataFrame:
     df = _without_spans(df)
     # These two profiles lower the text again; the English one does not ("tm" out of a sign stays "TM").
     plain = F.lower(tx.plain_letters(F.col("__text"), engine))
     letters = plain if remove_diacritics else tx.composed(F.col("__text"), engine)
-    return df.withColumn(out, tx.only_words(letters))
+    return df.withColumn("__text", tx.only_words(letters))
 
 
 def expand_words(df: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def expand_words(df: DataFrame) -> DataFrame:
     return df
 
 
-def _english(df: DataFrame, out: str, spelling: dict[str, str] | None, engine: str) -> DataFrame:
+def _english(df: DataFrame, spelling: dict[str, str] | None, engine: str) -> DataFrame:
     df = expand_words(_without_spans(df))
     df = _where(df, lambda t: tx.has_any(t, [","]), english.join_digit_groups)
     df = _where(df, lambda t: tx.has_any(t, ["."]), english.drop_full_stops)
@@ -74,7 +74,19 @@ def _english(df: DataFrame, out: str, spelling: dict[str, str] | None, engine: s
     dictionary = english.spelling_table() if spelling is None else spelling
     df = df.withColumn("__text", numbers.fold_numbers(clean, dictionary))
     df = _where(df, lambda t: tx.has_any(t, list(english.NUMERIC_SYMBOLS)), english.drop_loose_symbols)
-    return df.withColumn(out, F.regexp_replace("__text", " {2,}", " "))
+    return df.withColumn("__text", F.regexp_replace("__text", " {2,}", " "))
+
+
+def _settled(df: DataFrame, out: str) -> DataFrame:
+    """The working text as ``out``, through a generator of one element.
+
+    The optimizer moves filters on other columns below a generator, down to the scan, but keeps those on its
+    output above.  Below plain projections they would repeat the whole chain of rewrites.
+    """
+    made = F.explode_outer(F.array("__text")).alias(out)
+    others = [name for name in df.columns if name != "__text"]
+    columns = [made if name.lower() == out.lower() else F.col(f"`{name}`") for name in others]
+    return df.select(*columns, *([] if out.lower() in map(str.lower, others) else [made]))
 
 
 def normalize_corpus(
@@ -87,7 +99,7 @@ def normalize_corpus(
     spelling: dict[str, str] | None = None,
     fold_apostrophes: bool = False,
     passes: int = 1,
-    engine: str = "jvm",
+    engine: str = "arrow",
 ) -> DataFrame:
     """Add ``out``, the normalised form of ``text_col``.
 
@@ -96,7 +108,8 @@ def normalize_corpus(
     ``fold_apostrophes`` turns typographic apostrophes into ASCII ones first; off by default,
     where they end up as spaces.  ``passes=2`` normalises the result again, as the hosted-service
     runs do; the English profile is not idempotent.  The job is narrow: no shuffle.  Only non-ASCII rows are decomposed,
-    and rewrites run only on rows that a byte search finds to be concerned.
+    and rewrites run only on rows that a byte search finds to be concerned.  Filters set on other columns
+    afterwards reach the scan; ``engine="jvm"`` decomposes without Python, and stops them.
     """
     if profile not in PROFILES:
         raise NotImplementedError(f"no profile {profile!r}; expected one of {PROFILES}")
@@ -106,12 +119,13 @@ def normalize_corpus(
         if done:
             df = df.withColumn("__text", F.col(out))
         if profile == "basic":
-            df = _basic(df, out, bool(remove_diacritics), split_letters, engine)
+            df = _basic(df, bool(remove_diacritics), split_letters, engine)
         elif profile == "multilingual":
-            df = _multilingual(df, out, remove_diacritics is not False, engine)
+            df = _multilingual(df, remove_diacritics is not False, engine)
         else:
-            df = _english(df, out, spelling, engine)
-    return df.drop("__text")
+            df = _english(df, spelling, engine)
+        df = _settled(df, out)
+    return df
 
 
 def profile_of_language(language: str, chinese: bool = False) -> str:
