@@ -43,6 +43,29 @@ def test_language_edges(rows):
     assert sorted(r.doc_id or 0 for r in language_id.in_known_language(docs, model).collect()) == sorted([*range(80), 0, 103])
 
 
+def test_unlearnt_languages_and_gibberish_go(spark, rows):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(12)
+
+    def noise(letters, n):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(n))
+
+    pl = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. "
+    ru = "Все люди рождаются свободными и равными в своем достоинстве и правах. "
+    fi = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. "
+    out = [pl, pl * 3, ru, ru * 200, "Привет", "Привет мир", fi * 2, "すべての人間は、生まれながらにして自由である。"]
+    out += [noise("abcdefghijklmnopqrstuvwxyz", n) for n in (5, 20, 400)] + [noise("bcdfghjklmnpqrstvwxz", 40), noise("bcdfghjklmnpqrstvwxz", 2)]
+    held = docs.where(language_id.held_out("doc_id")).orderBy("doc_id").collect()
+    clean = [r.text for r in held if re.fullmatch(r"[^\W\d_]+(?:[ .,\n]+[^\W\d_]+)*[.,]?", r.text)]
+    assert len(clean) > 20
+    short = [" ".join(t.split()[at : at + n]) for t in clean for n in (1, 2) for at in (0, 5)]
+    stay = clean + [x for x in short if x]
+    data = [(-1 - i, t) for i, t in enumerate(out)] + list(enumerate(stay))
+    got = {r.i for r in language_id.in_known_language(rows(data, "i long, text string"), language_id.fit(docs)).collect()}
+    assert not [t[:60] for i, t in data if i < 0 and i in got]
+    assert not [t[:60] for i, t in data if i >= 0 and i not in got]
+
+
 def test_language_without_labels(rows):
     docs = rows([(1, "a b", None), (2, "12", None)], "doc_id long, text string, lang string")
     assert language_id.fit(docs) is None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from zlib import crc32
 
 import numpy as np
@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
+DIGIT = re.compile(r"\d")
 NONE = "und"
+#: Cells of the n-grams that tell whether a text is in a language at all: so many that unlike n-grams seldom share one.
+FINE = 2**18
 
 
 @dataclass(frozen=True)
@@ -56,6 +59,9 @@ class Model:
     kernel: Kernel
     languages: tuple[str, ...]
     weights: np.ndarray
+    #: Which of the ``FINE`` cells hold known n-grams; and by language, what share of known ones a text has at least.
+    known: np.ndarray | None = None
+    floors: np.ndarray | None = None
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         """One-versus-rest outputs of presence rows, -1 to 1 in the main, by one matrix product."""
@@ -90,6 +96,60 @@ def fit_rows(kernel: Kernel, rows: np.ndarray, langs: list[str], landmarks: int,
     return Model(kernel, languages, np.hstack([flat, np.ones((kernel.dims, 1), np.float32)]).astype(np.float32))
 
 
+def spoken(text: str) -> str:
+    """The words without a digit: keys and numbers are in no language.  The whole text if those hold no letter."""
+    words = " ".join(word for word in text.split() if not DIGIT.search(word))
+    return words if LETTER.search(words) else text
+
+
+def calibrated(model: Model, windows: list[tuple[str, np.ndarray, np.ndarray]], rate: float = 0.01, lost: float = 0.005) -> Model:
+    """The model with the n-grams it knows and a floor per language, from (language, cells, times) of learnt windows.
+
+    An n-gram is known if a ``rate`` of the windows of any language hold it: a text may mix languages.  Each
+    window is measured twice as if it had not been learnt: without itself (a clean text), and by the other
+    languages only (a text in an unlearnt one).  The floor lies midway between the medians of the two, but no
+    higher than lets all but ``lost`` of the clean windows of its language pass.
+    """
+    at = {lang: i for i, lang in enumerate(model.languages)}
+    counts, rows = np.zeros((len(at), FINE), np.int32), np.zeros(len(at), np.int64)
+    for lang, cells, _ in windows:
+        counts[at[lang], cells] += 1
+        rows[at[lang]] += 1
+    need = np.maximum(1, np.ceil(rate * rows)).astype(np.int64)
+    holders = (counts >= need[:, None]).sum(0)
+    clean: dict[str, list[float]] = {lang: [] for lang in at}
+    foreign = []
+    for lang, cells, times in windows:
+        total = times.sum()
+        if total:
+            own = counts[at[lang], cells]
+            others = holders[cells] > (own >= need[at[lang]])
+            foreign.append(times[others].sum() / total)
+            clean[lang].append(times[others | (own > need[at[lang]])].sum() / total)
+    if not foreign:
+        return replace(model, known=holders > 0, floors=np.zeros(len(at)))
+    middle = (np.median(foreign) + np.median(np.concatenate(list(clean.values())))) / 2
+    floors = [min(middle, np.quantile(some, lost)) if some else middle for some in clean.values()]
+    return replace(model, known=holders > 0, floors=np.array(floors))
+
+
+def is_claimed(text: str, lang: str, model: Model, block: int = 128_000) -> bool:
+    """Whether enough of the n-grams of the whole text, repeats included, are known for its winner ``lang``.
+
+    The floor is lower by two standard deviations of the share in a text of so many characters: a clean word
+    may hold a rare n-gram.
+    """
+    if model.known is None:
+        return True
+    fine, found, total, text = replace(model.kernel, dims=FINE), 0, 0, spoken(text)
+    for start in range(0, len(text), block):
+        _, cells = fine.cells(text[start : start + block])
+        found += np.count_nonzero(model.known[cells % FINE])
+        total += len(cells)
+    floor = model.floors[model.languages.index(lang)]
+    return found / total >= floor - 2 * np.sqrt(floor * (1 - floor) / len(text))
+
+
 def held_out(id_col: str) -> Column:
     """Rows never learnt from: CRC-32 of the id as text leaves 1 when divided by 3."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
@@ -108,7 +168,8 @@ def fit(
     """Learn from at most ``sample`` labelled rows that are not held out, as many of each language as there are.
 
     The sample is drawn by the hash of the id; of each drawn text one window, chosen by its own checksum,
-    comes to the driver as a bit row of ``dims`` / 8 bytes.  None if no row bears a label.
+    comes to the driver as a bit row of ``dims`` / 8 bytes and as its counted n-grams, six bytes each.  None if
+    no row bears a label.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     counts = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -119,23 +180,33 @@ def fit(
     limit = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 2 * each / n + 20 / n) * 2**30))])
     drawn = known.select(F.col(lang_col).alias("lang"), order.alias("at"), F.col(text_col).alias("text"))
     drawn = drawn.where(F.col("at") < limit[F.col("lang")])
+    fine = replace(kernel, dims=FINE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = []
+            bits, seen, often = [], [], []
             for text in batch.column(2).to_pylist():
                 start = crc32(text.encode("utf-8", "surrogatepass")) % kernel.windows(len(text)) * kernel.window
-                _, cells = kernel.cells(text[start : start + kernel.window])
+                window = text[start : start + kernel.window]
+                _, cells = kernel.cells(window)
                 bits.append(np.packbits(kernel.presence(1, cells % kernel.dims)[0] > 0).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["lang", "at", "bits"])
-
-    rows = drawn.mapInArrow(run, "lang string, at long, bits binary")
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("at", "bits"))
-    taken = rows.withColumn("rank", first).where(F.col("rank") <= each).orderBy("lang", "rank").select("lang", "bits").collect()
+                places, times = np.unique(fine.cells(spoken(window))[1] % FINE, return_counts=True)
+                times = np.minimum(times, 2**16 - 1) if LETTER.search(window) else 0 * times
+                seen.append(places.astype(np.int32).tobytes())
+                often.append(times.astype(np.uint16).tobytes())
+            more = [pa.array(x, pa.binary()) for x in (bits, seen, often)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *more], ["lang", "at", "bits", "cells", "times"])
+
+    rows = drawn.mapInArrow(run, "lang string, at long, bits binary, cells binary, times binary")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("at", "bits", "cells", "times"))
+    ranked = rows.withColumn("rank", first).where(F.col("rank") <= each).orderBy("lang", "rank")
+    taken = ranked.select("lang", "bits", "cells", "times").collect()
     dense = np.empty((len(taken), kernel.dims), np.float32)
     for row, r in zip(dense, taken):
         row[:] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: kernel.dims]
-    return fit_rows(kernel, dense, [r["lang"] for r in taken], landmarks, ridge)
+    model = fit_rows(kernel, dense, [r["lang"] for r in taken], landmarks, ridge)
+    windows = [(r["lang"], np.frombuffer(r["cells"], np.int32), np.frombuffer(r["times"], np.uint16).astype(np.float64)) for r in taken]
+    return calibrated(model, windows)
 
 
 def predict(texts: list[str | None], model: Model | None, most: int = 128) -> list[tuple[str, float]]:
@@ -198,11 +269,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def in_known_language(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learnt language: not ``und``, and a winner with a score of ``least`` or more.
+    """The rows of ``docs`` whose text is in a learnt language: not ``und``, and enough known n-grams (see ``is_claimed``).
 
-    At a half no language claims the text; the default lies well below, for a clean text of a word or two
-    scores little under a half.  Rows pass through in place, with all columns;
-    without a model all rows with a letter stay.
+    The scores hardly tell: outputs go to 0 for what was never learnt, which is a score of a half.  ``least``
+    is a lower bound of the winner's score besides.  Rows pass through in place, with all columns; without a
+    model all rows with a letter stay.
     """
     place = docs.columns.index(text_col)
 
@@ -214,7 +285,8 @@ def in_known_language(docs: DataFrame, model: Model | None, text_col: str = "tex
                 if model is None:
                     keep = [text is not None and LETTER.search(text) is not None for text in texts]
                 else:
-                    keep = [lang != NONE and score >= least for lang, score in predict(texts, model)]
+                    got = predict(texts, model)
+                    keep = [lang != NONE and score >= least and is_claimed(text, lang, model) for text, (lang, score) in zip(texts, got)]
                 yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
