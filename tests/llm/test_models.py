@@ -258,6 +258,25 @@ def test_labellers_recover_planted_accuracy():
     assert right(posterior) > 0.95 * 20_000 and (table[:, 1, weak_quality.BAD] > table[:, 0, weak_quality.BAD]).all()
 
 
+def test_labellers_recover_planted_rates_by_default():
+    """The default belief is a fixed number of rows: the rates come out at every size, the closer the more rows there are."""
+    rates = np.array([[[0.5, 0.01, 0.49], [0.2, 0.1 + 0.05 * i, 0.7 - 0.05 * i]] for i in range(9)])
+    off = []
+    for size in (4_000, 40_000):
+        rng, patterns = np.random.default_rng(2), {}
+        for good in rng.random(size) < 0.86:
+            code = weak_quality.pattern_code(tuple(int(rng.choice(3, p=r[0 if good else 1])) for r in rates))
+            patterns[code] = patterns.get(code, 0) + 1
+        off.append(np.abs(weak_quality.fit_labellers(patterns)[1] - rates)[..., weak_quality.BAD].max())
+    assert off[0] < 0.1 and off[1] < 0.03
+
+
+def test_symbol_noise_meets_two_labellers():
+    raw = b"annd*** eaing,$$$ to%%% thr&&& onst### then"
+    cast = dict(zip(weak_quality.LABELLERS, weak_quality.votes(weak_quality.ratios(raw, raw.split()))))
+    assert cast["symbols"] == cast["doubled"] == weak_quality.BAD
+
+
 def test_weak_quality_ranks_good_above_bad(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     got = weak_quality.quality_scores(docs, weak_quality.fit(docs)).join(labels, "doc_id").collect()

@@ -19,6 +19,9 @@ from uttermark.llm.line_rules import DIGITS, LOWER, UPPER, worded_lines
 GOOD, BAD, ABSTAIN = 0, 1, 2
 LABELLERS = ("length", "upper", "symbols", "doubled", "lines", "phrases", "word_size", "endings", "digits")
 
+#: Runs of marks, of those the symbols labeller counts too: shouting and symbol noise both show in them.
+DOUBLED = (b"!!", b"??", b"###", b"***", b"$$$", b"%%%", b"&&&", b"|||", b"<<<", b">>>")
+
 
 def vote(value: float, good: tuple[float, float] | None, bad: tuple[float, float] | None) -> int:
     """GOOD or BAD where ``value`` lies in an interval, ends included, else ABSTAIN."""
@@ -37,7 +40,7 @@ def ratios(raw: bytes, words: list[bytes]) -> tuple[float, ...]:
         float(len(words)),
         upper / max(upper + lower, 1),
         text_stats.symbols(raw) / n,
-        (raw.count(b"!!") + raw.count(b"??")) / n,
+        sum(map(raw.count, DOUBLED)) / n,
         text_stats.repeated_lines(lines) / max(len(lines), 1),
         text_stats.repeated_words(words) / n,
         size / n,
@@ -58,7 +61,7 @@ RANGES = (
     ((0.7, 1), None),
     (None, (0.3, 1)),
 )
-#: Prior belief about any labeller, as votes (good, bad, abstain) given good and given bad quality.
+#: Prior belief about any labeller, as shares of votes (good, bad, abstain) given good and given bad quality.
 BELIEF = np.array([[0.4, 0.005, 0.595], [0.3, 0.3, 0.4]])
 
 
@@ -70,13 +73,13 @@ def pattern_code(votes_: tuple[int, ...]) -> int:
     return sum(v * 3**i for i, v in enumerate(votes_))
 
 
-def fit_labellers(patterns: dict[int, int], rounds: int = 100, strength: float = 2.0) -> tuple[dict[int, float], np.ndarray]:
+def fit_labellers(patterns: dict[int, int], rounds: int = 100, strength: float = 10.0) -> tuple[dict[int, float], np.ndarray]:
     """Posterior of good quality for each vote pattern, and what each labeller votes given good and bad (labeller x class x vote).
 
-    Expectation-maximisation over pattern counts, which stand for all rows: at most 3**9 of them.  Texts are
-    bad in several ways that exclude one another, so that an abstention says nothing about the class: only
-    votes cast enter the posterior.  ``BELIEF`` counts as ``strength`` times the rows, and the start takes every
-    vote for bad at its word: false alarms must be rare, or texts with one are counted as bad.
+    Expectation-maximisation over pattern counts, which stand for all rows: at most 3**9 of them.  All three
+    votes enter the posterior, an abstention by its own rate: what is left out of the likelihood cannot be
+    estimated.  ``BELIEF`` counts as ``strength`` rows of each class, whatever the size of the corpus; it
+    decides for labellers that hardly vote, and the start takes every vote for bad at its word.
     """
     codes = sorted(patterns)
     n = len(LABELLERS)
@@ -89,9 +92,9 @@ def fit_labellers(patterns: dict[int, int], rounds: int = 100, strength: float =
         prior = np.clip((share.sum(1) + 1) / (weight.sum() + 2), 0.01, 0.99)
         for i in range(n):
             for v in range(3):
-                table[i, :, v] = share[:, cast[:, i] == v].sum(1) + (strength * weight.sum() + 1) * BELIEF[:, v]
+                table[i, :, v] = share[:, cast[:, i] == v].sum(1) + strength * BELIEF[:, v]
         table /= table.sum(2, keepdims=True)
-        logs = np.log(prior)[:, None] + sum(np.where(cast[:, i] == ABSTAIN, 0.0, np.log(table[i][:, cast[:, i]])) for i in range(n))
+        logs = np.log(prior)[:, None] + sum(np.log(table[i][:, cast[:, i]]) for i in range(n))
         fresh = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -500, 500)))
         if len(codes) == 0 or np.abs(fresh - good).max() < 1e-9:
             break
