@@ -1,4 +1,4 @@
-"""The registered queries of the operators, over the whole ``documents`` table."""
+"""The registered queries of the operators, each over its whole table."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from uttermark.llm import (
+    conversation_repair,
     exact_dedup,
     language_id,
     line_rules,
@@ -77,6 +78,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.repair(conversation_repair.damage(conversations), conversations)
+
+
 QUERIES = {
     name: query
     for name, query in sorted(globals().items())
