@@ -11,12 +11,14 @@ from uttermark.llm import (
     language_id,
     line_rules,
     packing,
+    private_spans,
     secret_scan,
     sentencepieces,
     sharding,
     simhash,
     token_counts,
     weak_quality,
+    whitening,
 )
 from uttermark.llm.common import documents
 from uttermark.llm.oracles import ORACLES
@@ -83,6 +85,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damage(conversations), conversations)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def op13_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return private_spans.private_spans(docs, private_spans.fit(docs))
+
+
 QUERIES = {
     name: query
     for name, query in sorted(globals().items())
