@@ -155,7 +155,7 @@ def test_walk_from_checkpoints_equals_plain_costs():
 def test_repaired_turns(rows):
     data = [(1, 0, "user", "Hi."), (1, 1, "user", "There?"), (1, 2, "assistant", "Yes."), (2, 0, "assistant", ""), (3, 0, "tool", "?")]
     got = cr.repaired_turns(rows(data, "conv_id long, turn long, role string, text string")).collect()
-    shown = [(r.conv_id, r.role, r.text) for r in sorted(got, key=lambda r: (r.conv_id, r.part, r.at))]
+    shown = [(r.conv_id, r.role, r.text) for r in sorted(got, key=lambda r: (r.conv_id, r.at))]
     assert shown == [(1, "user", "Hi."), (1, "assistant", ""), (1, "user", "There?"), (1, "assistant", "Yes.")]
 
 

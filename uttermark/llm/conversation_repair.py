@@ -168,7 +168,7 @@ def damage(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str =
 
 
 def _digested(rows: DataFrame) -> DataFrame:
-    return rows.select("conv_id", "turn", "role", "text", F.sha2("text", 256).alias("digest"))
+    return rows.select("conv_id", "turn", "role", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
@@ -310,62 +310,63 @@ _SUMMARY = "cost long, blank long, duplicate long, truncated long, illegal long,
 
 
 def _solved(ordered: DataFrame) -> DataFrame:
-    """Two sorts of rows, by piece: lines of the repaired conversation (``at`` >= 0), and one with the sums and edits (``at`` -1)."""
+    """Two sorts of rows, by piece: what is written for a row (``summary`` false), and one with the sums and edits.
+
+    A row stands for the roles ``inserted`` before it, the role it is ``written`` with (null: deleted) and the
+    roles that close the conversation after it; rows that nothing is written for are left out.
+    """
     borders = _borders(ordered)
-    schema = StructType(
-        [
-            ordered.schema["conv_id"],
-            *StructType.fromDDL(f"part int, at long, role string, written string, digest string, {_SUMMARY}").fields,
-        ]
-    )
+    order = [ordered.schema[name] for name in ("conv_id", "turn", "role", "digest")]
+    written = StructType.fromDDL("inserted array<string>, written string, closing array<string>").fields
+    schema = StructType([*order, *written, *StructType.fromDDL(f"summary boolean, part int, {_SUMMARY}").fields])
 
     def solve(programme, segment, conv, part):
         roles, kinds = _bytes(segment, "code"), _bytes(segment, "kind")
-        numbers, names, digests = segment.column("n").to_numpy(), segment.column("role"), segment.column("digest")
+        numbers, names, digests, turns = segment.column("n").to_numpy(), segment.column("role"), segment.column("digest"), segment.column("turn")
         end, state, *last = borders.get((conv, part), (AT_END, NOTHING, True))
         audit: list[str] = []
-        at = cost = 0
-        base = {"conv_id": conv, "part": part}
+        cost = 0
         for i, letters, before in programme.walk(roles, kinds, end, state):
-            state = before
+            state, inserted, written, close = before, [], None, []
             for letter in letters:
                 to, role = EXPECTED[state]
                 if letter == "I":
                     cost += INSERT
-                    yield base | {"at": at, "written": role}
-                    at += 1
+                    inserted.append(role)
                 elif letter == "D":
                     cost += DELETE
                 else:
-                    own = names[i].as_py()
                     cost += (letter == "R") * REROLE + (kinds[i] == TRUNCATED) * UNMENDED
-                    yield base | {"at": at, "role": own, "written": role if letter == "R" else own, "digest": digests[i].as_py()}
-                    at += 1
+                    written = role if letter == "R" else names[i].as_py()
                 state = to if letter in "IR" else FOLLOWS[state][roles[i]] if letter == "K" else state
             audit.append(letters)
             if numbers[i] > 1:
                 cost += DELETE * int(numbers[i] - 1)
                 audit.append("D" * int(numbers[i] - 1))
-        if last:
-            for _ in closing(state):
-                state, role = EXPECTED[state]
-                cost += INSERT
-                yield base | {"at": at, "written": role}
-                at += 1
-                audit.append("I")
-        turns = segment.column("turn").drop_null().to_numpy()
+            if last and i == len(roles) - 1:
+                for letter in closing(state):
+                    state, role = EXPECTED[state]
+                    cost += INSERT
+                    close.append(role)
+                    audit.append(letter)
+            if inserted or written is not None or close:
+                key = {"conv_id": conv, "turn": turns[i].as_py(), "role": names[i].as_py(), "digest": digests[i].as_py()}
+                yield key | {"inserted": inserted, "written": written, "closing": close, "summary": False}
+        known = turns.drop_null().to_numpy()
         blank = np.frombuffer(kinds, np.uint8) == BLANK
         copies = int(numbers.sum()) - len(roles)
-        yield base | {
-            "at": -1,
+        yield {
+            "conv_id": conv,
+            "summary": True,
+            "part": part,
             "cost": cost,
             "blank": int(numbers[blank].sum()),
             "duplicate": int(numbers[~blank].sum()) - int((~blank).sum()) + kinds.count(DUPLICATE),
             "truncated": kinds.count(TRUNCATED),
             "illegal": copies + sum(pair not in LEGAL_PAIRS for pair in zip(roles, roles[1:])),
-            "turns": len(np.unique(turns)),
-            "low": int(turns[0]) if len(turns) else None,
-            "high": int(turns[-1]) if len(turns) else None,
+            "turns": len(np.unique(known)),
+            "low": int(known[0]) if len(known) else None,
+            "high": int(known[-1]) if len(known) else None,
             "head": roles[0],
             "tail": roles[-1],
             "audit": "".join(audit),
@@ -374,48 +375,74 @@ def _solved(ordered: DataFrame) -> DataFrame:
     return staged(_pieces(ordered, schema, solve), "conversation-edits")
 
 
-def _lines(solved: DataFrame, digested: DataFrame) -> DataFrame:
-    """(conv_id, part, at, role, text) of the repaired conversations; a text is looked up by its conversation, role and digest.
+def _merged(solved: DataFrame, digested: DataFrame) -> DataFrame:
+    """(conv_id, inserted, written, closing, text): what is written for a row, then the row's text, in the order of each conversation.
 
-    A role and text occur once in a repaired conversation, so no key is hot.
+    Texts are shuffled once, to where their conversation is.  The next text after a written row is its own.
     """
-    texts = digested.groupBy(F.col("conv_id").alias("_conv"), F.col("role").alias("_role"), F.col("digest").alias("_digest")).agg(F.max("text").alias("_text"))
-    lines = solved.where("at >= 0")
-    met = lines["conv_id"].eqNullSafe(texts["_conv"]) & (lines["role"] == texts["_role"]) & (lines["digest"] == texts["_digest"])
-    return lines.join(texts, met, "left").select("conv_id", "part", "at", F.col("written").alias("role"), F.coalesce("_text", F.lit("")).alias("text"))
+    order = ["conv_id", "turn", "role", "digest"]
+    roles = [F.col(name) for name in ("inserted", "written", "closing")]
+    edits = solved.where("not summary").select(*order, *roles, F.lit(None).cast("binary").alias("text"))
+    none = [F.lit(None).cast(edits.schema[name].dataType).alias(name) for name in ("inserted", "written", "closing")]
+    rows = digested.select(*order, *none, F.col("text").cast("binary").alias("text"))
+    both = edits.unionByName(rows).repartition("conv_id").sortWithinPartitions(*order, F.col("inserted").isNull())
+    return both.select("conv_id", *roles, "text")
+
 
+def _lines(frames: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str, pa.Scalar | None]]:
+    """(conversation, role, text) of the repaired conversations, line by line."""
+    waiting: tuple[str, list[str]] | None = None
+    for frame in frames:
+        convs, inserted, written, closes = (frame.column(i).to_pylist() for i in range(4))
+        texts = frame.column(4)
+        for i, conv in enumerate(convs):
+            after: list[str] = []
+            if inserted[i] is None:
+                if waiting is not None:
+                    yield conv, waiting[0], texts[i]
+                    after, waiting = waiting[1], None
+            else:
+                for role in inserted[i]:
+                    yield conv, role, None
+                if written[i] is None:
+                    after = closes[i]
+                else:
+                    waiting = (written[i], closes[i])
+            for role in after:
+                yield conv, role, None
 
-def _hashes(lines: DataFrame) -> DataFrame:
-    """(conv_id, repaired_sha256).  The hash of a conversation takes its lines one after another, so they stream through one task, of which a frame is held at a time."""
-    schema = StructType([lines.schema["conv_id"], *StructType.fromDDL("repaired_sha256 string").fields])
+
+def _hashes(merged: DataFrame) -> DataFrame:
+    """(conv_id, repaired_sha256).  The hash of a conversation takes its lines one after another, so they stream through one task, which holds one Arrow frame at a time."""
+    schema = StructType([merged.schema["conv_id"], *StructType.fromDDL("repaired_sha256 string").fields])
     arrow = to_arrow_schema(schema)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, running, done = None, None, ([], [])
-        for frame in frames:
-            for conv, line in zip(frame.column(0).to_pylist(), frame.column(1)):
-                if running is None or conv != last:
-                    if running is not None:
-                        done[0].append(last)
-                        done[1].append(running.hexdigest())
-                    last, running = conv, hashlib.sha256()
-                else:
-                    running.update(b"\n")
-                running.update(line.as_buffer())
-            if done[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(done, arrow)], schema=arrow)
-                done = ([], [])
+        last, running = None, None
+        done: list[tuple] = []
+        for conv, role, text in _lines(frames):
+            if running is None or conv != last:
+                if running is not None:
+                    done.append((last, running.hexdigest()))
+                last, running = conv, hashlib.sha256()
+            else:
+                running.update(b"\n")
+            running.update(f"{role}:".encode())
+            if text is not None:
+                running.update(text.as_buffer())
+            if len(done) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done), arrow)], schema=arrow)
+                done = []
         if running is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((last, running.hexdigest()), arrow)], schema=arrow)
+            done.append((last, running.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done), arrow)], schema=arrow)
 
-    line = F.concat(F.col("role"), F.lit(":"), F.col("text")).cast("binary").alias("line")
-    sorted_lines = lines.select("conv_id", line, "part", "at").repartition("conv_id").sortWithinPartitions("conv_id", "part", "at")
-    return sorted_lines.select("conv_id", "line").mapInArrow(run, schema)
+    return merged.mapInArrow(run, schema)
 
 
 def _joined(solved: DataFrame) -> DataFrame:
     """One row per conversation from its pieces, of which there are as many as partitions at the utmost."""
-    pieces = solved.where("at < 0").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", *[c.split()[0] for c in _SUMMARY.split(", ")]))).alias("p"))
+    pieces = solved.where("summary").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("part", *[c.split()[0] for c in _SUMMARY.split(", ")]))).alias("p"))
     total = lambda name: F.aggregate(F.col(f"p.{name}"), F.lit(0).cast("long"), lambda a, x: a + x)
     following = F.arrays_zip(
         F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))).alias("a"), F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))).alias("b")
@@ -446,12 +473,28 @@ def _plain(rows: DataFrame) -> DataFrame:
 
 
 def repaired_turns(rows: DataFrame) -> DataFrame:
-    """(conv_id, part, at, role, text): the repaired conversations, in the order of (part, at).
+    """(conv_id, at, role, text): the repaired conversations, their lines counted from 0.
 
     ``rows`` are (conv_id, turn, role, text); null roles and texts are one space.  The edits are those of ``repair``.
     """
     digested = _digested(_plain(rows))
-    return _lines(_solved(_ordered(digested)), digested)
+    merged = _merged(_solved(_ordered(digested)), digested)
+    schema = StructType([merged.schema["conv_id"], *StructType.fromDDL("at long, role string, text string").fields])
+    arrow = to_arrow_schema(schema)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at, out = None, -1, []
+        for conv, role, text in _lines(frames):
+            at = at + 1 if at >= 0 and conv == last else 0
+            last = conv
+            out.append((conv, at, role, "" if text is None else text.as_py().decode()))
+            if len(out) >= 1024:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), arrow)], schema=arrow)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return merged.mapInArrow(run, schema)
 
 
 def repair(rows: DataFrame, everyone: DataFrame | None = None) -> DataFrame:
@@ -466,7 +509,7 @@ def repair(rows: DataFrame, everyone: DataFrame | None = None) -> DataFrame:
     """
     digested = _digested(_plain(rows))
     solved = _solved(_ordered(digested))
-    hashes = _hashes(_lines(solved, digested)).withColumnRenamed("conv_id", "_hashed")
+    hashes = _hashes(_merged(solved, digested)).withColumnRenamed("conv_id", "_hashed")
     summary = _joined(solved).withColumnRenamed("conv_id", "_solved")
     ids = (rows if everyone is None else everyone).select("conv_id").distinct()
     out = ids.join(summary, ids["conv_id"].eqNullSafe(summary["_solved"]), "left").join(hashes, ids["conv_id"].eqNullSafe(hashes["_hashed"]), "left")
