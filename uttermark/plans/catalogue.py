@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from uttermark.functions import answers, english, numbers
 from uttermark.functions import text as tx
-from uttermark.functions.words import with_char_errors, with_word_errors
+from uttermark.functions.words import with_char_errors, with_error_kinds, with_word_errors
 from uttermark.operators import align, batching, chunks, indexing, metrics, nested, prepare
 from uttermark.operators.normalize import expand_words, normalize_by_language, normalize_corpus
 from uttermark.operators.spreading import spread
@@ -94,15 +94,35 @@ def wer_with_losses(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(scores, "wer").select("model_id", "dataset_id", "samples", "lost", "errors", "words", "wer")
 
 
+def _neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole turns beside the next turn of their conversation."""
+    turns = normalize_corpus(spread(_turns(spark, sf), "conv_id", "turn"), "text", "multilingual").select("conv_id", "turn", "norm_text")
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("norm_text").alias("pred_text"))
+    return turns.join(following, ["conv_id", "turn"])
+
+
 @query
 def wer_of_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """Whole turns scored against the next turn of their conversation: unrelated, moved and repeated words."""
-    turns = normalize_corpus(spread(_turns(spark, sf), "conv_id", "turn"), "text", "multilingual").select("conv_id", "turn", "norm_text")
-    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("norm_text").alias("pred_text"))
-    scored = with_word_errors(turns.join(following, ["conv_id", "turn"]), "norm_text", "pred_text")
+    scored = with_word_errors(_neighbours(spark, sf), "norm_text", "pred_text")
     return scored.select("conv_id", "turn", "errs", "words")
 
 
+@query
+def wer_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Hits, substitutions, deletions and insertions of the same pairs."""
+    scored = with_error_kinds(_neighbours(spark, sf), "norm_text", "pred_text")
+    return scored.select("conv_id", "turn", "errs", "words", *metrics.KINDS)
+
+
+@query
+def wer_kinds_by_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """The same per run, whole documents; every eleventh hypothesis is lost."""
+    rows = manifest(spark, sf).withColumn("pred_text", F.when(F.col("doc_id") % 11 != 0, F.col("pred_text")))
+    kinds = metrics.error_kinds(rows, ["model_id", "dataset_id"])
+    return _rounded(kinds, "substitution_rate", "deletion_rate", "insertion_rate")
+
+
 @query
 def wer_percent(spark: SparkSession, sf: str) -> DataFrame:
     """The two-decimal form."""

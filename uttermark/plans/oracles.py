@@ -234,6 +234,23 @@ NEIGHBOURS = f"""with recursive t as (select conv_id, turn, {_multilingual('text
     select conv_id, turn, c[len(h)+1]::int errs, len(r)::int words from d where i=len(r)"""
 
 
+# The same pairs by anti-diagonals, each of which needs the two before it.  A cell is errors * 2^40 + substitutions * 2^20 +
+# deletions; equal last words are a hit, else the cheapest of substitution, deletion and insertion counts, the first of equals.
+KINDS = f"""with recursive t as (select conv_id, turn, {_multilingual('text')} s from conversations),
+    p as (select a.conv_id, a.turn, case when a.s='' then []::varchar[] else string_split(a.s,' ') end r,
+        case when b.s='' then []::varchar[] else string_split(b.s,' ') end h from t a join t b on a.conv_id=b.conv_id and b.turn=a.turn+1),
+    d as (select conv_id, turn, r, h, 0::bigint d, [0::bigint] c, []::bigint[] b from p union all
+        select conv_id, turn, r, h, d+1, list_transform(range(0, least(d+1, len(r))+1), lambda i: case
+            when d+1-i > len(h) then null when i = 0 then (d+1) * 1099511627776 when i = d+1 then i * 1099511627777
+            when r[i] = h[d+1-i] then b[i]
+            when b[i] >> 40 <= c[i] >> 40 and b[i] >> 40 <= c[i+1] >> 40 then b[i] + 1099512676352
+            when c[i] >> 40 <= c[i+1] >> 40 then c[i] + 1099511627777 else c[i+1] + 1099511627776 end), c
+        from d where d < len(r) + len(h)),
+    e as (select conv_id, turn, len(r) n, c[len(r)+1] x from d where d = len(r) + len(h)),
+    k as (select conv_id, turn, n, (x >> 40)::int errs, ((x >> 20) & 1048575)::int subs, (x & 1048575)::int dels from e)
+    select conv_id, turn, errs, n::int words, (n-subs-dels)::int hits, subs substitutions, dels deletions, errs-subs-dels insertions from k"""
+
+
 def _families() -> str:
     """The British words of the query in order, and what each becomes."""
     given = (
@@ -266,6 +283,15 @@ ORACLES: dict[str, str] = {
         sum(words)::bigint words, round(100.0::double*sum(e)/sum(words),6) wer
         from (select *, dataset||'_'||split dataset_id, case when doc_id%13=0 then words else errs end e from runs) group by 1,2""",
     "wer_of_neighbours": NEIGHBOURS,
+    "wer_kinds": KINDS,
+    # Marks match nothing, so every error is of the kind of its damage: see the proof above.
+    "wer_kinds_by_dataset": f"""with {REFERENCES}, k as (select doc_id, lang, len(w) n, m, doc_id%11=0 lost,
+            len(list_filter(range(0,len(w)), lambda i: (i+doc_id)%(11+2*m)=3)) drops,
+            len(list_filter(range(0,len(w)), lambda i: (i+doc_id)%(11+2*m)<>3 and (i+doc_id)%(7+m)=2)) marks from refs, unnest([0,1,2]) t(m)),
+        s as (select ['org/model-a','org/model-b','org/model-c'][m+1] model_id, 'docs_'||lang||case when doc_id%2=0 then '_test.clean' else '_test.other' end dataset_id,
+            sum(n)::bigint words, sum(case when lost then 0 else marks end)::bigint substitutions, sum(case when lost then n else drops end)::bigint deletions from k group by all)
+        select model_id, dataset_id, substitutions+deletions errors, words, words-substitutions-deletions hits, substitutions, deletions, 0::bigint insertions,
+            round(100.0::double*substitutions/words,6) substitution_rate, round(100.0::double*deletions/words,6) deletion_rate, 0.0::double insertion_rate from s""",
     "discover_results": """with f as (select case when doc_id%2=0 then 'org/big' else 'org/big-v2' end model_id, 'docs_'||lang||'_test.clean' dataset_id,
         length(text)+1 l from documents), s(scope) as (values ('all'),('one'),('like'))
         select scope, model_id, dataset_id, count(*) n, sum(l)::bigint letters from f, s where scope<>'one' or model_id='org/big' group by all""",
