@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import queue
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -90,6 +92,8 @@ class PermanentError(Exception):
 
 Columns = dict[str, list]
 BatchFunction = Callable[[Columns], Columns]
+# Scored rows are handed on in frames of about this many rows or bytes.
+_OUT_ROWS, _OUT_BYTES = 1024, 16 * 2**20
 
 
 def _attempt(call: Callable[[], Columns], retries: int, pause: float):
@@ -106,6 +110,74 @@ def _attempt(call: Callable[[], Columns], retries: int, pause: float):
     return None, retries + 1, last
 
 
+def cells(column: pa.Array) -> list:
+    """A column as the list that a batch function gets.
+
+    Arrays of numbers come as NumPy arrays over the Arrow memory, structs as dicts of such cells; everything
+    else as Python values.
+    """
+    kind = column.type
+    if pa.types.is_list(kind) and (pa.types.is_integer(kind.value_type) or pa.types.is_floating(kind.value_type)):
+        flat = column.flatten()
+        if not flat.null_count:
+            values, lengths = flat.to_numpy(), column.value_lengths().to_pylist()
+            out, at = [], 0
+            for length in lengths:
+                out.append(None if length is None else values[at : at + length])
+                at += length or 0
+            return out
+    if pa.types.is_struct(kind):
+        fields = {kind.field(i).name: cells(column.field(i)) for i in range(kind.num_fields)}
+        return [{name: own[i] for name, own in fields.items()} if held else None for i, held in enumerate(column.is_valid().to_pylist())]
+    return column.to_pylist()
+
+
+def in_completion_order(items: Iterator, call: Callable, window: int) -> Iterator[tuple[object, object, int]]:
+    """(item, result, calls in flight when it was started, itself included), as the calls end.
+
+    At most ``window`` calls are in flight.  The next item is taken when there is room for it, so a slow call
+    holds back the reading, and no more items are held than calls.
+    """
+    if window <= 1:
+        for item in items:
+            yield item, call(item), 1
+        return
+    ended: queue.SimpleQueue = queue.SimpleQueue()
+    held: dict = {}
+    with ThreadPoolExecutor(window) as pool:
+
+        def one() -> tuple[object, object, int]:
+            future = ended.get()
+            item, at = held.pop(future)
+            return item, future.result(), at
+
+        for item in items:
+            if len(held) == window:
+                yield one()
+            future = pool.submit(call, item)
+            held[future] = (item, len(held) + 1)
+            future.add_done_callback(ended.put)
+        while held:
+            yield one()
+
+
+def _batches(frames: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``size`` rows over the borders of Arrow frames; only the last one of a partition can be short."""
+    parts: list[pa.RecordBatch] = []
+    held = 0
+    for frame in frames:
+        at = 0
+        while at < frame.num_rows:
+            part = frame.slice(at, size - held)
+            parts.append(part)
+            at, held = at + part.num_rows, held + part.num_rows
+            if held == size:
+                yield parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+                parts, held = [], 0
+    if parts:
+        yield parts[0] if len(parts) == 1 else pa.concat_batches(parts)
+
+
 def map_batches(
     df: DataFrame,
     function: BatchFunction,
@@ -115,55 +187,60 @@ def map_batches(
     retries: int = 10,
     pause: float = 1.0,
     parallel: int | None = None,
+    in_flight: int = 1,
 ) -> DataFrame:
     """Run a batch function over column batches inside the partitions.
 
     ``function`` takes a dict of column lists of ``batch_size`` rows (1 for a row-at-a-time function;
-    fewer only at the end of a partition) and returns one with the columns ``adds`` (name, SQL type), in row order.  Each row
-    also gets ``transcription_time_s`` (batch time / rows), ``attempts`` and ``error``.  A batch that
+    fewer only at the end of a partition; see ``cells`` for arrays) and returns one with the columns ``adds`` (name, SQL type), in row order.  Each row
+    also gets ``transcription_time_s`` (batch time / rows), ``attempts``, ``error`` and ``in_flight``.  A batch that
     still fails keeps its rows with null results, so the loss is visible; ``drop_failed`` removes
-    them.  ``parallel`` bounds the number of concurrent calls by the number of partitions.
+    them.  ``parallel`` sets the number of partitions.  ``in_flight`` is the number of calls that each of them
+    keeps going at once, for functions that wait for a service: retries hold their place among them, rows come
+    back in the order in which calls end, and the column says how many were going when a row's call was started.
     """
     kept = [f for f in df.schema.fields if f.name not in drop]
     extra = T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in adds)).fields
-    accounting = T.StructType.fromDDL("transcription_time_s double, attempts int, error string").fields
+    accounting = T.StructType.fromDDL("transcription_time_s double, attempts int, error string, in_flight int").fields
     schema = T.StructType([*kept, *extra, *accounting])
     arrow_schema = to_arrow_schema(schema)
     kept_names, added = [f.name for f in kept], [f.name for f in extra]
 
-    def scored(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        rows, columns = table.num_rows, table.to_pydict()
+    def scored(batch: pa.RecordBatch) -> tuple:
+        columns = {name: cells(batch.column(i)) for i, name in enumerate(batch.schema.names)}
         began = time.perf_counter()
         result, attempts, error = _attempt(lambda: function(columns), retries, pause)
-        share = None if result is None else (time.perf_counter() - began) / rows
-        new: Columns = {name: [None] * rows if result is None else list(result[name]) for name in added}
-        wrong = {name: len(values) for name, values in new.items() if len(values) != rows}
-        if wrong:
-            raise ValueError(f"the batch function got {rows} rows and gave {wrong}")
-        new |= {"transcription_time_s": [share] * rows, "attempts": [attempts] * rows, "error": [error] * rows}
-        arrays = [
-            table.column(f.name).cast(f.type).combine_chunks() if f.name in kept_names else pa.array(new[f.name], f.type)
-            for f in arrow_schema
-        ]
-        arrays = [a if isinstance(a, pa.Array) else pa.concat_arrays(a.chunks) for a in arrays]
+        return result, time.perf_counter() - began, attempts, error
+
+    def gathered(done: list[tuple]) -> pa.RecordBatch:
+        """One frame from some scored batches."""
+        own: Columns = {f.name: [] for f in arrow_schema if f.name not in kept_names}
+        for batch, (result, seconds, attempts, error), going in done:
+            rows = batch.num_rows
+            new: Columns = {name: [None] * rows if result is None else list(result[name]) for name in added}
+            wrong = {name: len(values) for name, values in new.items() if len(values) != rows}
+            if wrong:
+                raise ValueError(f"the batch function got {rows} rows and gave {wrong}")
+            share = None if result is None else seconds / rows
+            new |= {"transcription_time_s": [share] * rows, "attempts": [attempts] * rows, "error": [error] * rows, "in_flight": [going] * rows}
+            for name, values in new.items():
+                own[name] += values
+        table = done[0][0] if len(done) == 1 else pa.concat_batches([batch for batch, *_ in done])
+        arrays = [table.column(f.name).cast(f.type) if f.name in kept_names else pa.array(own[f.name], f.type) for f in arrow_schema]
         return pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Batches run over the borders of Arrow frames; only the last one of a partition can be short."""
-        parts: list[pa.RecordBatch] = []
-        held = 0
-        for frame in frames:
-            at = 0
-            while at < frame.num_rows:
-                part = frame.slice(at, batch_size - held)
-                parts.append(part)
-                at, held = at + part.num_rows, held + part.num_rows
-                if held == batch_size:
-                    yield scored(parts)
-                    parts, held = [], 0
-        if parts:
-            yield scored(parts)
+        done: list[tuple] = []
+        rows = size = 0
+        for batch, outcome, going in in_completion_order(_batches(frames, batch_size), scored, in_flight):
+            slim = batch.select(kept_names)
+            done.append((slim, outcome, going))
+            rows, size = rows + slim.num_rows, size + slim.nbytes
+            if rows >= _OUT_ROWS or size >= _OUT_BYTES:
+                yield gathered(done)
+                done, rows, size = [], 0, 0
+        if done:
+            yield gathered(done)
 
     source = df.repartition(parallel) if parallel else df
     return source.mapInArrow(run, schema)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
+import time
 from collections.abc import Callable
 from functools import reduce
+from pathlib import Path
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +21,7 @@ from uttermark.operators.normalize import expand_words, normalize_by_language, n
 from uttermark.operators.spreading import spread
 from uttermark.operators.staging import new_path, staged
 from uttermark.plans.derived import damaged, manifest, question_records, references, table
-from uttermark.sources import manifests, utterances
+from uttermark.sources import manifests, paged, utterances
 from uttermark.streaming import leaderboard as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -966,6 +970,99 @@ def map_batches_parallel(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _served(batch: dict[str, list], seen: set = set()) -> dict[str, list]:  # noqa: B006 - one set per worker, on purpose
+    """A service that takes its time, and fails once on some rows."""
+    time.sleep(0.002)
+    key = batch["doc_id"][0]
+    if key % 25 == 7 and key not in seen:
+        seen.add(key)
+        raise RuntimeError("busy")
+    return {"predictions": [t + " (heard)" for t in batch["text"]]}
+
+
+@query
+def map_batches_window(spark: SparkSession, sf: str) -> DataFrame:
+    """Four calls in flight in each partition, retries among them; lost batches are dropped."""
+    lanes = _documents(spark, sf).repartition(3, "doc_id")
+    mapped = batching.map_batches(lanes, _served, [("predictions", "string")], batch_size=2, pause=0.0, in_flight=4)
+    return batching.drop_failed(mapped).groupBy("lang").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.length("predictions")).alias("letters"),
+        F.max("in_flight").alias("most_in_flight"),
+    )
+
+
+@query
+def surviving_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose call gave a result; those of the others are dropped."""
+    docs = _spread_documents(spark, sf)
+    return batching.drop_failed(batching.map_batches(docs, _flaky, [("predictions", "string")], batch_size=1, pause=0.0)).select("doc_id", "predictions")
+
+
+def _signal_sums(batch: dict[str, list]) -> dict[str, list]:
+    """Arrays of numbers come as NumPy arrays."""
+    return {"total": [round(float(a["array"].astype("float64").sum()), 4) for a in batch["audio"]], "samples": [a["array"].size for a in batch["audio"]]}
+
+
+@query
+def map_batches_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch function over signals."""
+    rows = table(spark, sf, "embeddings").select("vec_id", F.struct(F.col("embedding").alias("array"), F.lit(16).alias("sampling_rate")).alias("audio"))
+    mapped = batching.map_batches(rows, _signal_sums, [("total", "double"), ("samples", "int")], batch_size=32)
+    return mapped.select("vec_id", "total", "samples")
+
+
+# --- paged source ------------------------------------------------------------------------------
+
+
+def _page_folder(spark: SparkSession, sf: str) -> tuple[str, int]:
+    """All ``pages`` as files of a hundred rows, one folder a page: the service that is read from."""
+    path = new_path(spark, "served")
+    rows = staged(table(spark, sf, "pages"), "pages")
+    numbered = indexing.dense_index(rows, [], [F.col("page_id")], "at")
+    numbered.withColumn("page", F.expr(f"at div {utterances.PAGE_ROWS}")).write.partitionBy("page").json(path)
+    return re.sub("^file:/*", "/", path), rows.count()
+
+
+def _page_service(folder: str) -> Callable[[int, int], list[dict]]:
+    """Fetches rows from the page folders, as nested API rows; every page fails twice first."""
+    failed: dict[int, int] = {}
+
+    def fetch(offset: int, length: int) -> list[dict]:
+        failed[offset] = failed.get(offset, 0) + 1
+        if failed[offset] <= 2:
+            raise RuntimeError("the service is busy")
+        files = Path(folder, f"page={offset // utterances.PAGE_ROWS}").glob("*.json")
+        rows = sorted((json.loads(line) for f in files for line in f.read_text("utf-8").splitlines()), key=lambda r: r["at"])
+        wanted = [r for r in rows if offset <= r["at"] < offset + length]
+        return [{"row": {"text": r["html"], "audio_length_s": len(r["html"]) / 15.0, "audio": [{"src": r["url"]}]}} for r in wanted]
+
+    return fetch
+
+
+_API_ROW = "row struct<text: string, audio_length_s: double, audio: array<struct<src: string>>>"
+
+
+@query
+def paged_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole ``pages`` read page by page through a service that fails twice for each."""
+    folder, total = _page_folder(spark, sf)
+    rows = paged.read_pages(spark, "served_pages", _page_service(folder), _API_ROW, lambda: total, pause=0.0)
+    return _rounded(utterances.paged_texts(rows), "audio_length_s")
+
+
+@query
+def paged_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stream, in two runs: the service has half of the rows first."""
+    folder, total = _page_folder(spark, sf)
+    out, progress = new_path(spark, "paged"), new_path(spark, "progress")
+    for known in (total // 2, total):
+        stream = paged.stream_pages(spark, "served_stream", _page_service(folder), _API_ROW, lambda n=known: n, pause=0.0)
+        writer = stream.writeStream.format("parquet").option("checkpointLocation", progress).trigger(availableNow=True)
+        writer.start(out).awaitTermination()
+    return _rounded(utterances.paged_texts(spark.read.parquet(out)), "audio_length_s")
+
+
 @query
 def failed_batches(spark: SparkSession, sf: str) -> DataFrame:
     docs = _spread_documents(spark, sf)

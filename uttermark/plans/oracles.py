@@ -278,6 +278,8 @@ _codes = " ".join(f"when '{k}' then '{v}'" for k, v in align.LANGUAGE_CODES.item
 _languages = [f"{d}_{c}:test" for d, codes in align.MULTILINGUAL.items() for c in codes.split()]
 _prompt_tail = _quote(INSTRUCTION)
 
+PAGED = """select html "text", round(length(html)/15.0::double,6) audio_length_s, url src from pages"""
+
 ORACLES: dict[str, str] = {
     "wer_with_losses": f"""with {RUNS} select model_id, dataset_id, count(*) samples, count(*) filter (doc_id%13=0) lost, sum(e)::bigint errors,
         sum(words)::bigint words, round(100.0::double*sum(e)/sum(words),6) wer
@@ -440,7 +442,7 @@ ORACLES: dict[str, str] = {
     "page_plan": """with s as (select event_type, count(*) total_rows from events group by 1)
         select event_type, total_rows, o::bigint as "offset", least(100,total_rows-o)::int length from
         (select *, unnest(range(0,total_rows,100)) o from s)""",
-    "paged_rows": """select html "text", round(length(html)/15.0::double,6) audio_length_s, url src from pages""",
+    "paged_rows": PAGED,
     "length_buckets": BUCKETS,
     "map_batches_retry": """select doc_id, case when doc_id%40<>13 then (length(text)+8)::int end n,
         case when doc_id%40<>13 and doc_id%25=7 then 2 else 1 end attempts,
@@ -450,6 +452,12 @@ ORACLES: dict[str, str] = {
     "map_batches_parallel": """select 4::bigint lanes, count(*) "rows", sum(length(text)+1)::bigint letters, count(*) "right" from documents""",
     "failed_batches": """select lang, count(*) filter (doc_id%40<>13) kept, count(*) filter (doc_id%40=13) dropped,
         max(case when doc_id%40<>13 and doc_id%25=7 then 2 else 1 end) max_attempts from documents group by lang""",
+    "map_batches_window": """select lang, count(*) "rows", sum(length(text)+8)::bigint letters, 4::int most_in_flight from documents group by lang""",
+    "surviving_batches": """select doc_id, text||' (heard)' predictions from documents where doc_id%40<>13""",
+    "map_batches_signals": """select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double)),4) total, len(embedding)::int samples
+        from embeddings""",
+    "paged_source": PAGED,
+    "paged_stream": PAGED,
     "stream_leaderboard": STREAMED,
     "stream_rescoring": STREAMED,
 }
