@@ -34,7 +34,8 @@ def test_ranges_number_like_one_window(spark, kind):
 def test_ranges_are_even_for_a_hot_group(spark):
     df = spark.range(50_000).select(F.lit("hot").alias("g"), (F.col("id") % 5).alias("tied"), "id")
     key = F.struct(F.col("tied").alias("o0"), F.col("id").alias("o1"))
-    cuts = indexing._cut_points(df, key, 20)
+    cuts, heavy = indexing._cut_points(df, key, 20)
+    assert heavy == []
     assert 15 <= len(cuts) <= 19
     array = F.array(*[F.struct(*[F.lit(v).cast("long").alias(f"o{i}") for i, v in enumerate(c)]) for c in cuts])
     sizes = df.select(indexing._bucket(key, array, len(cuts)).alias("b")).groupBy("b").count()
@@ -51,7 +52,38 @@ def test_first_rows(spark):
     df = spark.range(100)
     assert indexing.first_rows(df, None, []).count() == 100
     assert indexing.first_rows(df, -1, []).count() == 100
-    assert [r.id for r in indexing.first_rows(df, 3, [-F.col("id")]).collect()] == [99, 98, 97]
+    assert sorted(r.id for r in indexing.first_rows(df, 3, [-F.col("id")]).collect()) == [97, 98, 99]
+
+
+@pytest.mark.parametrize("top", [5, 100_000])
+def test_limits_are_exact_under_ties(spark, monkeypatch, top):
+    """Few order keys, nulls, and a third of the rows equal in all columns; whatever is left to the top-k operator."""
+    monkeypatch.setattr(indexing, "TOP_ROWS", top)
+    monkeypatch.setattr(indexing, "_SELECT_BUCKETS", 4)
+    df = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, 1).when(F.col("id") % 3 == 1, F.col("id") % 2).alias("k"),
+        F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("t"),
+    )
+    keys = sorted((-1 if r.k is None else r.k) for r in df.collect())
+    for n in (1, 7, 299, 300, 301, 450, 700, 899, 900, 901, 5000):
+        got = indexing.first_rows(df, n, [F.col("k")]).collect()
+        assert sorted((-1 if r.k is None else r.k) for r in got) == keys[:n], n
+        assert len({r.t for r in got if r.t != "same"}) == sum(r.t != "same" for r in got)
+    assert indexing.first_rows(df.limit(0), 3, [F.col("k")]).count() == 0
+    assert indexing.first_rows(df, 5, [F.col("k"), F.length("t")]).count() == 5
+
+
+def test_equal_rows_are_numbered_from_their_count(spark):
+    """Half of the rows are equal in all columns: no task gathers them, and the numbers have no gap."""
+    df = spark.range(4_000).select(
+        F.lit("g").alias("g"), F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id") % 10).alias("k"), F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id")).alias("i")
+    )
+    numbered = indexing.dense_index(df, ["g"], [F.col("k")], "at", buckets=8)
+    assert "__block" in numbered._jdf.queryExecution().optimizedPlan().toString()
+    got = numbered.collect()
+    assert sorted(r.at for r in got) == list(range(4_000)) and sorted(r.i for r in got) == sorted(r.i for r in df.collect())
+    order = [r.k for r in sorted(got, key=lambda r: r.at)]
+    assert order == sorted(order)
 
 
 # --- alignment ---------------------------------------------------------------------------------
@@ -424,11 +456,12 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
 # --- refusals and plans ------------------------------------------------------------------------
 
 
-def test_numbering_refuses_an_order_that_cannot_be_cut(spark):
+def test_numbering_under_ties(spark):
     df = spark.range(5_000).select((F.col("id") % 2).alias("k"), "id")
-    with pytest.raises(ValueError, match="breaks ties"):
-        indexing.dense_index(df, [], [F.col("k")], "at", buckets=8)
-    got = indexing.dense_index(df, [], [F.col("k"), F.col("id")], "at", buckets=8)
+    got = indexing.dense_index(df, [], [F.col("k")], "at", buckets=8)
+    assert sorted(r.at for r in got.collect()) == list(range(5_000)) and got.where("(at >= 2500) <> (k = 1)").count() == 0
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, indexing.dense_index(df.repartition(3), [], [F.col("k")], "at", buckets=5).collect()))
+    got = indexing.dense_index(df, [], [F.col("k"), F.col("id")], "at", buckets=8, ties=[])
     assert got.where("at <> id div 2 + k * 2500").count() == 0 and dict(got.dtypes)["at"] == "bigint"
 
 
@@ -456,7 +489,7 @@ def test_limit_filters_the_scan_by_key(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(200).select("id", F.when(F.col("id") % 2 == 0, " ").otherwise("a word").alias("text")).write.parquet(path)
     got = prepare.prepare(spark.read.parquet(path), limit=3, order=[F.col("id")], profile="multilingual")
-    assert [r.id for r in got.collect()] == [1, 3, 5]
+    assert sorted(r.id for r in got.collect()) == [1, 3, 5]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [Or(IsNull(id),LessThanOrEqual(id,5))]" in plan
 

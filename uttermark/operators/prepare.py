@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from uttermark.functions.text import has_cjk, has_no_runs, is_scorable
-from uttermark.operators.indexing import LOOKUP_ROWS, first_rows, reached
+from uttermark.operators.indexing import cut, first_rows
 from uttermark.operators.normalize import normalize_by_language, normalize_corpus, profile_of_language
 from uttermark.sources.utterances import EXTENDED_TEXT_COLUMNS, TEXT_COLUMNS, text_column
 
@@ -91,11 +91,9 @@ def prepare(
         rows = derive_texts(rows, **texts).where(is_scorable(F.col(filter_on)))
         return rows.where(has_no_runs(F.col("norm_text")) & has_cjk(F.col("norm_text"))) if chinese else rows
 
-    if limit_stage == "after" and limit and 0 < limit <= LOOKUP_ROWS:
+    if limit_stage == "after" and limit and limit > 0:
         # The key of the last row filters the table as it was given, so that it reaches the scan and only
         # the rows up to it are derived again.
-        return kept(df.where(reached(kept(df), limit, order))).orderBy(*order).limit(limit).drop(*drop)
-    df = kept(df)
-    if limit_stage == "after":
-        df = first_rows(df, limit, order or [])
-    return df.drop(*drop)
+        end = cut(kept(df), limit, order, ties=df.columns)
+        return end.rows(kept(df.where(end.reach(df)))).drop(*drop)
+    return kept(df).drop(*drop)

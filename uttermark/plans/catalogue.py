@@ -23,6 +23,7 @@ from uttermark.operators.staging import new_path, staged
 from uttermark.plans.derived import damaged, manifest, question_records, references, table
 from uttermark.sources import manifests, paged, utterances
 from uttermark.streaming import leaderboard as streams
+from uttermark.streaming import samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -442,6 +443,22 @@ def limit_after_filter(spark: SparkSession, sf: str) -> DataFrame:
     return _limited(spark, sf, "after")
 
 
+@query
+def limit_none(spark: SparkSession, sf: str) -> DataFrame:
+    """A limit of -1 means all rows."""
+    rows = spread(_with_markers(spark, sf).drop("n_chars"), "doc_id")
+    return prepare.prepare(rows, limit=-1, order=[F.col("doc_id")], profile="multilingual", drop=("text", "original_text"))
+
+
+@query
+def limit_tied(spark: SparkSession, sf: str) -> DataFrame:
+    """The first half of all ``lineitem`` rows by a key of two values: as many as asked for, all of the lesser key among them."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.least(F.col("l_suppkey") % 3, F.lit(1)).alias("k"))
+    half = lines.count() // 2 + 7
+    taken = indexing.first_rows(lines, half, [F.col("k")])
+    return taken.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("k") == 0, F.col("l_orderkey"))).alias("orders"))
+
+
 @query
 def longest_topk(spark: SparkSession, sf: str) -> DataFrame:
     return batching.longest(table(spark, sf, "documents").select("doc_id", "n_chars"), 4 * 64, "n_chars", "doc_id")
@@ -650,8 +667,8 @@ def norm_numbers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def norm_number_amounts(spark: SparkSession, sf: str) -> DataFrame:
-    """The folded amount in front of each turn, which is known."""
-    return _spoken_amounts(spark, sf).select("conv_id", "turn", F.substring_index("folded", " = ", 1).alias("amount"))
+    """Whole folded turns with an amount in front, and that amount alone, which is known."""
+    return _spoken_amounts(spark, sf).withColumn("amount", F.substring_index("folded", " = ", 1))
 
 
 @query
@@ -770,7 +787,7 @@ def candidate_random(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def record_concat(spark: SparkSession, sf: str) -> DataFrame:
     whole = nested.assemble_records(
-        question_records(spark, sf), "best", F.col("language"), rate=16, max_seconds=10, limit_stage="after"
+        question_records(spark, sf), "best", F.col("language"), rate=16, max_seconds=22, limit_stage="after"
     )
     return whole.select("record", F.size("audio").alias("samples"), _weighted("audio").alias("weighted"))
 
@@ -779,14 +796,14 @@ def record_concat(spark: SparkSession, sf: str) -> DataFrame:
 def record_limit(spark: SparkSession, sf: str) -> DataFrame:
     """The first ten records, taken before those that are too long go."""
     whole = nested.assemble_records(
-        question_records(spark, sf), "worst", F.col("language"), rate=16, max_seconds=10, limit=10, order=[F.col("record")]
+        question_records(spark, sf), "worst", F.col("language"), rate=16, max_seconds=22, limit=10, order=[F.col("record")]
     )
     return whole.select("record", F.size("audio").alias("samples"), _weighted("audio").alias("weighted"))
 
 
 @query
 def flatten_recordings(spark: SparkSession, sf: str) -> DataFrame:
-    flat = nested.flatten_recordings(question_records(spark, sf), ["record"], max_seconds=2.5)
+    flat = nested.flatten_recordings(question_records(spark, sf), ["record"], max_seconds=5.5)
     return flat.select(
         "record", "sentence_pos", "audio_pos", "text",
         F.size("audio.array").alias("samples"),
@@ -863,6 +880,16 @@ def batch_ids(spark: SparkSession, sf: str) -> DataFrame:
     return indexing.batch_ids(docs, 128, batching.longest_first("n_chars", "doc_id"))
 
 
+@query
+def batch_ids_tied(spark: SparkSession, sf: str) -> DataFrame:
+    """All ``lineitem`` rows numbered by a key of two values, in two groups: where each key's numbers begin and end."""
+    lines = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", (F.col("l_suppkey") % 2).alias("k"))
+    numbered = indexing.dense_index(lines, ["l_returnflag"], [F.col("k")], "at")
+    return numbered.groupBy("l_returnflag", "k").agg(
+        F.min("at").alias("first"), F.max("at").alias("last"), F.count_distinct("at").alias("numbers"), F.sum("l_orderkey").alias("orders")
+    )
+
+
 @query
 def batch_amortise(spark: SparkSession, sf: str) -> DataFrame:
     """The time of a batch, shared evenly by its rows."""
@@ -1108,3 +1135,22 @@ def stream_rescoring(spark: SparkSession, sf: str) -> DataFrame:
     _write_runs(rows.where(faulty), runs, "overwrite")
     streams.start_rescoring(spark, runs, sums, progress).awaitTermination()
     return _stored(spark, sums)
+
+
+@query
+def stream_rescoring_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """One model first loses every third hypothesis; files come twice, then its rerun: only what changed is scored again."""
+    rows, runs = staged(_aligned_runs(spark, sf), "aligned"), new_path(spark, "runs")
+    sums, progress = new_path(spark, "sums"), new_path(spark, "progress")
+    faulty = F.col("model") == "org/model-b"
+    told = rows.select(
+        *manifests.RUN_KEYS, F.concat(F.lit("sample_"), "doc_id").alias("audio_filepath"), "duration", "time", "text", "pred_text", "doc_id"
+    )
+    first = told.withColumn("pred_text", F.when(~(faulty & (F.col("doc_id") % 3 == 0)), F.col("pred_text")))
+    for version, part in ((1, first), (1, first.where(F.col("doc_id") % 2 == 0)), (2, told.where(faulty))):
+        part.drop("doc_id").withColumn("version", F.lit(version).cast("long")).write.mode("append").option(
+            "ignoreNullFields", "false"
+        ).partitionBy(*manifests.RUN_KEYS).json(runs)
+        samples.start_sample_rescoring(samples.versioned_stream(spark, runs), sums, progress, buckets=4).awaitTermination()
+    scores = _rounded(samples.stored_sample_scores(spark, sums), "wer", "rtfx")
+    return scores.select("model", "dataset", "split", "samples", "errors", "words", "wer", "rtfx", "scored")

@@ -62,13 +62,14 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested records from the vectors: twelve per record, three recordings for each of four sentences.
 
-    Group sizes and signal lengths are fixed by the arithmetic on ``vec_id``.  Sentences are stored out of id order.
+    Group sizes are fixed by the arithmetic on ``vec_id``, and so are signal lengths: a whole vector and up to
+    48 of its samples once more, last ones first.  Sentences are stored out of id order.
     """
     vectors = table(spark, sf_dir, "embeddings").select(
         F.expr("vec_id div 12").alias("record"),
         F.expr("cast((vec_id % 12) div 3 as int)").alias("part"),
         F.expr("cast(vec_id % 3 as int)").alias("k"),
-        F.expr("slice(embedding, 1, cast(16 + vec_id % 49 as int))").alias("embedding"),
+        F.expr("concat(embedding, slice(reverse(embedding), 1, cast(vec_id % 49 as int)))").alias("embedding"),
         F.abs(F.get("embedding", F.lit(0)).cast("double")).alias("whisper"),
         F.abs(F.get("embedding", F.lit(1)).cast("double")).alias("seamless"),
     )

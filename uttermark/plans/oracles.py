@@ -10,15 +10,78 @@ lost, n + i words hold at most n matches, so the distance is exactly i.
 
 from __future__ import annotations
 
-from uttermark.functions import english
-from uttermark.functions.answers import INSTRUCTION
-from uttermark.operators import align, nested
 from uttermark.plans import number_sql
 from uttermark.plans.catalogue import DICTIONARY, PHRASES
 
 W = r"\p{L}\p{N}_"
 
 
+# Fixed values, written out once more: what the rules, code tables and prompts of the product have to be.
+FILLERS = "hmm mm mhm mmm uh um"
+RULES = """won't=will not
+can't=can not
+let's=let us
+ain't=aint
+y'all=you all
+wanna=want to
+gotta=got to
+gonna=going to
+i'ma=i am going to
+imma=i am going to
+woulda=would have
+coulda=could have
+shoulda=should have
+ma'am=madam"""
+TITLES = """mr=mister 
+mrs=missus 
+st=saint 
+dr=doctor 
+prof=professor 
+capt=captain 
+gov=governor 
+ald=alderman 
+gen=general 
+sen=senator 
+rep=representative 
+pres=president 
+rev=reverend 
+hon=honorable 
+asst=assistant 
+assoc=associate 
+lt=lieutenant 
+col=colonel 
+jr=junior 
+sr=senior 
+esq=esquire """
+ENDINGS = """'d been= had been
+'s been= has been
+'d gone= had gone
+'s gone= has gone
+'d done= had done
+'s got= has got
+n't= not
+'re= are
+'s= is
+'d= would
+'ll= will
+'t= not
+'ve= have
+'m= am"""
+LANGUAGE_CODES = "en=eng_Latn de=deu_Latn fr=fra_Latn es=spa_Latn it=ita_Latn pt=por_Latn nl=nld_Latn pl=pol_Latn cs=ces_Latn da=dan_Latn el=ell_Grek et=est_Latn fi=fin_Latn hr=hrv_Latn hu=hun_Latn lt=lit_Latn lv=lvs_Latn mt=mlt_Latn ro=ron_Latn ru=rus_Cyrl sk=slk_Latn sl=slv_Latn sv=swe_Latn uk=ukr_Cyrl"
+WHISPER_UNSUPPORTED = "ast_Latn ceb_Latn ckb_Arab fuv_Latn gle_Latn ibo_Latn kam_Latn kea_Latn kir_Cyrl lug_Latn luo_Latn nso_Latn tgl_Latn umb_Latn wol_Latn xho_Latn zul_Latn"
+SEAMLESS_UNSUPPORTED = "ast_Latn hau_Latn kam_Latn kea_Latn lin_Latn mri_Latn nso_Latn oci_Latn tgl_Latn umb_Latn wol_Latn xho_Latn"
+RUNS_PLANNED = "ami:test earnings22:test gigaspeech:test librispeech:test.clean librispeech:test.other spgispeech:test tedlium:test voxpopuli:test earnings21:test earnings22:test tedlium:test ATL:test DCA:test DCB:test DTA:test LES:test PRV:test ROC:test VLD:test"
+MULTILINGUAL_RUNS = "fleurs_de:test fleurs_fr:test fleurs_it:test fleurs_es:test fleurs_pt:test mcv_de:test mcv_es:test mcv_fr:test mcv_it:test mls_es:test mls_fr:test mls_it:test mls_pt:test"
+INSTRUCTION = (
+    'Listen to the audio passage, then answer the following question by responding with ONLY the number ('
+    '1, 2, 3, or 4) of the correct answer.'
+)
+
+
+def _rules(text: str) -> list[tuple[str, str]]:
+    return [tuple(line.split("=")) for line in text.split("\n")]
+
+
 def _quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -86,7 +149,7 @@ def _pairs(entries: list[str]) -> str:
     return f"(values {rows}) e(dataset, split)"
 
 
-PLANNED = f"""planned as (select 'org/'||s_name model, dataset, split from supplier, {_pairs(align.SHORT_FORM + align.LONG_FORM)}),
+PLANNED = f"""planned as (select 'org/'||s_name model, dataset, split from supplier, {_pairs(RUNS_PLANNED.split())}),
 finished as (select distinct 'org/Supplier#'||lpad(l_suppkey::varchar,9,'0') model,
     case when l_quantity<25 then 'ami' else 'tedlium' end dataset, 'test' split from lineitem)"""
 
@@ -114,11 +177,11 @@ def _expansion(source: str) -> tuple[str, str]:
     def add(expression: str) -> None:
         steps.append(f"t{len(steps)} as (select doc_id, {expression} t from t{len(steps) - 1})")
 
-    add(_whole_word("t", f"(?:{'|'.join(english.FILLERS)})", ""))
+    add(_whole_word("t", f"(?:{'|'.join(FILLERS.split())})", ""))
     add(r"regexp_replace(t,'[\s\p{Z}]+''','''','g')")
-    for word, replacement in english.CONTRACTIONS + english.TITLES:
+    for word, replacement in _rules(RULES) + _rules(TITLES):
         add(_whole_word("t", word, replacement))
-    for ending, replacement in english.ENDINGS:
+    for ending, replacement in _rules(ENDINGS):
         add(_ending("t", ending, replacement))
     return ", ".join(steps), f"t{len(steps) - 1}"
 
@@ -176,11 +239,11 @@ def _language_set(codes: list[str]) -> str:
     return ",".join(f"'{c}'" for c in codes)
 
 
-RECORDINGS = f"""vecs as (select vec_id//12 record, (vec_id%12)//3 part, vec_id%3 k, embedding[1:16+vec_id%49] e,
+RECORDINGS = f"""vecs as (select vec_id//12 record, (vec_id%12)//3 part, vec_id%3 k, list_concat(embedding, list_reverse(embedding)[1:vec_id%49]) e,
     abs(embedding[1]::double) whisper, abs(embedding[2]::double) seamless,
     ['eng_Latn','xho_Latn','hau_Latn','zul_Latn'][(vec_id//12)%4+1] lang from embeddings),
-judged as (select *, 453-part sid, case when lang in ({_language_set(nested.WHISPER_UNSUPPORTED)}) then seamless
-    when lang in ({_language_set(nested.SEAMLESS_UNSUPPORTED)}) then whisper else (whisper+seamless)/2 end cer from vecs),
+judged as (select *, 453-part sid, case when lang in ({_language_set(WHISPER_UNSUPPORTED.split())}) then seamless
+    when lang in ({_language_set(SEAMLESS_UNSUPPORTED.split())}) then whisper else (whisper+seamless)/2 end cer from vecs),
 takes as (select *, row_number() over (partition by record, part order by k) pos from judged)"""
 
 
@@ -207,9 +270,9 @@ walk as (select batch_id, doc_id, n_chars, rn, 0 bucket_id, 1 held from ranked w
 select batch_id, doc_id, n_chars, bucket_id::int bucket_id from walk"""
 
 
-def _limited(stage: str) -> str:
+def _limited(stage: str, n: int = 100) -> str:
     first = "(select * from marked order by doc_id limit 100)" if stage == "before" else "marked"
-    last = " order by doc_id limit 100" if stage == "after" else ""
+    last = f" order by doc_id limit {n}" if stage == "after" else ""
     return f"""with {MARKED}, n as (select doc_id, lang, {_multilingual('"text"')} norm_text from {first})
     select doc_id, lang, norm_text from n where trim(norm_text) not in ('', 'ignore time segment in scoring'){last}"""
 
@@ -274,8 +337,8 @@ def _batch_sizes(size: int) -> str:
         select l_orderkey, l_linenumber, l_suppkey, (count(*) over (partition by lane, b))::int batch_rows from n"""
 
 
-_codes = " ".join(f"when '{k}' then '{v}'" for k, v in align.LANGUAGE_CODES.items())
-_languages = [f"{d}_{c}:test" for d, codes in align.MULTILINGUAL.items() for c in codes.split()]
+_codes = " ".join("when '{}' then '{}'".format(*pair.split("=")) for pair in LANGUAGE_CODES.split())
+_languages = MULTILINGUAL_RUNS.split()
 _prompt_tail = _quote(INSTRUCTION)
 
 PAGED = """select html "text", round(length(html)/15.0::double,6) audio_length_s, url src from pages"""
@@ -362,6 +425,12 @@ ORACLES: dict[str, str] = {
         least(len(embedding),40*(label%2+1))::int kept, {_weighted("embedding[1:40*(label%2+1)]")} from embeddings""",
     "limit_before_filter": _limited("before"),
     "limit_after_filter": _limited("after"),
+    "limit_none": _limited("all"),
+    "limit_tied": """with t as (select least(l_suppkey%3,1) k, count(*) c, sum(l_orderkey)::bigint o from lineitem group by 1), h as (select sum(c)//2+7 half from t)
+        select k, n::bigint n, case when k=0 then o end orders from (select k, o, case when k=0 then least(c, half) else half-(select c from t where k=0) end n from t, h) where n>0""",
+    "batch_ids_tied": """with t as (select l_returnflag, l_suppkey%2 k, count(*) c, sum(l_orderkey)::bigint o from lineitem group by 1,2),
+        s as (select *, coalesce(sum(c) over (partition by l_returnflag order by k rows between unbounded preceding and 1 preceding),0) b from t)
+        select l_returnflag, k, b::bigint "first", (b+c-1)::bigint "last", c numbers, o orders from s""",
     "longest_topk": "select doc_id, n_chars from documents order by n_chars desc, doc_id limit 256",
     "text_column_resolution": "select conv_id, turn, text original_text from conversations",
     "language_from_config": """select case when doc_id%7=0 then 'en' else lang end as language, count(*) n from documents group by 1""",
@@ -385,7 +454,9 @@ ORACLES: dict[str, str] = {
     "norm_numbers": f"""with recursive turns as (select conv_id*1000+turn id, lower({_phrase('conv_id', 'turn')}||' = '||text||' = '||
         {_phrase('conv_id', 'turn')}) t from conversations), {number_sql.fold('turns')}
         select id//1000 conv_id, id%1000 turn, t folded from folded""",
-    "norm_number_amounts": "select conv_id, turn, '$'||(conv_id*100) amount from conversations",
+    "norm_number_amounts": f"""with recursive turns as (select conv_id*1000+turn id, lower(array_to_string(list_transform(string_split(conv_id::varchar,''),
+            lambda d: ['zero','one','two','three','four','five','six','seven','eight','nine'][d::int+1]),' ')||' hundred dollars = '||text) t from conversations),
+        {number_sql.fold('turns')} select id//1000 conv_id, id%1000 turn, t folded, '$'||(id//1000*100) amount from folded""",
     "norm_contractions": _contractions(),
     "norm_digit_groups": r"""select doc_id, regexp_replace(regexp_replace(text,'(\p{Nd}),(\p{Nd})','\1\2','g'),'\.([^0-9]|$)',' \1','g') joined
         from documents""",
@@ -407,16 +478,16 @@ ORACLES: dict[str, str] = {
     "candidate_worst": _chosen("desc"),
     "record_concat": f"""with {RECORDINGS}, best as (select *, row_number() over (partition by record, part order by cer, k) rn from takes),
         whole as (select record, flatten(list(e order by sid)) e from best where rn=1 group by record)
-        select record, len(e)::int samples, {_weighted("e")} from whole where len(e)/16.0::double<=10""",
+        select record, len(e)::int samples, {_weighted("e")} from whole where len(e)/16.0::double<=22""",
     "record_limit": f"""with {RECORDINGS}, best as (select *, row_number() over (partition by record, part order by cer desc, k) rn from takes),
         whole as (select record, flatten(list(e order by sid)) e from best where rn=1 group by record order by record limit 10)
-        select record, len(e)::int samples, {_weighted("e")} from whole where len(e)/16.0::double<=10""",
+        select record, len(e)::int samples, {_weighted("e")} from whole where len(e)/16.0::double<=22""",
     "candidate_random": f"""with {RECORDINGS}, n as (select record, part, sid, count(*) n from takes group by all)
         select record, (row_number() over (partition by record order by sid)-1)::int rank, sid::int sentence_id,
         (('0x'||substr(md5(record||':'||sid||':0'),1,8))::bigint % n + 1)::int "position" from n""",
     "flatten_recordings": f"""with {RECORDINGS} select * exclude (e) from (select record,
         (dense_rank() over (partition by record order by part)-1)::int sentence_pos, (pos-1)::int audio_pos, 'sentence '||part "text",
-        len(e)::int samples, {_weighted("e")}, e from takes) where samples/16.0::double<=2.5""",
+        len(e)::int samples, {_weighted("e")}, e from takes) where samples/16.0::double<=5.5""",
     "mono_mean": """select vec_id, f::int frame, round((embedding[2*f+1]::double+embedding[2*f+2]::double)/2,6) x
         from embeddings, range(32) r(f)""",
     "chunk_plan": """with s as (select doc_id, n_chars, unnest(case when n_chars>300 then range(0,n_chars,200) else [0] end) st from documents)
@@ -458,6 +529,8 @@ ORACLES: dict[str, str] = {
         from embeddings""",
     "paged_source": PAGED,
     "paged_stream": PAGED,
+    "stream_rescoring_samples": STREAMED.replace("from runs group by all", """, count(*) + count(*) filter (model_id='org/model-b' and doc_id%3=0) scored
+        from runs group by all"""),
     "stream_leaderboard": STREAMED,
     "stream_rescoring": STREAMED,
 }
