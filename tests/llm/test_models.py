@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from uttermark.llm import components, language_id, line_rules, packing, simhash, text_stats, weak_quality
@@ -66,6 +67,14 @@ def test_unlearnt_languages_and_gibberish_go(spark, rows):
     assert not [t[:60] for i, t in data if i >= 0 and i not in got]
 
 
+def test_numerals_are_no_letters(rows):
+    texts = ["½ ② ²", "Ⅷ", "12 %", "", "é", "日", "ªx", "Ⅷ a"]
+    assert [language_id.has_letter(t) for t in texts] == [False, False, False, False, True, True, True, True]
+    docs = rows([(i, t, "en" if i % 2 else "de") for i, t in enumerate(texts * 6)], "doc_id long, text string, lang string")
+    got = {texts[r.doc_id % 8]: r.lang_pred for r in language_id.identify(docs, language_id.fit(docs)).collect()}
+    assert {t for t, lang in got.items() if lang == "und"} == set(texts[:4])
+
+
 def test_language_without_labels(rows):
     docs = rows([(1, "a b", None), (2, "12", None)], "doc_id long, text string, lang string")
     assert language_id.fit(docs) is None
@@ -327,6 +336,40 @@ def slow_best_fit(sizes, sources, clusters, capacity):
     return placed, len(bins)
 
 
+def test_one_hot_id_is_dealt_over_all_shards(rows):
+    """A third of the ids are null, as many are one number, and very many rows are the same."""
+    data = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"t{i}", None) for i in range(3000)] + [(9, "the same", None)] * 1500
+    docs = rows(data, "doc_id long, text string, source string")
+    got = packing.pack(docs, capacity=200, per_shard=500)
+    assert got.count() == 4500
+    by = {r.s: r.n for r in got.groupBy(F.shiftright("bin_id", 32).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(by) == 9 and max(by.values()) < 900
+    used = got.groupBy("bin_id").agg(F.sum("size").alias("bytes"), F.count_if(F.col("doc_id") == 9).alias("same"))
+    assert used.where("bytes > 200 or same > 1").count() == 0
+
+
+def test_lines_are_learnt_from_all_of_a_text():
+    """Windows have the signs that their lines have in the whole text, and reach its end as they do its beginning."""
+    places = set()
+    for i in range(60):
+        raw = b"\n".join(f"line {k} of {i} is here.".encode() for k in range(8)) + b"\nline 0 of %d is here.\nAll rights reserved" % i
+        whole, window = line_rules.line_signs(line_rules.worded_lines(raw)), line_rules.window_signs(raw, 4)
+        at = [k for k in range(7) if (whole[k : k + 4] == window).all()]
+        assert len(window) == 4 and at
+        places |= {at[0], at[-1]}
+    assert {0, 6} <= places
+    assert len(line_rules.window_signs(b"a\nb", 32)) == 2 and len(line_rules.window_signs(b"", 32)) == 0
+
+
+def test_near_copies_with_clashing_names(rows):
+    data = [(i, f"some words of text number {i} here", "a", i) for i in range(30)] + [(100 + i, "some words of text number 3 here", "b", i) for i in range(20)]
+    data += [(None, "some words of text number 3 here", "c", 0)]
+    docs = rows(data, "doc_id long, text string, _LOST string, _maybe int")
+    left = simhash.without_near_duplicates(docs, radius=0)
+    assert left.dtypes == docs.dtypes
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in left.collect()) == [-1, *range(30)]
+
+
 def test_best_fit_against_all_bins():
     rng = random.Random(9)
     for _ in range(30):

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from uttermark.llm import exact_dedup, secret_scan, sharding
 from uttermark.llm.common import LOWER, UPPER
@@ -121,6 +122,55 @@ def test_masking(docs):
     assert plain == sorted(r.text for r in masked.collect() if r.text is not None and "[secret]" not in r.text)
 
 
+def test_masking_with_any_column_names(rows):
+    data = [(1, "token = abcdefghijkl end", "x", 1, "y"), (None, None, "x", 2, None), (None, "clean", None, 3, "z")]
+    docs = rows(data, "doc_id long, text string, FOUND string, _c0 int, kinds string")
+    masked = secret_scan.without_secrets(docs)
+    assert masked.dtypes == docs.dtypes
+    assert sorted(map(tuple, masked.collect()), key=lambda r: r[3]) == [(1, "[secret] end", "x", 1, "y"), *data[1:]]
+
+
+def test_one_hot_id(rows):
+    """A third of the ids are null and as many are one number: postings, shards and slots go by id and text."""
+    texts = [f"text {i} token = 'abcdefghijkl{i}'" if i % 4 == 0 else f"text {i} " + "x" * (i % 50) for i in range(3000)]
+    docs = rows([(None if i % 3 == 0 else 5 if i % 3 == 1 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert secret_scan.postings(docs, "doc_id", "text", ["tok"]).select("key").distinct().count() == 750
+    found = secret_scan.scan_secrets(docs).collect()
+    assert len(found) == 3000 and sum(bool(r.found) for r in found) == 750
+    got = sharding.shard(docs, shards=6)
+    keys = got.select(sharding._hash(F.col("doc_id"), F.col("text")).alias("b")).distinct().count()
+    assert keys == 3000
+    sizes = [r[1] for r in got.groupBy("shard").sum("size").collect()]
+    assert len(sizes) == 6 and max(sizes) - min(sizes) < 0.02 * sum(sizes) / 6
+    for r in got.groupBy("shard").agg(F.min("slot").alias("a"), F.max("slot").alias("b"), F.count_distinct("slot").alias("n")).collect():
+        assert (r.a, r.b) == (0, r.n - 1)
+
+
+def by_hand(data, shards):
+    """Cuts nearest to equal shares of the bytes in the order of the two hashes."""
+    order = sorted(data, key=lambda r: (r.a, r.b))
+    total, edges, run = sum(r.size for r in data), [], 0
+    ends = [0]
+    for r in order:
+        run += r.size
+        ends.append(run)
+    for j in range(1, shards):
+        edges.append(min(range(len(ends)), key=lambda i: abs(ends[i] * shards - j * total)))
+    return order, ends, edges
+
+
+def test_shards_are_cut_where_the_bytes_are_nearest(rows):
+    rng = random.Random(3)
+    docs = rows([(i, "x" * rng.randint(0, 90) + str(i)) for i in range(800)], "doc_id long, text string")
+    hashes = [sharding._hash(F.col("text")).alias("a"), sharding._hash(F.col("doc_id"), F.col("text")).alias("b")]
+    got = {r.doc_id: r.shard for r in sharding.shard(docs, shards=7, tolerance=0.0).select("doc_id", "shard").collect()}
+    order, ends, edges = by_hand(docs.select("doc_id", (F.octet_length("text") + 8).alias("size"), *hashes).collect(), 7)
+    total = ends[-1]
+    starts = [next(i for i, r in enumerate(order) if got[r.doc_id] == s) for s in range(1, 7)]
+    assert [got[r.doc_id] for r in order] == sorted(got.values())
+    assert all(abs(abs(ends[i] * 7 - j * total) - abs(ends[e] * 7 - j * total)) == 0 for j, (i, e) in enumerate(zip(starts, edges), 1))
+
+
 def test_shards(docs):
     got = sharding.shard(docs, shards=5).collect()
     assert len(got) == len(table())

@@ -12,13 +12,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numerals that are no decimal digits.
+_LETTER_OR_NUMERAL = re.compile(r"[^\W\d_]")
 DIGIT = re.compile(r"\d")
 NONE = "und"
 #: Cells of the n-grams that tell whether a text is in a language at all: so many that unlike n-grams seldom share one.
 FINE = 2**18
 
 
+def has_letter(text: str) -> bool:
+    """A character of a Unicode category of letters is in the text; numerals such as a half or a Roman one are none."""
+    return any(m[0].isalpha() for m in _LETTER_OR_NUMERAL.finditer(text))
+
+
 @dataclass(frozen=True)
 class Kernel:
     """k(s, t) = |S & T| / sqrt(|S| |T|), S and T the hashed character n-grams of ``orders`` present in two windows."""
@@ -99,7 +105,7 @@ def fit_rows(kernel: Kernel, rows: np.ndarray, langs: list[str], landmarks: int,
 def spoken(text: str) -> str:
     """The words without a digit: keys and numbers are in no language.  The whole text if those hold no letter."""
     words = " ".join(word for word in text.split() if not DIGIT.search(word))
-    return words if LETTER.search(words) else text
+    return words if has_letter(words) else text
 
 
 def calibrated(model: Model, windows: list[tuple[str, np.ndarray, np.ndarray]], rate: float = 0.01, lost: float = 0.005) -> Model:
@@ -191,7 +197,7 @@ def fit(
                 _, cells = kernel.cells(window)
                 bits.append(np.packbits(kernel.presence(1, cells % kernel.dims)[0] > 0).tobytes())
                 places, times = np.unique(fine.cells(spoken(window))[1] % FINE, return_counts=True)
-                times = np.minimum(times, 2**16 - 1) if LETTER.search(window) else 0 * times
+                times = np.minimum(times, 2**16 - 1) if has_letter(window) else 0 * times
                 seen.append(places.astype(np.int32).tobytes())
                 often.append(times.astype(np.uint16).tobytes())
             more = [pa.array(x, pa.binary()) for x in (bits, seen, often)]
@@ -231,7 +237,7 @@ def predict(texts: list[str | None], model: Model | None, most: int = 128) -> li
         pending, held = [], 0
 
     for i, text in enumerate(texts):
-        if text is None or not LETTER.search(text):
+        if text is None or not has_letter(text):
             continue
         block = most * kernel.window
         for at in range(0, len(text), block):
@@ -283,7 +289,7 @@ def in_known_language(docs: DataFrame, model: Model | None, text_col: str = "tex
                 part = batch.slice(at, 256)
                 texts = part.column(place).to_pylist()
                 if model is None:
-                    keep = [text is not None and LETTER.search(text) is not None for text in texts]
+                    keep = [text is not None and has_letter(text) for text in texts]
                 else:
                     got = predict(texts, model)
                     keep = [lang != NONE and score >= least and is_claimed(text, lang, model) for text, (lang, score) in zip(texts, got)]

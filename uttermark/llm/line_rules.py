@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -108,14 +109,16 @@ def fit_chain(texts: list[np.ndarray], rounds: int = 200, rate: float = 0.1, shr
         signs[i, : len(t)], there[i, : len(t)] = t, True
         known = seeds(t)
         fixed[i, : len(t)] = np.where((known[:, None] >= 0) & (known[:, None] != np.arange(2)), -1e3, 0.0)
+    # A window out of the middle of a text says nothing about first labels; the first line of a text is an edge.
+    begins = signs[:, 0, SIGNS.index("edge"), None]
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         emit, step, start = theta[: 2 * size].reshape(size, 2), theta[2 * size : -2].reshape(2, 2), theta[-2:]
-        scores = signs @ emit
-        given, given_steps = _expected(scores + fixed, there, step, start)
-        free, free_steps = _expected(scores, there, step, start)
+        scores, own_start = signs @ emit, begins * start
+        given, given_steps = _expected(scores + fixed, there, step, own_start)
+        free, free_steps = _expected(scores, there, step, own_start)
         slope = np.concatenate(
-            [np.einsum("tls,tlk->sk", signs, given - free).ravel(), (given_steps - free_steps).ravel(), (given - free)[:, 0].sum(0)]
+            [np.einsum("tls,tlk->sk", signs, given - free).ravel(), (given_steps - free_steps).ravel(), ((given - free)[:, 0] * begins).sum(0)]
         )
         slope = slope / len(texts) - shrink * theta
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
@@ -127,10 +130,19 @@ def worded_lines(raw: bytes) -> list[bytes]:
     return [line for line in raw.split(b"\n") if line.strip()]
 
 
+def window_signs(raw: bytes, lines: int) -> np.ndarray:
+    """The signs of ``lines`` lines in a row, of all lines if there are no more."""
+    signs = line_signs(worded_lines(raw))
+    start = crc32(raw) % max(len(signs) - lines + 1, 1)
+    return signs[start : start + lines]
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000, lines: int = 32) -> Chain:
-    """Fit the chain to at most ``sample`` texts, drawn by the hash of their id, and the first ``lines`` lines of each.
+    """Fit the chain to at most ``sample`` texts, drawn by the hash of their id, and a window of ``lines`` lines of each.
 
-    What comes to the driver is ``sample`` x ``lines`` rows of eleven bits at the utmost.
+    The signs are those of the lines in the whole text; the window lies where a hash of the text says, beginning
+    and end being as likely as any other place.  What comes to the driver is ``sample`` x ``lines`` rows of eleven
+    bits at the utmost.
     """
     total = docs.count()
     share = min(1.0, (2 * sample + 50) / max(total, 1))
@@ -139,7 +151,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [np.packbits(line_signs(worded_lines(t)[:lines]) > 0, axis=1).tobytes() for t in batch.column(1).to_pylist()]
+            bits = [np.packbits(window_signs(t, lines) > 0, axis=1).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["at", "bits"])
 
     rows = drawn.mapInArrow(run, "at long, bits binary").orderBy("at", "bits").limit(sample).collect()

@@ -74,10 +74,10 @@ def pack(
     equal texts.  Null sources, null clusters and empty texts conflict with nothing.  A document above the
     capacity fills ``full_bins`` bins of its own from ``first_full_bin`` on, and its rest goes to ``bin_id``.
 
-    Rows are dealt by the hash of their id into shards of about ``per_shard`` rows, packed each on its own
+    Rows are dealt by the hash of their id and text into shards of about ``per_shard`` rows, packed each on its own
     in the order of falling size, then of the id, nulls first; a shard can leave a few bins half empty,
-    whatever the number of rows.  A source that holds a third of all rows spreads over all shards alike.
-    Rows that repeat an id are packed each.  An empty table gives an empty result.
+    whatever the number of rows.  A source or an id (null, say) that holds a third of all rows spreads over all
+    shards alike, and so do rows that repeat both id and text.  Rows that repeat an id are packed each.  An empty table gives an empty result.
     """
     text = text_of(text_col)
     cluster = F.when(F.length(text) > 0, F.xxhash64(text)) if cluster_col is None else F.col(cluster_col)
@@ -86,9 +86,14 @@ def pack(
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.col(source_col).cast("string").alias("source"),
         F.xxhash64(cluster).alias("cluster") if cluster_col else cluster.alias("cluster"),
+        F.xxhash64(F.col(id_col), text).alias("mark"),
     )
     slim = staged(slim, "pack-items")
-    shards = max(1, -(-slim.count() // per_shard))
+    total = slim.count()
+    shards = max(1, -(-total // per_shard))
+    # Rows that repeat id and text can't be told apart, so where they are very many any of them may go anywhere.
+    often = slim.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(per_shard, total // 256))
+    heavy = [r["mark"] for r in often.select("mark").collect()]  # at most 256
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids, sizes = table.column("doc_id").to_pylist(), table.column("size").to_pylist()
@@ -111,6 +116,7 @@ def pack(
         )
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    dealt = slim.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    salt = F.when(F.col("mark").isin(heavy), F.monotonically_increasing_id()).otherwise(0) if heavy else F.lit(0)
+    dealt = slim.withColumn("shard", F.pmod(F.xxhash64("mark", salt), F.lit(shards))).drop("mark")
     schema = f"doc_id {kind}, size long, first_full_bin long, full_bins long, bin_id long, bin_offset long"
     return dealt.groupBy("shard").applyInArrow(run, schema).withColumnRenamed("doc_id", id_col)

@@ -77,15 +77,23 @@ def _found(text: Column, rule: Rule, rank: int, run: Column) -> Column:
     return F.when(run, walk).otherwise(none)
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    """What a row is looked up by: its id and its text, so that an id that very many texts share makes no group."""
+    return F.xxhash64(F.col(f"`{id_col}`"), text_of(f"`{text_col}`"))
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str, wanted: list[str]) -> DataFrame:
-    """(trigram, doc_id): the inverted index over the trigrams that some rule asks for, one row per text and trigram."""
-    low = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_of(text_col)).alias("low"))
+    """(trigram, key): the inverted index over the trigrams that some rule asks for, one row per id, text and trigram.
+
+    Repeated rows meet before they are shuffled.
+    """
+    low = docs.select(_row_key(id_col, text_col).alias("key"), F.lower(text_of(f"`{text_col}`")).alias("low"))
     held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted]))
-    return low.select("doc_id", F.explode(held).alias("trigram"))
+    return low.select("key", F.explode(held).alias("trigram")).distinct()
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, kinds): documents whose postings satisfy the Boolean query of a rule.
+    """(key, kinds): rows whose postings satisfy the Boolean query of a rule.
 
     The queries are a table (kind, clause, alternative, trigram); postings are intersected by counting, all
     in one partitioning by document: alternatives with all their trigrams, clauses with an alternative,
@@ -100,55 +108,57 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         for t in needed
     ]
     table = index.sparkSession.createDataFrame(terms, "kind string, clause int, alternative int, trigram string, needed int, clauses int")
-    joined = index.join(F.broadcast(table), "trigram").repartition("doc_id")
-    met = joined.groupBy("doc_id", "kind", "clause", "alternative", "needed", "clauses").agg(F.countDistinct("trigram").alias("n"))
-    met = met.where("n = needed").groupBy("doc_id", "kind", "clauses").agg(F.countDistinct("clause").alias("n"))
-    return met.where("n = clauses").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
-
+    joined = index.join(F.broadcast(table), "trigram").repartition("key")
+    met = joined.groupBy("key", "kind", "clause", "alternative", "needed", "clauses").agg(F.countDistinct("trigram").alias("n"))
+    met = met.where("n = needed").groupBy("key", "kind", "clauses").agg(F.countDistinct("clause").alias("n"))
+    return met.where("n = clauses").groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
-def scan_secrets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE + MORE, keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """(doc_id, *keep, found): the matches of every rule in every whole text, found: array of (start, rank, kind, end).
 
-    Places are code points, ends exclusive, matches of one rule leftmost and without overlap; ``found`` is
-    in the order of start, then of the rules.  Null texts are empty.  Rules without a mandatory trigram read
-    every text; a rule with some reads those of its candidates alone.  A filter of bounded size, made of the
-    candidates' ids, splits the rows: those that it clears never shuffle, the others meet their candidate
-    kinds by id.  Repeated and null ids are candidates together, which costs time and changes no result.
-    One row comes back per row of ``docs``; an empty table gives an empty result.
-    """
-    others = [name for name in keep if name != text_col]
+def _scanned(docs: DataFrame, id_col: str, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(_c0, _c1, ..., found): every row with all its columns, under names of their own, and its matches."""
     indexed = tuple(r for r in rules if trigram_query(r.pattern))
     wanted = sorted({t for r in indexed for clause in trigram_query(r.pattern) for some in clause for t in some})
     index = staged(postings(docs, id_col, text_col, wanted), "postings")
     named = staged(candidates(index, indexed), "secret-candidates")
     n_cells = cell_count(named.count())
-    bits = staged(bitmap(named.select(F.explode(F.array(*cells(F.col("doc_id"), n_cells, PROBES))).alias("cell")), "cell"), "candidate-cells")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(f"`{name}`").alias(f"_k{i}") for i, name in enumerate(others)])
-    rows = probe(rows, bits, F.col("_id"), n_cells, PROBES, "_maybe")
-    kinds = named.select(F.col("doc_id").alias("_named"), "kinds")
+    bits = staged(bitmap(named.select(F.explode(F.array(*cells(F.col("key"), n_cells, PROBES))).alias("cell")), "cell"), "candidate-cells")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    text = text_of(names[docs.columns.index(text_col)])
+    rows = docs.select(*[F.col(f"`{name}`").alias(own) for name, own in zip(docs.columns, names)], _row_key(id_col, text_col).alias("_key"))
+    rows = probe(rows, bits, F.col("_key"), n_cells, PROBES, "_maybe")
+    kinds = named.select(F.col("key").alias("_named"), "kinds")
     suspects = rows.where("_maybe")
-    suspects = suspects.join(kinds, suspects["_id"].eqNullSafe(kinds["_named"]), "left")
+    suspects = suspects.join(kinds, suspects["_key"] == kinds["_named"], "left")
 
     def verified(frame: DataFrame, asked) -> DataFrame:
         arrays = [
-            _found(text_of("_text"), r, rank, asked(r) if r in indexed else text_of("_text").rlike(r.pattern))
+            _found(text, r, rank, asked(r) if r in indexed else text.rlike(r.pattern))
             for rank, r in enumerate(rules)
             if r not in indexed or asked(r) is not None
         ]
-        names = [f"_f{i}" for i in range(len(arrays))]
-        frame = frame.select("_id", "_text", *[f"_k{i}" for i in range(len(others))], *[a.alias(n) for a, n in zip(arrays, names)])
-        return frame.select(
-            F.col("_id").alias(id_col),
-            *[F.col(f"_k{others.index(name)}" if name in others else "_text").alias(name) for name in keep],
-            F.array_sort(F.flatten(F.array(*[F.col(n) for n in names]))).alias("found"),
-        )
+        some = [f"_f{i}" for i in range(len(arrays))]
+        frame = frame.select(*names, *[a.alias(n) for a, n in zip(arrays, some)])
+        return frame.select(*names, F.array_sort(F.flatten(F.array(*[F.col(n) for n in some]))).alias("found"))
 
     clear = verified(rows.where("not _maybe"), lambda rule: None)
     return clear.unionByName(verified(suspects, lambda rule: F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))))
 
 
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
+    """(doc_id, found): the matches of every rule in every whole text, found: array of (start, rank, kind, end).
+
+    Places are code points, ends exclusive, matches of one rule leftmost and without overlap; ``found`` is
+    in the order of start, then of the rules.  Null texts are empty.  Rules without a mandatory trigram read
+    every text; a rule with some reads those of its candidates alone.  A filter of bounded size, made of the
+    candidates' ids and texts, splits the rows: those that it clears never shuffle, the others meet their candidate
+    kinds by id and text.  An id that repeats, or is null, with other texts spreads like other ids; rows that
+    repeat both have the same candidate kinds.  One row comes back per row of ``docs``; other columns are not
+    read; an empty table gives an empty result.
+    """
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return _scanned(slim, "doc_id", "text", rules).select(F.col("_c0").alias(id_col), "found")
+
+
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = MORE) -> DataFrame:
     """Counts, digest and spans per document: the base kinds, and those of ``rules`` beside them."""
     found = scan_secrets(docs, id_col, text_col, BASE + tuple(rules))
@@ -166,13 +176,13 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every span replaced by ``mask`` in the text; all rows and columns are kept.
+    """``docs`` with every span replaced by ``mask`` in the text; all rows and columns are kept, whatever they are called.
 
     Overlapping spans are masked as one.  Texts without a span, null ones included, stay as they are.
     """
-    others = [name for name in docs.columns if name not in (id_col, text_col)]
-    found = scan_secrets(docs, id_col, text_col, keep=(*others, text_col))
-    whole = F.col(f"`{text_col}`")
+    found = _scanned(docs, id_col, text_col, BASE + MORE)
+    place = docs.columns.index(text_col)
+    whole = F.col(f"_c{place}")
 
     def step(state: Column, x: Column) -> Column:
         gap = F.substring(whole, state["at"] + 1, F.greatest(x["start"] - state["at"], F.lit(0)))
@@ -189,4 +199,4 @@ def without_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         lambda state: F.concat(state["masked"], F.substring(whole, state["at"] + 1, F.length(whole))),
     )
     text = F.when(F.size("found") > 0, masked).otherwise(whole)
-    return found.select(*[text.alias(name) if name == text_col else F.col(f"`{name}`") for name in docs.columns])
+    return found.select(*[(text if i == place else F.col(f"_c{i}")).alias(name) for i, name in enumerate(docs.columns)])

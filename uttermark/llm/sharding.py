@@ -10,9 +10,9 @@ from uttermark.llm.common import staged, text_of
 KEY_BITS, STEP = 60, 12
 
 
-def _hash(column: Column) -> Column:
+def _hash(*columns: Column) -> Column:
     """60 bits of a hash as a number that is never negative."""
-    return F.shiftrightunsigned(F.xxhash64(column), 64 - KEY_BITS)
+    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - KEY_BITS)
 
 
 def _histogram(keys: DataFrame, part: str, level: int, within: list[tuple[int, ...]]) -> list:
@@ -87,10 +87,10 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> list[tuple[int,
 def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.002) -> DataFrame:
     """All rows and columns of ``docs`` with ``size``, ``text_crc32``, ``shard`` and ``slot``; law: bytes.
 
-    Rows are ordered by the hash of their text, then of their id, and cut where the bytes (UTF-8 bytes of
+    Rows are ordered by the hash of their text, then of their id and text, and cut where the bytes (UTF-8 bytes of
     the text plus 8, null texts 8) are nearest to equal shares.  Equal texts lie together; only a group that
-    holds a boundary is cut.  ``slot`` counts from 0 without gaps, in the order of the ids' hashes, so that
-    copies do not follow one another.  Counting goes by intervals of that order, which no text or source
+    holds a boundary is cut.  ``slot`` counts from 0 without gaps, in the order of the second hash, so that
+    copies do not follow one another.  Counting goes by intervals of that order, which no text, source or id
     can make hot, and their offsets are a table of bounded size.  Rows that repeat id and text lie in one
     shard in slots that may be exchanged.  Columns that bear the names of the new ones, in any case, are
     replaced.  Null ids are an id of their own.  An empty table gives an empty result.
@@ -102,7 +102,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         (F.octet_length(text_of(text_col)) + 8).cast("long").alias("size"),
         F.crc32(text_of(text_col).cast("binary")).alias("text_crc32"),
         _hash(text_of(text_col)).alias("a"),
-        _hash(F.col(id_col)).alias("b"),
+        _hash(F.col(id_col), text_of(text_col)).alias("b"),
     )
     keys = staged(wide.select("size", "a", "b"), "shard-keys")
     at = F.lit(0)

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from uttermark.llm.bitmaps import bitmap, cell_count, cells, probe
 from uttermark.llm.common import attach, staged, text_of
 from uttermark.llm.components import components
 
@@ -197,9 +198,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose id is not the smallest of their class, all columns kept.
 
+    A filter of the dropped ids clears most rows, whose texts are not shuffled; the others meet the ids themselves.
     Rows with a null id stay, since no id says which of them to drop.  If one id bears several texts, a row
     goes with the id if it is dropped in any of its classes.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
     lost = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_lost")).distinct()
-    return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti").select(*docs.columns)
+    lost = staged(lost, "near-copies")
+    n_cells = cell_count(lost.count())
+    bits = staged(bitmap(lost.select(F.explode(F.array(*cells(F.col("_lost"), n_cells, 2))).alias("cell")), "cell"), "near-copy-cells")
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    wide = docs.select(*[F.col(f"`{name}`").alias(own) for name, own in zip(docs.columns, names)], F.col(f"`{id_col}`").alias("_id"))
+    wide = probe(wide, bits, F.col("_id"), n_cells, 2, "_maybe")
+    again = wide.where("_maybe")
+    again = again.join(lost, again["_id"] == lost["_lost"], "left_anti")
+    rows = wide.where("not _maybe").select(*names).unionByName(again.select(*names))
+    return rows.toDF(*docs.columns)
