@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from uttermark.functions import answers
 from uttermark.operators import align, batching, chunks, indexing, metrics, nested, prepare
+from uttermark.operators.normalize import rewrite_by_table
 from uttermark.operators.spreading import spread
 from uttermark.operators.staging import shared_folder, staged
 from uttermark.sources import utterances
@@ -494,6 +495,52 @@ def test_limit_filters_the_scan_by_key(spark, tmp_path):
     assert "PushedFilters: [Or(IsNull(id),LessThanOrEqual(id,5))]" in plan
 
 
+def test_fold_streams_over_frames(spark, rows):
+    """Parents run over the borders of small frames; nothing is gathered, and lost texts are refused."""
+    rng = random.Random(4)
+    data = [(f"p{p}" if p else None, i, "".join(rng.choice("ab c") for _ in range(rng.randint(0, 12)))) for p in range(12) for i in range(rng.randint(1, 30))]
+    df = rows(data, "d string, chunk_idx int, chunk_text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.d: r.merged for r in chunks.merge_chunks(df, "d", mode="reference").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for d, i, t in sorted(data, key=lambda r: (r[0] or "", r[1])):
+        text = want.get(d, "")
+        shared = max((n for n in range(len(t) + 1) for s in range(len(t) - n + 1) if t[s : s + n] in text), default=0)
+        want[d] = text + t[shared:]
+    assert got == want
+    plan = chunks.merge_chunks(df, "d", mode="reference")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
+    lost = rows([("p", 0, "a"), ("p", 1, None)], "d string, chunk_idx int, chunk_text string")
+    for mode in ("reference", "overlap"):
+        with pytest.raises(Exception, match="no text"):
+            chunks.merge_chunks(lost, "d", mode=mode).collect()
+
+
+def test_automaton_stays_small():
+    text = answers.GrowingText()
+    rng = random.Random(2)
+    text.append("".join(rng.choice("etaoin shrdlu") for _ in range(20_000)))
+    states = len(text.size)
+    assert states <= 40_000 and len(text.more) < 20_000
+    assert sum(a.itemsize * len(a) for a in (text.letter, text.target, text.link, text.size)) == 16 * states
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_dictionary_tables(spark, rows, threshold):
+    df = rows([(1, "a b a c", 1), (2, "x", 2), (3, None, 3), (4, "", 4), (None, "b  b", 5)], "id int, t string, REWRITTEN int")
+    table = rows([("a", "1"), ("b", "22"), ("b", "2"), ("zz", "9"), (None, "n"), ("c", None), ("", "_")], "word string, replacement string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = {r.id: r.rewritten for r in rewrite_by_table(df, ["id"], "t", table).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert got == {1: "1 2 1 c", 2: "x", 3: None, 4: "_", None: "2 _ 2"}
+
+
 def test_two_chunks_at_one_place_fail(rows):
     df = rows([("p", 0, "abc"), ("p", 0, "zzz"), ("p", 1, "def")], "d string, chunk_idx int, chunk_text string")
     for mode in ("overlap", "reference"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,50 +99,70 @@ class GrowingText:
 
     A suffix automaton (Blumer et al. 1985), extended letter by letter: finding the longest
     substring shared with a chunk costs the chunk's length, however long the text has become.
+    States are rows of four integer arrays: the first letter that leads on and where to, the suffix link and
+    the length, 16 bytes a state and at most two states a letter.  Only the states that branch, fewer than the
+    letters, have a dict beside them.
     """
 
     def __init__(self) -> None:
         self.parts: list[str] = []
-        self.next: list[dict[str, int]] = [{}]
-        self.link, self.size, self.end = [-1], [0], 0
+        self.letter, self.target = array("i", [-1]), array("i", [-1])
+        self.link, self.size, self.end = array("i", [-1]), array("i", [0]), 0
+        self.more: dict[int, dict[int, int]] = {}
+
+    def _step(self, state: int, code: int) -> int:
+        """Where a letter leads to; -1 for nowhere."""
+        if self.letter[state] == code:
+            return self.target[state]
+        return self.more[state].get(code, -1) if state in self.more else -1
+
+    def _lead(self, state: int, code: int, to: int) -> None:
+        if self.letter[state] in (code, -1):
+            self.letter[state], self.target[state] = code, to
+        else:
+            self.more.setdefault(state, {})[code] = to
+
+    def _state(self, size: int, link: int) -> int:
+        self.letter.append(-1)
+        self.target.append(-1)
+        self.link.append(link)
+        self.size.append(size)
+        return len(self.size) - 1
 
     def append(self, text: str) -> None:
         self.parts.append(text)
-        follow, link, size = self.next, self.link, self.size
-        for letter in text:
-            new, at = len(follow), self.end
-            follow.append({})
-            link.append(0)
-            size.append(size[at] + 1)
-            while at >= 0 and letter not in follow[at]:
-                follow[at][letter] = new
+        step, lead, link, size = self._step, self._lead, self.link, self.size
+        for code in map(ord, text):
+            at = self.end
+            new = self._state(size[at] + 1, 0)
+            to = -1
+            while at >= 0 and (to := step(at, code)) < 0:
+                lead(at, code, new)
                 at = link[at]
             if at >= 0:
-                target = follow[at][letter]
-                if size[target] == size[at] + 1:
-                    link[new] = target
+                if size[to] == size[at] + 1:
+                    link[new] = to
                 else:
-                    copy = len(follow)
-                    follow.append(dict(follow[target]))
-                    link.append(link[target])
-                    size.append(size[at] + 1)
-                    while at >= 0 and follow[at].get(letter) == target:
-                        follow[at][letter] = copy
+                    copy = self._state(size[at] + 1, link[to])
+                    self.letter[copy], self.target[copy] = self.letter[to], self.target[to]
+                    if to in self.more:
+                        self.more[copy] = dict(self.more[to])
+                    while at >= 0 and step(at, code) == to:
+                        lead(at, code, copy)
                         at = link[at]
-                    link[target] = link[new] = copy
+                    link[to] = link[new] = copy
             self.end = new
 
     def shared_length(self, text: str) -> int:
         """Length of the longest substring of ``text`` that occurs here."""
-        follow, link, size = self.next, self.link, self.size
+        step, link, size = self._step, self.link, self.size
         at = length = longest = 0
-        for letter in text:
-            while at and letter not in follow[at]:
+        for code in map(ord, text):
+            while (to := step(at, code)) < 0 and at:
                 at = link[at]
                 length = size[at]
-            if letter in follow[at]:
-                at = follow[at][letter]
-                length += 1
+            if to >= 0:
+                at, length = to, length + 1
                 longest = max(longest, length)
         return longest
 
@@ -148,23 +170,28 @@ class GrowingText:
         return "".join(self.parts)
 
 
-def merge_by_common_substring(texts: list[str]) -> str:
-    """Fold chunk texts in order.
+class Fold:
+    """Folds chunk texts in order.
 
     Each loses as many leading characters as its longest common substring with the text so far is
     long, wherever that substring lies.
     """
-    merged = GrowingText()
-    for text in texts[:-1]:
-        merged.append(text[merged.shared_length(text) :])
-    # Nothing is matched against the last chunk, so it need not be taken in.
-    last = texts[-1] if texts else ""
-    return str(merged) + last[merged.shared_length(last) :]
 
+    def __init__(self) -> None:
+        self.merged, self.waiting = GrowingText(), ""
 
-@F.arrow_udf(StringType())
-def fold_by_common_substring(chunks: pa.Array) -> pa.Array:
-    """Column form of ``merge_by_common_substring`` over ordered arrays of chunk texts."""
-    return pa.array(
-        [None if texts is None else merge_by_common_substring(texts) for texts in chunks.to_pylist()], pa.string()
-    )
+    def add(self, text: str) -> None:
+        # A chunk is taken in when the next one comes: nothing is matched against the last.
+        if self.waiting:
+            self.merged.append(self.waiting)
+        self.waiting = text[self.merged.shared_length(text) :]
+
+    def __str__(self) -> str:
+        return str(self.merged) + self.waiting
+
+
+def merge_by_common_substring(texts: list[str]) -> str:
+    fold = Fold()
+    for text in texts:
+        fold.add(text)
+    return str(fold)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructType
 
-from uttermark.functions.answers import fold_by_common_substring, overlap_chars
+from uttermark.functions.answers import Fold, overlap_chars
 
 # Seconds of a chunk, of its overlap, and the length up to which nothing is cut.
 CHUNK_SECONDS, OVERLAP_SECONDS, WHOLE_UP_TO_SECONDS = 25, 5, 30
@@ -63,17 +68,55 @@ def chunk_pieces(chunks: DataFrame, parent: str, idx: str = "chunk_idx", text: s
     Each chunk is sent to its own index and to the next one, where the two meet as a group of at
     most two rows.  So a parent with very many chunks is spread over all tasks, where a window over
     the parent would hold it in one, and the input is computed once, where a self-join would take
-    it twice.  Two chunks of a parent at one place fail.
+    it twice.  Two chunks of a parent at one place fail, and so does a chunk without a text.
     """
     offset = F.explode(F.array(F.lit(0), F.lit(1))).alias("__offset")
     sent = chunks.select(parent, idx, text, offset).withColumn(idx, F.col(idx) + F.col("__offset"))
     text_at = lambda n: F.max(F.when(F.col("__offset") == n, F.col(text)))
     met = sent.groupBy(parent, idx).agg(text_at(0).alias(text), text_at(1).alias("__left"), F.count_if(F.col("__offset") == 0).alias("__n"))
-    met = met.withColumn(text, F.when(F.col("__n") > 1, _repeated("string")).otherwise(F.col(text)))
-    met = met.where(F.col(text).isNotNull()).withColumn("overlap", overlap_chars(F.col("__left"), F.col(text)))
+    lost = F.raise_error(F.lit("a chunk has no text")).cast("string")
+    checked = F.when(F.col("__n") > 1, _repeated("string")).when((F.col("__n") == 1) & F.col(text).isNull(), lost).otherwise(F.col(text))
+    met = met.withColumn(text, checked).where(F.col(text).isNotNull()).withColumn("overlap", overlap_chars(F.col("__left"), F.col(text)))
     return met.select(parent, idx, "overlap", F.substring(F.col(text), F.col("overlap") + 1, F.length(text)).alias("piece"))
 
 
+def _folded(chunks: DataFrame, parent: str, idx: str, text: str) -> DataFrame:
+    """The fold over partitions sorted by (parent, index), carried across the borders of Arrow frames."""
+    rows = chunks.select(F.col(parent).alias("parent"), F.col(idx).alias("idx"), F.col(text).alias("text"))
+    rows = rows.repartition("parent").sortWithinPartitions("parent", "idx")
+    schema = StructType([rows.schema["parent"]]).add("merged", StringType())
+    arrow = to_arrow_schema(schema)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, last, place = None, None, None
+        done: tuple[list, list] = ([], [])
+
+        def close() -> None:
+            done[0].append(last)
+            done[1].append(str(fold))
+
+        for frame in frames:
+            for own, at, chunk in zip(*(column.to_pylist() for column in frame.columns)):
+                if fold is None or own != last:
+                    if fold is not None:
+                        close()
+                    fold, last, place = Fold(), own, None
+                if chunk is None or at is None:
+                    raise ValueError(f"a chunk of {own!r} has no text or no index")
+                if at == place:
+                    raise ValueError(f"two chunks of one parent have the same index: {own!r}, {at!r}")
+                fold.add(chunk)
+                place = at
+            if done[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(done, arrow)], schema=arrow)
+                done = ([], [])
+        if fold is not None:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(done, arrow)], schema=arrow)
+
+    return rows.mapInArrow(run, schema).withColumnRenamed("parent", parent)
+
+
 def merge_chunks(
     chunks: DataFrame, parent: str, idx: str = "chunk_idx", text: str = "chunk_text", mode: str = "overlap"
 ) -> DataFrame:
@@ -82,11 +125,12 @@ def merge_chunks(
     ``overlap`` joins the pieces of ``chunk_pieces``, first in runs of neighbours and then per
     parent, so that the last step of a long parent handles few strings.  ``reference`` folds the
     chunks one after the other, dropping as many leading characters as the longest common substring
-    is long; the result of each step feeds the next, so one parent is one cell of one task.
+    is long; the result of each step feeds the next, so one parent is folded by one task.  Its chunks are not
+    gathered: they stream through in order, and what is held is the text so far with its automaton (see
+    ``GrowingText``).
     """
     if mode == "reference":
-        grouped = regroup_chunks(chunks, parent, idx, text)
-        return grouped.select(parent, fold_by_common_substring("texts").alias("merged"))
+        return _folded(chunks, parent, idx, text)
     if mode != "overlap":
         raise ValueError(f"unknown mode {mode!r}")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,6 +130,27 @@ def normalize_corpus(
     return df
 
 
+def rewrite_by_table(df: DataFrame, key: list[str], text_col: str, dictionary: DataFrame, out: str = "rewritten") -> DataFrame:
+    """Add ``out``: the text, its words separated by spaces, with every word that ``dictionary`` (word, replacement) has replaced.
+
+    For dictionaries of any size: the distinct words of each row meet the table once, and what is found comes
+    back to the row, by the columns ``key`` that identify it.  A dictionary below the session's broadcast
+    threshold is broadcast by the planner, a larger one is shuffled; the result is the same.  A word that
+    the dictionary has twice gets the lesser replacement.  Null texts stay null.
+    """
+    table = dictionary.select(F.col("word").alias("__word"), F.col("replacement").alias("__new")).where("__word is not null and __new is not null")
+    table = table.groupBy("__word").agg(F.min("__new").alias("__new"))
+    ids = [F.col(f"`{name}`").alias(f"__k{i}") for i, name in enumerate(key)]
+    words = df.select(*ids, F.explode(F.array_distinct(F.split(F.col(f"`{text_col}`"), " "))).alias("__word"))
+    found = words.join(table, "__word").groupBy(*[f"__k{i}" for i in range(len(key))])
+    found = found.agg(F.map_from_entries(F.collect_list(F.struct("__word", "__new"))).alias("__found"))
+    same = reduce(and_, [df[f"`{name}`"].eqNullSafe(found[f"__k{i}"]) for i, name in enumerate(key)])
+    joined = df.join(found, same, "left")
+    new = F.array_join(F.transform(F.split(F.col(f"`{text_col}`"), " "), lambda w: F.coalesce(F.try_element_at("__found", w), w)), " ")
+    kept = [df[f"`{name}`"] for name in df.columns if name.lower() != out.lower()]
+    return joined.select(*kept, F.when(F.col("__found").isNull(), F.col(f"`{text_col}`")).otherwise(new).alias(out))
+
+
 def profile_of_language(language: str, chinese: bool = False) -> str:
     """English has a profile of its own; Chinese has none."""
     if chinese or language == "zh":

@@ -17,7 +17,7 @@ from uttermark.functions import answers, english, numbers
 from uttermark.functions import text as tx
 from uttermark.functions.words import with_char_errors, with_error_kinds, with_word_errors
 from uttermark.operators import align, batching, chunks, indexing, metrics, nested, prepare
-from uttermark.operators.normalize import expand_words, normalize_by_language, normalize_corpus
+from uttermark.operators.normalize import expand_words, normalize_by_language, normalize_corpus, rewrite_by_table
 from uttermark.operators.spreading import spread
 from uttermark.operators.staging import new_path, staged
 from uttermark.plans.derived import damaged, manifest, question_records, references, table
@@ -711,6 +711,17 @@ def spelling_families(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", english.rewrite_words(F.col("spoken"), english.spelling_table()).alias("rewritten"))
 
 
+@query
+def spelling_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary table of one row per part; every document names three parts, one of which has no entry."""
+    parts = table(spark, sf, "part")
+    dictionary = parts.select(F.concat(F.lit("p"), "p_partkey").alias("word"), F.replace("p_name", F.lit(" "), F.lit("-")).alias("replacement"))
+    named = [F.concat(F.lit("p"), n.cast("string")) for n in (F.col("doc_id") % 199 + 1, F.col("doc_id") * 7 % 191 + 1, F.lit(0))]
+    rows = normalize_corpus(_spread_documents(spark, sf), "text", "multilingual")
+    rows = rows.select("doc_id", F.concat_ws(" ", named[0], "norm_text", named[1], named[2], named[0]).alias("spoken"))
+    return rewrite_by_table(rows, ["doc_id"], "spoken", dictionary).select("doc_id", "rewritten")
+
+
 @query
 def special_tokens(spark: SparkSession, sf: str) -> DataFrame:
     rows = _turns(spark, sf).withColumn("text", F.concat(F.lit("<|en|>"), F.col("text"), F.lit("<|end|> ")))
@@ -857,6 +868,13 @@ def chunk_fold_words(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.merge_chunks(words, "p_partkey", mode="reference")
 
 
+@query
+def chunk_fold_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """The same fold over the whole turns of each conversation."""
+    turns = _turns(spark, sf).select("conv_id", F.col("turn").alias("chunk_idx"), F.col("text").alias("chunk_text"))
+    return chunks.merge_chunks(turns, "conv_id", mode="reference")
+
+
 @query
 def chunk_regroup(spark: SparkSession, sf: str) -> DataFrame:
     grouped = chunks.regroup_chunks(_chunk_texts(spark, sf), "doc_id")

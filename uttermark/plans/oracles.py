@@ -500,6 +500,18 @@ ORACLES: dict[str, str] = {
         union all select p_partkey, w, i+1, merged||substring(w[i+1], 1+coalesce(list_max(list_filter(range(1,length(w[i+1])+1), lambda n:
             len(list_filter(range(1,length(w[i+1])-n+2), lambda s: contains(merged, substring(w[i+1],s,n))))>0)),0)) from f where i<len(w))
         select p_partkey, merged from f where i=len(w)""",
+    # One more letter while any piece of that length is in the text so far, then the next turn.
+    "chunk_fold_turns": """with recursive t as (select conv_id, text, row_number() over (partition by conv_id order by turn) i, count(*) over (partition by conv_id) n from conversations),
+        f as (select conv_id, n, 2 i, 0 shared, text merged from t where i=1
+        union all select f.conv_id, f.n, case when more then f.i else f.i+1 end, case when more then shared+1 else 0 end,
+            case when more then merged else merged||substring(text, shared+1) end
+        from (select f.*, t.text, len(list_filter(range(1, length(t.text)-shared+1), lambda s: contains(merged, substring(t.text, s, shared+1))))>0 more
+            from f join t on t.conv_id=f.conv_id and t.i=f.i) f)
+        select conv_id, merged from f where i>n""",
+    "spelling_table": f"""with d as (select 'p'||p_partkey k, replace(p_name,' ','-') v from part),
+        n as (select doc_id, 'p'||(doc_id%199+1) a, 'p'||(doc_id*7%191+1) b, {_multilingual('text')} s from documents),
+        w as (select doc_id, unnest(string_split(a||' '||s||' '||b||' p0 '||a, ' ')) x, generate_subscripts(string_split(a||' '||s||' '||b||' p0 '||a, ' '), 1) i from n)
+        select doc_id, string_agg(coalesce(v, x), ' ' order by i) rewritten from w left join d on d.k=w.x group by doc_id""",
     "common_substring": """with p as (select p_partkey, upper(p_name) a, p_type b from part),
         i as (select *, unnest(range(1, length(a)+1)) st from p), l as (select *, unnest(range(1, length(a)-st+2)) n from i),
         s as (select p_partkey, substring(a,st,n) c, n, st+n e from l where contains(b, substring(a,st,n))),
