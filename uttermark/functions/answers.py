@@ -131,39 +131,61 @@ class GrowingText:
 
     def append(self, text: str) -> None:
         self.parts.append(text)
-        step, lead, link, size = self._step, self._lead, self.link, self.size
+        letter, target, more, link, size = self.letter, self.target, self.more, self.link, self.size
         for code in map(ord, text):
             at = self.end
             new = self._state(size[at] + 1, 0)
             to = -1
-            while at >= 0 and (to := step(at, code)) < 0:
-                lead(at, code, new)
+            while at >= 0:
+                first = letter[at]
+                if first == code:
+                    to = target[at]
+                    break
+                if first < 0:
+                    letter[at], target[at] = code, new
+                else:
+                    branch = more.get(at)
+                    if branch is None:
+                        more[at] = {code: new}
+                    elif code in branch:
+                        to = branch[code]
+                        break
+                    else:
+                        branch[code] = new
                 at = link[at]
             if at >= 0:
                 if size[to] == size[at] + 1:
                     link[new] = to
                 else:
                     copy = self._state(size[at] + 1, link[to])
-                    self.letter[copy], self.target[copy] = self.letter[to], self.target[to]
-                    if to in self.more:
-                        self.more[copy] = dict(self.more[to])
-                    while at >= 0 and step(at, code) == to:
-                        lead(at, code, copy)
+                    letter[copy], target[copy] = letter[to], target[to]
+                    if to in more:
+                        more[copy] = dict(more[to])
+                    while at >= 0 and self._step(at, code) == to:
+                        self._lead(at, code, copy)
                         at = link[at]
                     link[to] = link[new] = copy
             self.end = new
 
     def shared_length(self, text: str) -> int:
         """Length of the longest substring of ``text`` that occurs here."""
-        step, link, size = self._step, self.link, self.size
+        letter, target, more, link, size = self.letter, self.target, self.more, self.link, self.size
         at = length = longest = 0
         for code in map(ord, text):
-            while (to := step(at, code)) < 0 and at:
+            while True:
+                if letter[at] == code:
+                    at, length = target[at], length + 1
+                    break
+                branch = more.get(at)
+                if branch is not None and code in branch:
+                    at, length = branch[code], length + 1
+                    break
+                if not at:
+                    break
                 at = link[at]
                 length = size[at]
-            if to >= 0:
-                at, length = to, length + 1
-                longest = max(longest, length)
+            if length > longest:
+                longest = length
         return longest
 
     def __str__(self) -> str:
