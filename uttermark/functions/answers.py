@@ -110,32 +110,19 @@ class GrowingText:
         self.link, self.size, self.end = array("i", [-1]), array("i", [0]), 0
         self.more: dict[int, dict[int, int]] = {}
 
-    def _step(self, state: int, code: int) -> int:
-        """Where a letter leads to; -1 for nowhere."""
-        if self.letter[state] == code:
-            return self.target[state]
-        return self.more[state].get(code, -1) if state in self.more else -1
-
-    def _lead(self, state: int, code: int, to: int) -> None:
-        if self.letter[state] in (code, -1):
-            self.letter[state], self.target[state] = code, to
-        else:
-            self.more.setdefault(state, {})[code] = to
-
-    def _state(self, size: int, link: int) -> int:
-        self.letter.append(-1)
-        self.target.append(-1)
-        self.link.append(link)
-        self.size.append(size)
-        return len(self.size) - 1
-
     def append(self, text: str) -> None:
         self.parts.append(text)
         letter, target, more, link, size = self.letter, self.target, self.more, self.link, self.size
-        for code in map(ord, text):
-            at = self.end
-            new = self._state(size[at] + 1, 0)
-            to = -1
+        codes = list(map(ord, text))
+        # The states of the letters are made at once; copies of states come behind them.
+        first_new, end = len(size), self.end
+        letter.extend([-1] * len(codes))
+        target.extend([-1] * len(codes))
+        link.extend([0] * len(codes))
+        size.extend(range(size[end] + 1, size[end] + 1 + len(codes)))
+        for new, code in enumerate(codes, first_new):
+            at, to = end, -1
+            end = new
             while at >= 0:
                 first = letter[at]
                 if first == code:
@@ -153,19 +140,32 @@ class GrowingText:
                     else:
                         branch[code] = new
                 at = link[at]
-            if at >= 0:
-                if size[to] == size[at] + 1:
-                    link[new] = to
+            if at < 0:
+                continue
+            longer = size[at] + 1
+            if size[to] == longer:
+                link[new] = to
+                continue
+            copy = len(size)
+            letter.append(letter[to])
+            target.append(target[to])
+            link.append(link[to])
+            size.append(longer)
+            if to in more:
+                more[copy] = dict(more[to])
+            while at >= 0:
+                if letter[at] == code:
+                    if target[at] != to:
+                        break
+                    target[at] = copy
                 else:
-                    copy = self._state(size[at] + 1, link[to])
-                    letter[copy], target[copy] = letter[to], target[to]
-                    if to in more:
-                        more[copy] = dict(more[to])
-                    while at >= 0 and self._step(at, code) == to:
-                        self._lead(at, code, copy)
-                        at = link[at]
-                    link[to] = link[new] = copy
-            self.end = new
+                    branch = more.get(at)
+                    if branch is None or branch.get(code) != to:
+                        break
+                    branch[code] = copy
+                at = link[at]
+            link[to] = link[new] = copy
+        self.end = end
 
     def shared_length(self, text: str) -> int:
         """Length of the longest substring of ``text`` that occurs here."""
