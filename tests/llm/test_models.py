@@ -261,7 +261,7 @@ def test_labellers_recover_planted_accuracy():
     def right(posterior):
         return sum(sum(t == (posterior[c] > 0.5) for t in some) for c, some in truth.items())
 
-    # The default leans on its belief, twice the weight of the data; with less of it the data speak.
+    # The belief counts as ten rows of each class; with still less of it the data speak alone.
     assert right(weak_quality.fit_labellers(patterns)[0]) > 0.9 * 20_000
     posterior, table = weak_quality.fit_labellers(patterns, strength=0.05)
     assert right(posterior) > 0.95 * 20_000 and (table[:, 1, weak_quality.BAD] > table[:, 0, weak_quality.BAD]).all()
@@ -361,6 +361,11 @@ def test_lines_are_learnt_from_all_of_a_text():
     assert len(line_rules.window_signs(b"a\nb", 32)) == 2 and len(line_rules.window_signs(b"", 32)) == 0
 
 
+def test_near_duplicates_of_an_empty_table(rows):
+    none = rows([], "doc_id long, text string")
+    assert simhash.near_duplicates(none).count() == 0 and simhash.without_near_duplicates(none).count() == 0
+
+
 def test_near_copies_with_clashing_names(rows):
     data = [(i, f"some words of text number {i} here", "a", i) for i in range(30)] + [(100 + i, "some words of text number 3 here", "b", i) for i in range(20)]
     data += [(None, "some words of text number 3 here", "c", 0)]
