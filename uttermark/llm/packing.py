@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from uttermark.llm.common import staged, text_of
+from uttermark.llm.common import ascii_lower, staged, text_of
 
 
 def _numbers(values: list) -> list[int]:
@@ -71,7 +71,7 @@ def pack(
 
     ``size`` is the UTF-8 bytes of the text and one for the separator (null texts: 1); bins hold ``capacity``
     bytes.  No bin holds two documents of one source, nor two of one cluster: ``cluster_col`` if given, else
-    equal texts.  Null sources, null clusters and empty texts conflict with nothing.  A document above the
+    texts equal after lower-casing A-Z.  Null sources, null clusters and empty texts conflict with nothing.  A document above the
     capacity fills ``full_bins`` bins of its own from ``first_full_bin`` on, and its rest goes to ``bin_id``.
 
     Rows are dealt by the hash of their id and text into shards of about ``per_shard`` rows, packed each on its own
@@ -80,7 +80,7 @@ def pack(
     shards alike, and so do rows that repeat both id and text.  Rows that repeat an id are packed each.  An empty table gives an empty result.
     """
     text = text_of(text_col)
-    cluster = F.when(F.length(text) > 0, F.xxhash64(text)) if cluster_col is None else F.col(cluster_col)
+    cluster = F.when(F.length(text) > 0, F.xxhash64(ascii_lower(text))) if cluster_col is None else F.col(cluster_col)
     slim = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
