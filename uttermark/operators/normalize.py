@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from uttermark.functions import english, numbers, text as tx
+from uttermark.functions import english, number_columns, numbers, text as tx
 
 PROFILES = ("basic", "multilingual", "english")
 
@@ -74,7 +74,11 @@ def _english(df: DataFrame, spelling: dict[str, str] | None, engine: str) -> Dat
     df = _where(df, lambda t: tx.has_any(t, ["."]), english.drop_full_stops)
     clean = tx.symbols_to_space(tx.plain_letters(F.col("__text"), engine), english.NUMERIC_SYMBOLS)
     dictionary = english.spelling_table() if spelling is None else spelling
-    df = df.withColumn("__text", numbers.fold_numbers(clean, dictionary))
+    fold = number_columns.fold_numbers if engine == "jvm" else numbers.fold_numbers
+    if engine == "jvm":
+        # The expressions read their text several times.
+        df, clean = df.withColumn("__text", clean), F.col("__text")
+    df = df.withColumn("__text", fold(clean, dictionary))
     df = _where(df, lambda t: tx.has_any(t, list(english.NUMERIC_SYMBOLS)), english.drop_loose_symbols)
     return df.withColumn("__text", F.regexp_replace("__text", " {2,}", " "))
 
@@ -111,7 +115,7 @@ def normalize_corpus(
     where they end up as spaces.  ``passes=2`` normalises the result again, as the hosted-service
     runs do; the English profile is not idempotent.  The job is narrow: no shuffle.  Only non-ASCII rows are decomposed,
     and rewrites run only on rows that a byte search finds to be concerned.  Filters set on other columns
-    afterwards reach the scan; ``engine="jvm"`` decomposes without Python, and stops them.
+    afterwards reach the scan; ``engine="jvm"`` decomposes and folds numbers without Python, and stops them.
     """
     if profile not in PROFILES:
         raise NotImplementedError(f"no profile {profile!r}; expected one of {PROFILES}")

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from uttermark.functions import answers, english, numbers
+from uttermark.functions import answers, english, number_columns, numbers
 from uttermark.functions import text as tx
 from uttermark.functions.words import with_char_errors, with_error_kinds, with_word_errors
 from uttermark.operators import align, batching, chunks, indexing, metrics, nested, prepare
@@ -618,6 +618,12 @@ def norm_english(spark: SparkSession, sf: str) -> DataFrame:
     return normalize_corpus(_spoken_documents(spark, sf), "text", "english").select("doc_id", "norm_text")
 
 
+@query
+def norm_english_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """``norm_english`` without a Python worker."""
+    return normalize_corpus(_spoken_documents(spark, sf), "text", "english", engine="jvm").select("doc_id", "norm_text")
+
+
 @query
 def norm_by_language(spark: SparkSession, sf: str) -> DataFrame:
     return normalize_by_language(_spoken_documents(spark, sf), "text", "lang").select("doc_id", "lang", "norm_text")
@@ -657,12 +663,22 @@ def _spoken_amounts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", numbers.fold_numbers(F.col("text")).alias("folded"))
 
 
+def _spoken_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole turns with a spoken number of some kind on either side."""
+    phrase = _spoken("conv_id", "turn")
+    return _turns(spark, sf).select("conv_id", "turn", F.lower(F.concat(phrase, F.lit(" = "), "text", F.lit(" = "), phrase)).alias("text"))
+
+
 @query
 def norm_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """Number folding of whole turns, with a spoken number of some kind on either side."""
-    phrase = _spoken("conv_id", "turn")
-    rows = _turns(spark, sf).select("conv_id", "turn", F.lower(F.concat(phrase, F.lit(" = "), "text", F.lit(" = "), phrase)).alias("text"))
-    return rows.select("conv_id", "turn", numbers.fold_numbers(F.col("text")).alias("folded"))
+    """Number folding of whole turns."""
+    return _spoken_turns(spark, sf).select("conv_id", "turn", numbers.fold_numbers(F.col("text")).alias("folded"))
+
+
+@query
+def norm_numbers_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """``norm_numbers`` as column expressions."""
+    return _spoken_turns(spark, sf).select("conv_id", "turn", number_columns.fold_numbers(F.col("text")).alias("folded"))
 
 
 @query

@@ -546,3 +546,6 @@ ORACLES: dict[str, str] = {
     "stream_leaderboard": STREAMED,
     "stream_rescoring": STREAMED,
 }
+# The same results without Python workers.
+ORACLES["norm_english_columns"] = ORACLES["norm_english"]
+ORACLES["norm_numbers_columns"] = ORACLES["norm_numbers"]
