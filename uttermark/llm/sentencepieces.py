@@ -27,7 +27,6 @@ class Encoder:
         self.vocabulary, self.pieces = vocabulary, vocabulary.pieces
         self.unknown = vocabulary.unknown_score
         self.endings = {piece[i:] for piece in self.pieces for i in range(len(piece))}
-        self.mark = MARK.encode()
 
     def _unknown_ids(self, character: str) -> list[int]:
         if self.vocabulary.bytes_at is None:
@@ -81,11 +80,12 @@ class Encoder:
         empty = np.zeros(0, np.int32)
         return [np.concatenate([table[c] for c in some]) if some else empty for some in split]
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The text of ids: pieces and bytes joined, marks as blanks, without the blank put in front."""
-        texts = self.vocabulary.texts
-        raw = b"".join([texts[i] for i in ids]).replace(self.mark, b" ")
-        return raw.decode("utf-8", "replace").removeprefix(" ")
+
+def text_of_ids(vocabulary: Vocabulary, ids: Iterable[int]) -> str:
+    """The text of ids: pieces and bytes joined, marks as blanks, without the blank put in front."""
+    texts = vocabulary.texts
+    raw = b"".join([texts[i] for i in ids]).replace(MARK.encode(), b" ")
+    return raw.decode("utf-8", "replace").removeprefix(" ")
 
 
 def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -134,10 +134,9 @@ def decode(coded: DataFrame, ids_col: str = "ids", out: str = "decoded", model:
     place = kept.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
         for batch in batches:
             column = batch.column(place)
-            texts = [encoder.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in column]
+            texts = [text_of_ids(vocabulary, x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else None for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, out])
 
     schema = coded.select(*kept).schema.add(out, "string")
