@@ -77,8 +77,16 @@ class Encoder:
         """The ids of each text."""
         split = [chunks(t) for t in texts]
         table = self.words({c for some in split for c in some})
-        empty = np.zeros(0, np.int32)
-        return [np.concatenate([table[c] for c in some]) if some else empty for some in split]
+        if not table:
+            return [np.zeros(0, np.int32) for _ in texts]
+        place = {c: i for i, c in enumerate(table)}
+        flat, sizes = np.concatenate(list(table.values())), np.fromiter(map(len, table.values()), np.int64, len(table))
+        starts = np.cumsum(sizes) - sizes
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter((place[c] for some in split for c in some), np.int64, counts.sum())
+        ends = np.cumsum(sizes[at])
+        ids = flat[np.repeat(starts[at] - (ends - sizes[at]), sizes[at]) + np.arange(ends[-1])]
+        return np.split(ids, np.append(0, ends)[np.cumsum(counts)[:-1]])
 
 
 def text_of_ids(vocabulary: Vocabulary, ids: Iterable[int]) -> str:
