@@ -519,6 +519,36 @@ def test_fold_streams_over_frames(spark, rows):
             chunks.merge_chunks(lost, "d", mode=mode).collect()
 
 
+def folded_by_automaton(texts):
+    text, waiting = answers.GrowingText(), ""
+    for t in texts:
+        text.append(waiting)
+        waiting = t[text.shared_length(t) :]
+    return f"{text}{waiting}"
+
+
+def test_fold_of_overlapping_chunks_needs_no_automaton():
+    rng = random.Random(5)
+    text = "".join(rng.choice("etaoin shrdlué😀") for _ in range(4_000))
+    texts = [text[at : at + 250] for at in range(0, len(text), 200)]
+    fold = answers.Fold()
+    for t in texts:
+        fold.add(t)
+    assert fold.merged is None and str(fold) == text
+
+
+def test_fold_equals_the_automaton():
+    """Long, short and no matches, runs that repeat at very many places, and letters of every width."""
+    rng = random.Random(6)
+    for letters in ("a", "ab", "abc é😀", "etaoin shrdlu"):
+        for _ in range(150):
+            text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 300))) * rng.choice((1, 1, 9))
+            texts = [text[at : at + rng.randint(0, 90)] for at in (rng.randint(0, len(text)) for _ in range(12))]
+            texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3)]
+            rng.shuffle(texts)
+            assert answers.merge_by_common_substring(texts) == folded_by_automaton(texts)
+
+
 def test_automaton_stays_small():
     text = answers.GrowingText()
     rng = random.Random(2)

@@ -192,24 +192,112 @@ class GrowingText:
         return "".join(self.parts)
 
 
+class SampledText:
+    """A text that grows at its end and finds the long substrings that it shares with a chunk.
+
+    Every ``gram``-th run of ``gram`` letters is kept in a dict with its places.  A shared substring of
+    ``2 * gram - 1`` letters or more holds one of them whole, so each place that a run of the chunk is found at,
+    grown to both sides, gives them all.
+    """
+
+    # A chunk may be compared at this many places: beyond, the automaton of ``GrowingText`` is cheaper.
+    PLACES = 128
+
+    def __init__(self, gram: int, letters: bytearray) -> None:
+        self.gram, self.letters, self.done = gram, letters, 0
+        self.places: dict[str, list[int]] = {}
+
+    def _take_in(self) -> None:
+        gram, places = self.gram, self.places
+        new = _decoded(self.letters[4 * self.done :])
+        for at in range(0, len(new) - gram + 1, gram):
+            places.setdefault(new[at : at + gram], []).append(self.done + at)
+        self.done += len(new) // gram * gram
+
+    def shared_length(self, text: str) -> int | None:
+        """Length of the longest substring of ``text`` that occurs here; null if it is below ``2 * gram - 1`` or there are too many places."""
+        self._take_in()
+        gram, places, letters = self.gram, self.places, self.letters
+        held, size, coded = len(letters) // 4, len(text), _encoded(text)
+        longest = compared = 0
+        seen: dict[int, int] = {}
+        for at in range(size - gram + 1):
+            for place in places.get(text[at : at + gram], ()):
+                shift = place - at
+                if seen.get(shift, 0) > at:
+                    continue
+                if compared == self.PLACES:
+                    return None
+                compared += 1
+                low, high = max(0, -shift), min(size, held - shift)
+                here = int.from_bytes(letters[4 * (low + shift) : 4 * (high + shift)], "little")
+                differ = here ^ int.from_bytes(coded[4 * low : 4 * high], "little")
+                after = differ >> 32 * (at - low)
+                end = at + ((after & -after).bit_length() - 1) // 32 if after else high
+                start = low + ((differ & ((1 << 32 * (at - low)) - 1)).bit_length() + 31) // 32
+                seen[shift] = end
+                longest = max(longest, end - start)
+            if longest == size:
+                break
+        return longest if longest >= 2 * gram - 1 else None
+
+
+def _encoded(text: str) -> bytes:
+    return text.encode("utf-32-le", "surrogatepass")
+
+
+def _decoded(letters: bytes | bytearray) -> str:
+    return letters.decode("utf-32-le", "surrogatepass")
+
+
 class Fold:
     """Folds chunk texts in order.
 
     Each loses as many leading characters as its longest common substring with the text so far is
-    long, wherever that substring lies.
+    long, wherever that substring lies.  Long matches, as of chunks that overlap, are found by runs of letters;
+    the first chunk that shares less, or matches in very many places, has the automaton take over.
     """
 
+    GRAMS = (24, 8)
+    # Letters of the text times letters of the chunk that are searched without any table.
+    SMALL = 65_536
+
     def __init__(self) -> None:
-        self.merged, self.waiting = GrowingText(), ""
+        self.letters, self.waiting = bytearray(), ""
+        self.levels: list[SampledText] = []
+        self.merged: GrowingText | None = None
 
     def add(self, text: str) -> None:
         # A chunk is taken in when the next one comes: nothing is matched against the last.
         if self.waiting:
-            self.merged.append(self.waiting)
-        self.waiting = text[self.merged.shared_length(text) :]
+            if self.merged is None:
+                self.letters += _encoded(self.waiting)
+            else:
+                self.merged.append(self.waiting)
+        self.waiting = text[self._shared_length(text) :]
+
+    def _shared_length(self, text: str) -> int:
+        if self.merged is None:
+            if not text or not self.letters:
+                return 0
+            if self.letters.endswith(_encoded(text)):
+                return len(text)
+            for number, gram in enumerate(self.GRAMS):
+                if len(text) >= 2 * gram - 1:
+                    if number >= len(self.levels):
+                        self.levels += [SampledText(g, self.letters) for g in self.GRAMS[len(self.levels) : number + 1]]
+                    found = self.levels[number].shared_length(text)
+                    if found is not None:
+                        return found
+            so_far = _decoded(self.letters)
+            if len(so_far) * len(text) <= self.SMALL and len(text) < 2 * self.GRAMS[-1]:
+                return len(common_substring(so_far, text))
+            self.merged, self.levels, self.letters = GrowingText(), [], bytearray()
+            self.merged.append(so_far)
+        return self.merged.shared_length(text)
 
     def __str__(self) -> str:
-        return str(self.merged) + self.waiting
+        return (_decoded(self.letters) if self.merged is None else str(self.merged)) + self.waiting
 
 
 def merge_by_common_substring(texts: list[str]) -> str:

@@ -126,8 +126,8 @@ def merge_chunks(
     parent, so that the last step of a long parent handles few strings.  ``reference`` folds the
     chunks one after the other, dropping as many leading characters as the longest common substring
     is long; the result of each step feeds the next, so one parent is folded by one task.  Its chunks are not
-    gathered: they stream through in order, and what is held is the text so far with its automaton (see
-    ``GrowingText``).
+    gathered: they stream through in order, and what is held is the text so far with the places of its runs of
+    letters, or with its automaton where chunks share little (see ``Fold``).
     """
     if mode == "reference":
         return _folded(chunks, parent, idx, text)
