@@ -603,3 +603,26 @@ def test_lost_hypotheses_are_counted(rows):
     df = rows([("a b c", "a b c", 1.0, 1.0), ("a b c d", None, 1.0, 1.0)], "text string, pred_text string, duration double, time double")
     got = metrics.score_runs(df.withColumn("run", F.lit(1)), ["run"]).first()
     assert (got.samples, got.lost, got.errors, got.words) == (2, 1, 4, 7)
+
+
+def test_numbering_shuffles_the_rows_once(spark):
+    """The join with the counts of ranges finds the rows where the window has them; null groups and NaN are groups too."""
+    df = spark.range(500).select(
+        "id", F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.when(F.col("id") % 2 == 0, float("nan")).alias("h"), F.repeat(F.lit("x"), 50).alias("wide")
+    )
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = indexing.dense_index(df, ["g", "h"], [-F.col("id")], "at", buckets=5)
+        got = {}
+        for r in numbered.collect():
+            got.setdefault((r.g, str(r.h)), []).append((r.at, -r.id))
+        plan = numbered._jdf.queryExecution().sparkPlan().toString()
+        tree = numbered._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert len(got) == 6 and "SortMergeJoin" in plan
+    for own in got.values():
+        assert [at for at, _ in sorted(own, key=lambda x: x[1])] == list(range(len(own)))
+    assert sum("Exchange" in line and "wide" in line for line in tree.splitlines()) <= 1
+    assert tree.count("Exchange hashpartitioning") == 4

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,10 +81,6 @@ def _bucket(key: Column, cuts: Column, count: int) -> Column:
     )
 
 
-def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    return reduce(and_, [left[f"`{c}`"].eqNullSafe(right[f"`{c}`"]) for c in names])
-
-
 def dense_index(
     df: DataFrame, by: list[str], order: list[Column], out: str = "idx", buckets: int | None = None, ties: list[str] | None = None
 ) -> DataFrame:
@@ -113,21 +107,23 @@ def dense_index(
     # The rows of a heavy key are a range of their own, before the others of its bucket.
     is_heavy = F.coalesce(F.array_contains(F.array(*[_constant(point, df, key) for point in heavy]), key), F.lit(False)) if heavy else F.lit(False)
     placed = df.withColumn("__range", 2 * place + F.when(is_heavy, 0).otherwise(1))
+    # One struct, whose null fields are equal, so that the join below finds the rows as the window has left them.
+    placed = placed.withColumn("__group", F.struct(*[F.col(f"`{c}`") for c in by], "__range"))
     group = [*by, "__range"]
     before = Window.partitionBy(*[F.col(f"`{c}`") for c in by] or [F.lit(0)]).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     # One row per (group, range): small next to the data, and combined before the shuffle.
     shift = (
         placed.groupBy(*[F.col(f"`{c}`") for c in group])
         .agg(F.count(F.lit(1)).alias("__n"))
-        .select(*[F.col(f"`{c}`") for c in group], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+        .select(F.struct(*[F.col(f"`{c}`") for c in group]).alias("__own"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
     )
 
     def shifted(rows: DataFrame) -> DataFrame:
-        return rows.join(shift, _same(rows, shift, group)).select(
+        return rows.join(shift, rows["__group"] == shift["__own"]).select(
             *[rows[f"`{c}`"] for c in df.columns], (F.col("__at") + F.col("__shift")).cast("long").alias(out)
         )
 
-    within = Window.partitionBy(*[F.col(f"`{c}`") for c in group])
+    within = Window.partitionBy("__group")
     light = placed.where(F.col("__range") % 2 == 1) if heavy else placed
     numbered = shifted(light.withColumn("__at", F.row_number().over(within.orderBy(*order, broken)) - 1))
     if not heavy:
