@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,57 +34,63 @@ class Encoder:
             return [self.vocabulary.unknown]
         return [self.vocabulary.bytes_at + b for b in character.encode("utf-8", "surrogatepass")]
 
-    def words(self, distinct: Iterable[str]) -> dict[str, np.ndarray]:
-        """The ids of each word."""
+    def words(self, distinct: Iterable[str]) -> tuple[list[str], list[int], list[int]]:
+        """The words in order, how many ids each has, and the ids of all of them one after another."""
         pieces, endings, unknown = self.pieces, self.endings, self.unknown
-        scores, starts = [0.0], [0]  # by depth: best score, and start of the last piece
-        found: dict[str, np.ndarray] = {}
+        scores, starts, last = [0.0], [0], [-1]  # by depth: best score, start of the last piece and its id, -1 for none
+        ordered = sorted(distinct)
+        sizes: list[int] = []
+        found: list[int] = []
         before = ""
-        for word in sorted(distinct):
+        for word in ordered:
             shared = 0
             for a, b in zip(before, word):
                 if a != b:
                     break
                 shared += 1
-            del scores[shared + 1 :], starts[shared + 1 :]
+            del scores[shared + 1 :], starts[shared + 1 :], last[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 start = end - 1
                 ending = word[start:end]
-                best, chosen = (None, 0) if ending in pieces else (scores[start] + unknown, start)
+                best, chosen, own = (None, 0, -1) if ending in pieces else (scores[start] + unknown, start, -1)
                 while ending in endings:
                     piece = pieces.get(ending)
                     if piece is not None:
                         reached = scores[start] + piece[1]
                         if best is None or reached >= best:
-                            best, chosen = reached, start
+                            best, chosen, own = reached, start, piece[0]
                     if not start:
                         break
                     start -= 1
                     ending = word[start:end]
                 scores.append(best)
                 starts.append(chosen)
+                last.append(own)
             ids: list[int] = []
             end = len(word)
             while end:
-                start = starts[end]
-                piece = pieces.get(word[start:end])
-                ids += [piece[0]] if piece is not None else self._unknown_ids(word[start:end])[::-1]
+                start, own = starts[end], last[end]
+                if own < 0:
+                    ids += self._unknown_ids(word[start:end])[::-1]
+                else:
+                    ids.append(own)
                 end = start
-            found[word] = np.array(ids[::-1], np.int32)
+            sizes.append(len(ids))
+            found += ids[::-1]
             before = word
-        return found
+        return ordered, sizes, found
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [chunks(t) for t in texts]
-        table = self.words({c for some in split for c in some})
-        if not table:
+        ordered, lengths, found = self.words(set(chain.from_iterable(split)))
+        if not ordered:
             return [np.zeros(0, np.int32) for _ in texts]
-        place = {c: i for i, c in enumerate(table)}
-        flat, sizes = np.concatenate(list(table.values())), np.fromiter(map(len, table.values()), np.int64, len(table))
+        place = {c: i for i, c in enumerate(ordered)}
+        sizes, flat = np.array(lengths, np.int64), np.array(found, np.int32)
         starts = np.cumsum(sizes) - sizes
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((place[c] for some in split for c in some), np.int64, counts.sum())
+        at = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, counts.sum())
         ends = np.cumsum(sizes[at])
         ids = flat[np.repeat(starts[at] - (ends - sizes[at]), sizes[at]) + np.arange(ends[-1])]
         return np.split(ids, np.append(0, ends)[np.cumsum(counts)[:-1]])
