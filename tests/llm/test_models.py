@@ -430,3 +430,20 @@ def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).schema.simpleString() == docs.schema.simpleString()
+
+
+def test_fit_spreads_out_few_rows_at_once():
+    """Bits and dense rows give one model, and the bits of a whole sample are never dense at once."""
+    import tracemalloc
+
+    draw = np.random.default_rng(4)
+    kernel = language_id.Kernel(dims=2**12)
+    dense = (draw.random((1500, kernel.dims)) < draw.random((3, kernel.dims))[np.arange(1500) % 3] ** 6).astype(np.float32)
+    langs = ["abc"[i % 3] for i in range(1500)]
+    packed = [np.packbits(row > 0).tobytes() for row in dense]
+    tracemalloc.start()
+    got = language_id.fit_rows(kernel, packed, langs, 60, 0.3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < dense.nbytes / 2
+    assert np.allclose(got.weights, language_id.fit_rows(kernel, dense, langs, 60, 0.3).weights)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from zlib import crc32
 
@@ -75,10 +75,19 @@ class Model:
         return out[:, :-1] / np.sqrt(np.maximum(out[:, -1:], 1))
 
 
-def fit_rows(kernel: Kernel, rows: np.ndarray, langs: list[str], landmarks: int, ridge: float) -> Model:
+def unit_rows(kernel: Kernel, rows: Sequence[np.ndarray | bytes]) -> np.ndarray:
+    """Presence rows, some of them as bits, scaled to length 1."""
+    unit = np.empty((len(rows), kernel.dims), np.float32)
+    for own, row in zip(unit, rows):
+        own[:] = row if isinstance(row, np.ndarray) else np.unpackbits(np.frombuffer(row, np.uint8))[: kernel.dims]
+    unit /= np.sqrt(np.maximum(unit.sum(1, keepdims=True), 1))
+    return unit
+
+
+def fit_rows(kernel: Kernel, rows: Sequence[np.ndarray | bytes], langs: list[str], landmarks: int, ridge: float, block: int = 256) -> Model:
     """Kernel ridge regression in the span of the landmarks: the first ``landmarks`` rows, dealt over the languages in turn.
 
-    ``rows`` is scaled in place.
+    ``rows`` are presence rows or their bits; besides the landmarks only ``block`` of them are spread out at once.
     """
     languages = tuple(sorted(set(langs)))
     turn: dict[str, int] = {}
@@ -87,10 +96,8 @@ def fit_rows(kernel: Kernel, rows: np.ndarray, langs: list[str], landmarks: int,
         turn[lang] = turn.get(lang, 0) + 1
         rank.append((turn[lang], lang, i))
     chosen = [i for _, _, i in sorted(rank)[:landmarks]]
-    unit = rows
-    unit /= np.sqrt(np.maximum(rows.sum(1, keepdims=True), 1))
-    marks = unit[chosen]
-    near = (unit @ marks.T).astype(np.float64)
+    marks = unit_rows(kernel, [rows[i] for i in chosen])
+    near = np.concatenate([unit_rows(kernel, rows[at : at + block]) @ marks.T for at in range(0, len(rows), block)]).astype(np.float64)
     own = near[chosen]
     targets = np.where(np.array(langs)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     share = 1.0 / np.maximum((targets > 0).sum(0), 1)
@@ -207,10 +214,7 @@ def fit(
     first = F.row_number().over(Window.partitionBy("lang").orderBy("at", "bits", "cells", "times"))
     ranked = rows.withColumn("rank", first).where(F.col("rank") <= each).orderBy("lang", "rank")
     taken = ranked.select("lang", "bits", "cells", "times").collect()
-    dense = np.empty((len(taken), kernel.dims), np.float32)
-    for row, r in zip(dense, taken):
-        row[:] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: kernel.dims]
-    model = fit_rows(kernel, dense, [r["lang"] for r in taken], landmarks, ridge)
+    model = fit_rows(kernel, [r["bits"] for r in taken], [r["lang"] for r in taken], landmarks, ridge)
     windows = [(r["lang"], np.frombuffer(r["cells"], np.int32), np.frombuffer(r["times"], np.uint16).astype(np.float64)) for r in taken]
     return calibrated(model, windows)
 
