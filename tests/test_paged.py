@@ -2,6 +2,7 @@ import threading
 import time
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from uttermark.operators import batching
@@ -142,3 +143,27 @@ def test_numbers_come_as_arrays(rows):
         got = batching.map_batches(df, lengths, [("n", "int"), ("kind", "string"), ("rate", "int")], batch_size=size).orderBy("id").collect()
         assert [(r.n, r.kind, r.rate) for r in got] == [(2, "ndarray", 16), (-1, None, None), (0, "NoneType", 8), (1, "ndarray", 4)]
         assert got[0].v == [1.0, 2.0] and got[1].v is None
+
+
+def test_a_large_table_goes_through_in_turns(spark):
+    """No task gets much more than its bytes, no more partitions are at work at once, and every row comes back."""
+
+    def lane(batch):
+        sizes = sum(len(t) for t in batch["text"] if t)
+        return {"lane": [TaskContext.get().partitionId()] * len(batch["id"]), "size": [sizes] * len(batch["id"])}
+
+    text = F.when(F.col("id") % 7 > 0, F.repeat(F.lit("x"), 100))
+    df = spark.range(600).repartition(12, "id").select("id", text.alias("text"), F.array(F.col("id")).alias("ids"))
+    adds = [("lane", "int"), ("size", "int")]
+    whole = batching.map_batches(df, lane, adds, batch_size=1000, parallel=3, parallel_by=("id",))
+    turns = batching.map_batches(df, lane, adds, batch_size=1000, parallel=3, parallel_by=("id",), task_bytes=6_000)
+    assert batching.table_bytes(df) == 600 * (8 + 16) + 514 * 100
+    assert turns.schema.simpleString() == whole.schema.simpleString()
+    rows = lambda got: sorted((r.id, r.text, r.ids) for r in got.collect())
+    assert rows(turns) == rows(whole) == rows(df)
+    assert {r.lane for r in turns.collect()} == {0, 1, 2}
+    assert max(r["size"] for r in whole.collect()) > 14_000 and max(r["size"] for r in turns.collect()) < 8_000
+    assert turns.select("size", "lane").distinct().count() > 3
+    small = batching.map_batches(df, lane, adds, batch_size=1000, parallel=3, task_bytes=10**6)
+    assert small.rdd.getNumPartitions() == 3 and rows(small) == rows(df)
+    assert batching.map_batches(df.where("id < 0"), lane, adds, parallel=3, task_bytes=1).count() == 0

@@ -6,6 +6,8 @@ import queue
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from uttermark.operators.indexing import batch_ids, first_rows
+from uttermark.operators.staging import new_path, staged_while
 
 
 def longest_first(length: str, key: str) -> list[Column]:
@@ -178,6 +181,41 @@ def _batches(frames: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield parts[0] if len(parts) == 1 else pa.concat_batches(parts)
 
 
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """About the bytes of a value: those of its texts and binaries, eight for any other leaf."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value).cast("long"), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return reduce(add, [_bytes(value.getField(f.name), f.dataType) for f in kind.fields], F.lit(8).cast("long"))
+    if isinstance(kind, T.MapType):
+        return _bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + _bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType | T.BinaryType | T.StructType | T.MapType | T.ArrayType):
+            return F.coalesce(F.aggregate(value, F.lit(8).cast("long"), lambda sum_, x: sum_ + _bytes(x, kind.elementType)), F.lit(8))
+        return 8 + 8 * F.coalesce(F.array_size(value).cast("long"), F.lit(0))
+    return F.lit(8).cast("long")
+
+
+def table_bytes(df: DataFrame) -> int:
+    """About the bytes of the table's values, uncompressed; one pass over it."""
+    row = reduce(add, [_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields], F.lit(0).cast("long"))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def _in_turns(df: DataFrame, mapped: Callable[[DataFrame], DataFrame], turns: int) -> DataFrame:
+    """``mapped`` of about equal parts of the table, one part after another; the results are stored.
+
+    The table is stored first, a file for each of its partitions, and the files are dealt to the turns.
+    """
+    spark, out = df.sparkSession, new_path(df.sparkSession, "turns")
+    with staged_while(df, "calls") as rows:
+        files = sorted(rows.inputFiles())
+        for turn in range(min(turns, len(files))):
+            part = mapped(spark.read.schema(rows.schema).parquet(*files[turn::turns]))
+            part.write.mode("append").parquet(out)
+    return spark.read.schema(part.schema).parquet(out)
+
+
 def map_batches(
     df: DataFrame,
     function: BatchFunction,
@@ -188,6 +226,8 @@ def map_batches(
     pause: float = 1.0,
     parallel: int | None = None,
     in_flight: int = 1,
+    parallel_by: tuple[str, ...] = (),
+    task_bytes: int | None = None,
 ) -> DataFrame:
     """Run a batch function over column batches inside the partitions.
 
@@ -195,7 +235,11 @@ def map_batches(
     fewer only at the end of a partition; see ``cells`` for arrays) and returns one with the columns ``adds`` (name, SQL type), in row order.  Each row
     also gets ``transcription_time_s`` (batch time / rows), ``attempts``, ``error`` and ``in_flight``.  A batch that
     still fails keeps its rows with null results, so the loss is visible; ``drop_failed`` removes
-    them.  ``parallel`` sets the number of partitions.  ``in_flight`` is the number of calls that each of them
+    them.  ``parallel`` sets the number of partitions, dealt by the columns ``parallel_by`` if there are any.
+    ``task_bytes`` bounds what each of them gets, about: a table of more than ``parallel`` times as much goes through
+    the same number of partitions in turns, one after another, so that there are never more calls at once.  It is measured
+    first, and where that takes more than one turn the calls are made here and their results stored (types that
+    Parquet holds).  ``in_flight`` is the number of calls that each of them
     keeps going at once, for functions that wait for a service: retries hold their place among them, rows come
     back in the order in which calls end, and the column says how many were going when a row's call was started.
     """
@@ -242,8 +286,12 @@ def map_batches(
         if done:
             yield gathered(done)
 
-    source = df.repartition(parallel) if parallel else df
-    return source.mapInArrow(run, schema)
+    def mapped(part: DataFrame) -> DataFrame:
+        source = part.repartition(parallel, *parallel_by) if parallel else part
+        return source.mapInArrow(run, schema)
+
+    turns = -(-table_bytes(df) // (parallel * task_bytes)) if parallel and task_bytes else 1
+    return mapped(df) if turns <= 1 else _in_turns(df, mapped, turns)
 
 
 def drop_failed(df: DataFrame, result: str = "predictions") -> DataFrame:

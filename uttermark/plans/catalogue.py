@@ -1012,6 +1012,10 @@ def map_batches_large(spark: SparkSession, sf: str) -> DataFrame:
     return _batch_sizes(spark, sf, 12_000)
 
 
+# Text for each task of a query that bounds its calls by the number of its tasks.
+TASK_BYTES = 384 * 2**20
+
+
 def _answered(batch: dict[str, list]) -> dict[str, list]:
     lane = TaskContext.get().partitionId()
     return {"predictions": [t + "!" for t in batch["text"]], "lane": [lane] * len(batch["text"])}
@@ -1044,8 +1048,10 @@ def _served(batch: dict[str, list], seen: set = set()) -> dict[str, list]:  # no
 @query
 def map_batches_window(spark: SparkSession, sf: str) -> DataFrame:
     """Four calls in flight in each partition, retries among them; lost batches are dropped."""
-    lanes = _documents(spark, sf).repartition(3, "doc_id")
-    mapped = batching.map_batches(lanes, _served, [("predictions", "string")], batch_size=2, pause=0.0, in_flight=4)
+    mapped = batching.map_batches(
+        _documents(spark, sf), _served, [("predictions", "string")], batch_size=2, pause=0.0, in_flight=4,
+        parallel=3, parallel_by=("doc_id",), task_bytes=TASK_BYTES,
+    )
     return batching.drop_failed(mapped).groupBy("lang").agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum(F.length("predictions")).alias("letters"),
