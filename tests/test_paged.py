@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from uttermark.operators import batching
 from uttermark.operators.staging import new_path
+from uttermark.plans import catalogue
 from uttermark.sources import paged
 
 SCHEMA = "id long, row struct<text: string, audio: array<struct<src: string>>>"
@@ -167,3 +168,15 @@ def test_a_large_table_goes_through_in_turns(spark):
     small = batching.map_batches(df, lane, adds, batch_size=1000, parallel=3, task_bytes=10**6)
     assert small.rdd.getNumPartitions() == 3 and rows(small) == rows(df)
     assert batching.map_batches(df.where("id < 0"), lane, adds, parallel=3, task_bytes=1).count() == 0
+
+
+def test_queries_that_bound_their_calls_take_a_large_table_in_turns(spark, tmp_path, monkeypatch):
+    docs = spark.range(400).repartition(6).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.repeat(F.lit("y"), 90).alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    most, real = [], batching._in_turns
+    monkeypatch.setattr(batching, "_in_turns", lambda df, mapped, turns: most.append(turns) or real(df, mapped, turns))
+    monkeypatch.setattr(catalogue, "TASK_BYTES", 4_000)
+    assert catalogue.map_batches_parallel(spark, str(tmp_path)).first().asDict() == {"lanes": 4, "rows": 400, "letters": 400 * 91, "right": 400}
+    window = catalogue.map_batches_window(spark, str(tmp_path)).first()
+    assert (window.lang, window.rows, window.letters, window.most_in_flight) == ("en", 400, 400 * 98, 4)
+    assert most == [3, 4]

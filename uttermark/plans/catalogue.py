@@ -1025,7 +1025,8 @@ def _answered(batch: dict[str, list]) -> dict[str, list]:
 def map_batches_parallel(spark: SparkSession, sf: str) -> DataFrame:
     """A bounded number of concurrent calls; ``lanes`` counts them."""
     mapped = batching.map_batches(
-        _documents(spark, sf), _answered, [("predictions", "string"), ("lane", "int")], batch_size=8, parallel=4
+        _documents(spark, sf), _answered, [("predictions", "string"), ("lane", "int")], batch_size=8, parallel=4,
+        task_bytes=TASK_BYTES,
     )
     return mapped.agg(
         F.count_distinct("lane").alias("lanes"),
