@@ -1,5 +1,8 @@
+import random
+
 import pytest
 
+from uttermark.functions import numbers
 from uttermark.functions.numbers import LEXICON, fold_numbers_in, fold_tokens, folded, spell_halves
 
 CASES = [
@@ -97,3 +100,37 @@ def test_halves():
 def test_every_rule_word_is_known():
     for word in ("eighth", "ninetieth", "thirties", "hundreds", "millionth", "sixes", "fourteenth", "twelves"):
         assert word in LEXICON
+
+
+class _WordByWord(numbers._Folder):
+    """The fold as it is defined, a step for every word; counts the steps."""
+
+    def run(self):
+        while self.at < len(self.tokens):
+            token = self.tokens[self.at]
+            role, amount, suffix = LEXICON.get(token, ("other", None, ""))
+            self.at += getattr(self, f"on_{role}")(token, amount, suffix)
+        self.flush()
+        return self.written
+
+
+def test_other_words_are_written_in_runs(monkeypatch):
+    rng = random.Random(9)
+    words = [*LEXICON, *LEXICON, "3", "2.5", "$7", "-1", "x²", "7th", "1.2.3", *["word", "a", "-", "cent", "half"] * 20]
+    for _ in range(4000):
+        tokens = rng.choices(words, k=rng.randint(0, 12))
+        assert fold_tokens(tokens) == _WordByWord(tokens).run(), tokens
+    steps = []
+    real = numbers._Folder.on_other
+    monkeypatch.setattr(numbers._Folder, "on_other", lambda self, *a: steps.append(1) or real(self, *a))
+    assert fold_tokens(["word"] * 500 + ["two", "dollars"] + ["word"] * 500) == ["word"] * 500 + ["$2"] + ["word"] * 500
+    assert len(steps) == 0
+
+
+@pytest.mark.parametrize("text", ["a1 b2c 3d", "1 21 1s x1 1x _1 1_ ²1 1² -1- 1s1", "é1 1é 11 1", "z9z9z9", "1", "$1 €1s ¢1"])
+def test_rewrites_around_the_fold(text):
+    import re
+
+    spaced = re.sub("([a-z])([0-9])", r"\1 \2", text)
+    assert numbers._LETTER_DIGIT.sub(r" \1", text) == spaced
+    assert numbers._LONE_ONE.sub(r"one\1", text) == re.sub(r"\b1(s?)\b", r"one\1", text)

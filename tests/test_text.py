@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from uttermark.functions import english
 from uttermark.functions import text as tx
-from uttermark.operators.normalize import normalize_by_language, normalize_corpus, profile_of_language
+from uttermark.operators.normalize import expand_words, normalize_by_language, normalize_corpus, profile_of_language
 
 
 def test_multilingual(norm):
@@ -183,3 +183,45 @@ def test_result_replaces_a_column_in_its_place(rows):
     df = rows([("A b", 1)], "T string, k int")
     done = normalize_corpus(df, "T", "multilingual", out="t")
     assert [c.lower() for c in done.columns] == ["t", "k"] and tuple(done.first()) == ("a b", 1)
+
+
+def _table_by_table(df):
+    """The expansions as they are defined: the rules of each table at once, one table after another."""
+    start, end = tx.WORD_START, tx.WORD_END
+    t = F.regexp_replace("t", rf"{start}(?:{'|'.join(english.FILLERS)}){end}", "")
+    t = F.regexp_replace(t, rf"[{tx.SPACE}]+'", "'")
+    for rules, before in ((english.CONTRACTIONS, start), (english.TITLES, start), (english.ENDINGS[:7], ""), (english.ENDINGS[7:], "")):
+        t = F.regexp_replace(t, f"{before}({'|'.join(word for word, _ in rules)}){end}", "<$1>")
+        for word, new in rules:
+            t = F.replace(t, F.lit(f"<{word}>"), F.lit(new))
+    return df.select("i", t.alias("t"))
+
+
+def test_expansions_in_two_passes_are_those_table_by_table(spark):
+    rules = [*english.CONTRACTIONS, *english.TITLES, *english.ENDINGS]
+    parts = [*[w for w, _ in rules], *[w for w, _ in rules], *english.FILLERS, " ", " ", " ", "'", "a", "e", "n", "é", "_", "7", "-", "\n", "𝐚", "™", "x'd", "been", ""]
+    rng = random.Random(5)
+    texts = ["", "he'dn't've", "gen't", "can't mr's been st'd", "y'all's got", "'s been'd", *("".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(4000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4)
+    expanded = expand_words(df.withColumnRenamed("t", "__text"))
+    got, want = ({r.i: r[1] for r in x.collect()} for x in (expanded.select("i", "__text"), _table_by_table(df)))
+    assert [(texts[i], got[i]) for i in got if got[i] != want[i]] == [(texts[i], want[i]) for i in got if got[i] != want[i]]
+    # Fences in the text itself stay; null stays null.
+    own = spark.createDataFrame([(0, " mr x won't "), (1, None)], "i int, __text string")
+    assert [r[1] for r in expand_words(own).orderBy("i").collect()] == [" mister  x will not ", None]
+
+
+def test_expansions_search_a_text_a_few_times(spark):
+    """Forty-nine rules, but no search of the whole text for each of them."""
+    df = expand_words(spark.createDataFrame([("a",)], "__text string"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") <= 4 and plan.replace("regexp_replace(", "").count("replace(") == 0
+
+
+def test_decomposition_by_runs_is_that_of_the_text(spark):
+    rng = random.Random(6)
+    chars = "abz .-'" + "".join(tx.SPECIAL_LETTERS) + "éüñçǽﬁ½™№℃Å각가ᄀ़̣́̈ͅẛ̈́Å日本𝐚\U0001d15e "
+    texts = ["", *("".join(rng.choices(chars, k=rng.randint(1, 40))) for _ in range(3000)), "é" * 100, "̣" * 30 + "́" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    got = df.select("i", tx.plain_letters(F.col("t"), "arrow").alias("a"), tx.plain_letters(F.col("t"), "jvm").alias("j")).collect()
+    assert [(texts[r.i], r.a) for r in got if r.a != r.j] == [(texts[r.i], r.j) for r in got if r.a != r.j]

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from uttermark.functions.text import SPACE, WORD_END, WORD_START, has_any
+from uttermark.functions.text import SPACE, WORD, WORD_END, has_any
 
 # Hesitation sounds.
 FILLERS = ["hmm", "mm", "mhm", "mmm", "uh", "um"]
@@ -118,9 +116,23 @@ def spelling_table() -> dict[str, str]:
     }
 
 
+def one_of(words: list[str], whole: bool = True) -> str:
+    """A pattern of one of the words, as a group, at the end of a word; ``whole`` ones also start there.
+
+    The first two letters are sought before anything else, then what stands before them, then the words that begin so.
+    """
+    by_start: dict[str, list[str]] = {}
+    for word in words:
+        by_start.setdefault(word[:2], []).append(word[2:])
+    first, second = ("".join(dict.fromkeys(start[i] for start in by_start)) for i in (0, 1))
+    alone = f"(?<![{WORD}]..)" if whole else ""
+    rest = "|".join(f"(?<={start})(?:{'|'.join(ends)})" for start, ends in by_start.items())
+    return f"([{first}][{second}]{alone}(?:{rest})){WORD_END}"
+
+
 def drop_fillers(text: Column) -> Column:
     """Remove hesitation sounds."""
-    return F.regexp_replace(text, rf"{WORD_START}(?:{'|'.join(FILLERS)}){WORD_END}", "")
+    return F.regexp_replace(text, one_of(FILLERS), "")
 
 
 def may_have_filler(text: Column) -> Column:
@@ -136,16 +148,16 @@ def attach_apostrophes(text: Column) -> Column:
 _OPEN, _CLOSE = "\ue000", "\ue001"
 
 
-def fence(text: Column, rules: list[tuple[str, str]], whole_words: bool) -> Column:
+def fence(text: Column, whole: list[tuple[str, str]], endings: list[tuple[str, str]]) -> Column:
     """First half of a rewrite: fence every occurrence, all rules in one pass.
 
-    No rule of a table produces text another rule of the table matches, and longer endings come
-    before their beginnings, so one pass finds what rule-by-rule passes would.
+    ``whole`` rules want a whole word, ``endings`` only the end of one.  No rule of a pass produces text another
+    one matches, none begins within a match of another that would come after it, and longer endings come before
+    their beginnings, so one pass finds what a pass for each table would.
     """
-    start = WORD_START if whole_words else ""
-    return F.regexp_replace(
-        text, f"{start}({'|'.join(word for word, _ in rules)}){WORD_END}", f"{_OPEN}$1{_CLOSE}"
-    )
+    patterns = [one_of([word for word, _ in rules], alone) for rules, alone in ((whole, True), (endings, False)) if rules]
+    groups = "".join(f"${i}" for i in range(1, len(patterns) + 1))
+    return F.regexp_replace(text, "|".join(patterns), f"{_OPEN}{groups}{_CLOSE}")
 
 
 def is_fenced(text: Column) -> Column:
@@ -153,14 +165,17 @@ def is_fenced(text: Column) -> Column:
 
 
 def unfence(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """Second half: swap each fenced word by plain search, no pattern."""
-    return reduce(
-        lambda t, rule: F.replace(t, F.lit(_OPEN + rule[0] + _CLOSE), F.lit(rule[1])), rules, text
-    )
+    """Second half: swap each fenced word.  The text is cut at the fences once, and not searched for each word."""
+    entries = F.create_map(*[F.lit(part) for rule in rules for part in rule])
 
+    def swapped(part: Column, i: Column) -> Column:
+        word = F.substring_index(part, _CLOSE, 1)
+        new = F.when(F.contains(part, F.lit(_CLOSE)), F.try_element_at(entries, word))
+        rest = F.substr(part, F.length(word) + 2)
+        # A fence that the text brought along stays.
+        return F.when(i == 0, part).otherwise(F.coalesce(F.concat(new, rest), F.concat(F.lit(_OPEN), part)))
 
-def may_have_contraction(text: Column) -> Column:
-    return has_any(text, ["'"] + [word for word, _ in CONTRACTIONS if "'" not in word])
+    return F.array_join(F.transform(F.split(text, _OPEN), swapped), "")
 
 
 def join_digit_groups(text: Column) -> Column:
@@ -173,12 +188,21 @@ def drop_full_stops(text: Column) -> Column:
     return F.regexp_replace(text, r"\.([^0-9]|$)", " $1")
 
 
-def drop_loose_symbols(text: Column) -> Column:
-    """Drop currency marks and periods before a non-digit, and percent signs after one."""
-    text = F.regexp_replace(text, r"[.$¢€£]([^0-9])", " $1")
+def drop_loose_marks(text: Column) -> Column:
+    """Drop currency marks and periods before a non-digit."""
+    return F.regexp_replace(text, r"[.$¢€£]([^0-9])", " $1")
+
+
+def drop_loose_percents(text: Column) -> Column:
+    """Drop percent signs after a non-digit."""
     return F.regexp_replace(text, r"([^0-9])%", "$1 ")
 
 
+def drop_loose_symbols(text: Column) -> Column:
+    """Both; the first leaves every percent sign in its place."""
+    return drop_loose_percents(drop_loose_marks(text))
+
+
 # A literal map is searched from its start for every word, so it only serves short dictionaries.
 LITERAL_MAP_ENTRIES = 32
 

@@ -6,8 +6,9 @@ properties because plain ``\\w``, ``\\s`` and ``\\b`` are ASCII-only in Java pat
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -57,6 +58,9 @@ def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 
 
+_NON_ASCII = re.compile(r"[^\x00-\x7f]+")
+
+
 def _normal_form_arrow(form: str):
     @F.arrow_udf(StringType())
     def normal_form(texts: pa.Array) -> pa.Array:
@@ -65,6 +69,29 @@ def _normal_form_arrow(form: str):
     return normal_form
 
 
+def _plain_arrow():
+    """NFKD, with the special letters spelled out.
+
+    ASCII characters do not decompose and marks never move past them, so the runs between them are taken on their own.
+    """
+
+    @F.arrow_udf(StringType())
+    def plain(texts: pa.Array) -> pa.Array:
+        spelling = str.maketrans(SPECIAL_LETTERS)
+
+        def spelled(run: str) -> str:
+            return unicodedata.normalize("NFKD", run).translate(spelling)
+
+        short = lru_cache(maxsize=4096)(spelled)
+
+        def one(match: re.Match) -> str:
+            return (short if len(match[0]) < 16 else spelled)(match[0])
+
+        return row_by_row(lambda t: _NON_ASCII.sub(one, t), pa.string(), texts)
+
+    return plain
+
+
 def decompose(text: Column, engine: str = "jvm") -> Column:
     """Compatibility decomposition (NFKD).
 
@@ -114,7 +141,10 @@ def plain_letters(text: Column, engine: str = "jvm") -> Column:
 
     ``text``, lower-case already, must be a plain attribute: it is referenced several times.  ASCII rows pass through.
     """
-    folded = F.regexp_replace(decompose(_non_ascii_only(text, engine), engine), r"\p{Mn}", "")
+    if engine == "arrow":
+        plain = F.regexp_replace(_plain_arrow()(_non_ascii_only(text, engine)), r"\p{Mn}", "")
+        return F.when(~is_ascii(text), plain).otherwise(text)
+    folded = F.regexp_replace(decompose(text, engine), r"\p{Mn}", "")
     one_to_one = {k: v for k, v in SPECIAL_LETTERS.items() if len(v) == 1}
     folded = F.translate(folded, "".join(one_to_one), "".join(one_to_one.values()))
     for letter, spelling in SPECIAL_LETTERS.items():

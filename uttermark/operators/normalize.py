@@ -55,16 +55,14 @@ def expand_words(df: DataFrame) -> DataFrame:
     df = _where(df, english.may_have_filler, english.drop_fillers)
     df = _where(df, apostrophe, english.attach_apostrophes)
     tables = (
-        (english.CONTRACTIONS, True, english.may_have_contraction),
-        (english.TITLES, True, lambda t: t.isNotNull()),
         # "n't" is the only ending that begins with a letter: rewriting it can lay the ending before
         # it open ("he'dn't"), but only to the rules that come after it.
-        (english.ENDINGS[:7], False, apostrophe),
-        (english.ENDINGS[7:], False, apostrophe),
+        (english.CONTRACTIONS + english.TITLES, english.ENDINGS[:7], lambda t: t.isNotNull()),
+        ([], english.ENDINGS[7:], apostrophe),
     )
-    for rules, whole_words, guard in tables:
-        df = _where(df, guard, lambda t, r=rules, w=whole_words: english.fence(t, r, w))
-        df = _where(df, english.is_fenced, lambda t, r=rules: english.unfence(t, r))
+    for whole, endings, guard in tables:
+        df = _where(df, guard, lambda t, w=whole, e=endings: english.fence(t, w, e))
+        df = _where(df, english.is_fenced, lambda t, r=whole + endings: english.unfence(t, r))
     return df
 
 
@@ -79,7 +77,8 @@ def _english(df: DataFrame, spelling: dict[str, str] | None, engine: str) -> Dat
         # The expressions read their text several times.
         df, clean = df.withColumn("__text", clean), F.col("__text")
     df = df.withColumn("__text", fold(clean, dictionary))
-    df = _where(df, lambda t: tx.has_any(t, list(english.NUMERIC_SYMBOLS)), english.drop_loose_symbols)
+    df = _where(df, lambda t: tx.has_any(t, list(english.NUMERIC_SYMBOLS.replace("%", ""))), english.drop_loose_marks)
+    df = _where(df, lambda t: tx.has_any(t, ["%"]), english.drop_loose_percents)
     return df.withColumn("__text", F.regexp_replace("__text", " {2,}", " "))
 
 
