@@ -208,11 +208,11 @@ def _in_turns(df: DataFrame, mapped: Callable[[DataFrame], DataFrame], turns: in
     The table is stored first, a file for each of its partitions, and the files are dealt to the turns.
     """
     spark, out = df.sparkSession, new_path(df.sparkSession, "turns")
-    with staged_while(df, "calls") as rows:
+    with staged_while(df, "calls", compression="zstd") as rows:
         files = sorted(rows.inputFiles())
         for turn in range(min(turns, len(files))):
             part = mapped(spark.read.schema(rows.schema).parquet(*files[turn::turns]))
-            part.write.mode("append").parquet(out)
+            part.write.mode("append").option("compression", "zstd").parquet(out)
     return spark.read.schema(part.schema).parquet(out)
 
 

@@ -47,12 +47,12 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def staged_while(df: DataFrame, label: str) -> Iterator[DataFrame]:
-    """``staged`` for a block whose results are all written within it; the folder is removed at its end."""
+def staged_while(df: DataFrame, label: str, **options: str) -> Iterator[DataFrame]:
+    """``staged``, with options of the writer, for a block whose results are all written within it; the folder is removed at its end."""
     spark = df.sparkSession
     path = new_path(spark, label)
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         yield spark.read.schema(df.schema).parquet(path)
     finally:
         discard(spark, path)
