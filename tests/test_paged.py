@@ -5,7 +5,7 @@ import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from uttermark.operators import batching
+from uttermark.operators import batching, staging
 from uttermark.operators.staging import new_path
 from uttermark.plans import catalogue
 from uttermark.sources import paged
@@ -180,3 +180,9 @@ def test_queries_that_bound_their_calls_take_a_large_table_in_turns(spark, tmp_p
     window = catalogue.map_batches_window(spark, str(tmp_path)).first()
     assert (window.lang, window.rows, window.letters, window.most_in_flight) == ("en", 400, 400 * 98, 4)
     assert most == [3, 4]
+
+
+def test_turns_in_a_folder_with_a_blank_in_its_name(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "shared_folder", lambda spark: f"{tmp_path}/a b%20c")
+    got = batching.map_batches(spark.range(100), lambda b: {"y": [i + 1 for i in b["id"]]}, [("y", "long")], drop=(), parallel=2, task_bytes=100)
+    assert got.where("y = id + 1").count() == 100

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from operator import add
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -209,7 +210,7 @@ def _in_turns(df: DataFrame, mapped: Callable[[DataFrame], DataFrame], turns: in
     """
     spark, out = df.sparkSession, new_path(df.sparkSession, "turns")
     with staged_while(df, "calls", compression="zstd") as rows:
-        files = sorted(rows.inputFiles())
+        files = sorted(unquote(file) for file in rows.inputFiles())
         for turn in range(min(turns, len(files))):
             part = mapped(spark.read.schema(rows.schema).parquet(*files[turn::turns]))
             part.write.mode("append").option("compression", "zstd").parquet(out)
