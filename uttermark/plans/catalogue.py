@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
 
@@ -19,8 +20,8 @@ from uttermark.functions.words import with_char_errors, with_error_kinds, with_w
 from uttermark.operators import align, batching, chunks, indexing, metrics, nested, prepare
 from uttermark.operators.normalize import expand_words, normalize_by_language, normalize_corpus, rewrite_by_table
 from uttermark.operators.spreading import spread
-from uttermark.operators.staging import new_path, staged
-from uttermark.plans.derived import damaged, manifest, question_records, references, table
+from uttermark.operators.staging import discard, new_path, staged, staged_while
+from uttermark.plans.derived import damaged, manifest, manifest_of, question_records, references, table
 from uttermark.sources import manifests, paged, utterances
 from uttermark.streaming import leaderboard as streams
 from uttermark.streaming import samples
@@ -206,7 +207,11 @@ def length_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _aligned_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return manifest(spark, sf).select(
+    return _aligned(manifest(spark, sf))
+
+
+def _aligned(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "doc_id", F.col("model_id").alias("model"), "dataset", "split", "text", "pred_text", "duration", "time"
     )
 
@@ -1140,12 +1145,20 @@ def failed_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- streams -----------------------------------------------------------------------------------
 
-
-def _write_runs(rows: DataFrame, path: str, mode: str = "append") -> None:
+def _write_runs(rows: DataFrame, path: str, mode: str = "append", compression: str | None = None) -> None:
     """The stream reads the rows, not their numbers, so the manifest is written without numbering."""
     rows.select(*manifests.RUN_KEYS, F.lit("").alias("audio_filepath"), "duration", "time", "text", "pred_text").write.mode(
         mode
-    ).option("ignoreNullFields", "false").option("partitionOverwriteMode", "dynamic").partitionBy(*manifests.RUN_KEYS).json(path)
+    ).option("ignoreNullFields", "false").option("partitionOverwriteMode", "dynamic").options(
+        **manifests.written_as(compression)
+    ).partitionBy(*manifests.RUN_KEYS).json(path)
+
+
+@contextmanager
+def _stored_runs(spark: SparkSession, sf: str) -> Iterator[DataFrame]:
+    """Aligned runs, made anew from the stored references whenever they are read: a text is stored once, not for each model and side."""
+    with staged_while(references(spark, sf), "references", **manifests.ZSTD) as refs:
+        yield _aligned(manifest_of(refs))
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
@@ -1168,13 +1181,14 @@ def stream_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_rescoring(spark: SparkSession, sf: str) -> DataFrame:
     """One model's results first have lost every hypothesis; its rerun replaces them and is rescored."""
-    rows, runs = staged(_aligned_runs(spark, sf), "aligned"), new_path(spark, "runs")
-    sums, progress = new_path(spark, "sums"), new_path(spark, "progress")
+    runs, sums, progress = (new_path(spark, name) for name in ("runs", "sums", "progress"))
     faulty = F.col("model") == "org/model-b"
-    _write_runs(rows.withColumn("pred_text", F.when(~faulty, F.col("pred_text"))), runs)
-    streams.start_rescoring(spark, runs, sums, progress).awaitTermination()
-    _write_runs(rows.where(faulty), runs, "overwrite")
+    with _stored_runs(spark, sf) as rows:
+        _write_runs(rows.withColumn("pred_text", F.when(~faulty, F.col("pred_text"))), runs, compression="gzip")
+        streams.start_rescoring(spark, runs, sums, progress).awaitTermination()
+        _write_runs(rows.where(faulty), runs, "overwrite", compression="gzip")
     streams.start_rescoring(spark, runs, sums, progress).awaitTermination()
+    discard(spark, runs)
     return _stored(spark, sums)
 
 

@@ -38,11 +38,12 @@ def damaged(words: Column, key: Column, drop_every: Column | int, mark_every: Co
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three models over every document: reference, hypothesis, duration and time.
+    """Three models over every document: reference, hypothesis, duration and time."""
+    return manifest_of(references(spark, sf_dir))
 
-    The documents are normalised before they are multiplied by the models.
-    """
-    refs = references(spark, sf_dir)
+
+def manifest_of(refs: DataFrame) -> DataFrame:
+    """The same from the ``references``: the documents are normalised before they are multiplied by the models."""
     rows = refs.select("*", F.explode(F.array(*[F.lit(m) for m in range(len(MODELS))])).alias("m"))
     duration = F.col("n_chars") / F.lit(15.0)
     untimed = (F.col("m") == 2) & (F.col("lang") == "es") & (F.col("doc_id") % 50 == 0)
